@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language_id, packing, toxicity
+from tallyloom.llm import language_id, minhash_dedup, packing, suffix_dedup, toxicity
 from tallyloom.llm.storage import saved
 
 
@@ -24,6 +24,16 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return language_id.predict(docs, language_id.fit(docs)).where(~F.col("rejected")).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return minhash_dedup.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the 400-byte strings that occur more than once; n_chars counts what is left."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 tokens."""
     return packing.pack_documents(docs)
@@ -32,6 +42,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("language_id", drop_unknown_language),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
     ("packing", pack_sequences),
 ]
 

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op7_language_id
+from .minhash_dedup import OP2_SQL, op2_near_dedup
 from .packing import op10_packing
+from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op7_language_id": op7_language_id,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_dedup": OP2_SQL}
