@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import op7_language_id
 from .minhash_dedup import OP2_SQL, op2_near_dedup
 from .packing import op10_packing
+from .piece_codec import op6_piece_codec
 from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op3_toxicity
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op6_piece_codec": op6_piece_codec,
         "op7_language_id": op7_language_id,
         "op10_packing": op10_packing,
     }
