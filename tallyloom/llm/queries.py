@@ -12,6 +12,7 @@ from .packing import op10_packing
 from .piece_codec import op6_piece_codec
 from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op3_toxicity
+from .warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op6_piece_codec": op6_piece_codec,
         "op7_language_id": op7_language_id,
+        "op9_warc": op9_warc,
         "op10_packing": op10_packing,
     }
 
