@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .knn_join import OP5_SQL, op5_knn_join
 from .language_id import op7_language_id
 from .minhash_dedup import OP2_SQL, op2_near_dedup
 from .packing import op10_packing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_knn_join": op5_knn_join,
         "op6_piece_codec": op6_piece_codec,
         "op7_language_id": op7_language_id,
         "op9_warc": op9_warc,
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op5_knn_join": OP5_SQL}
