@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op8_html_text
 from .knn_join import OP5_SQL, op5_knn_join
 from .language_id import op7_language_id
 from .minhash_dedup import OP2_SQL, op2_near_dedup
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_knn_join": op5_knn_join,
         "op6_piece_codec": op6_piece_codec,
         "op7_language_id": op7_language_id,
+        "op8_html_text": op8_html_text,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
     }
