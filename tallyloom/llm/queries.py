@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio_fingerprint import op1_audio_fingerprint
 from .html_text import op8_html_text
 from .knn_join import OP5_SQL, op5_knn_join
 from .language_id import op7_language_id
@@ -19,6 +20,7 @@ from .warc import op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_audio_fingerprint": op1_audio_fingerprint,
         "op2_near_dedup": op2_near_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_suffix_dedup": op4_suffix_dedup,
