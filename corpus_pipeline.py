@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import language_id, minhash_dedup, packing, suffix_dedup, toxicity
-from tallyloom.llm.storage import saved
+from tallyloom.storage import saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

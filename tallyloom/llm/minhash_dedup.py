@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import chain, column_bytes, lower_ascii, mix64, text_slices, word_hashes, word_spans
-from .components import components
-from .storage import saved
+from ..operators.components import components
+from ..storage import saved
 
 BANDS, ROWS, BATCH = 24, 4, 16
 _LEAD = np.uint64(0xA0761D6478BD642F)

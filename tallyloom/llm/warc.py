@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import new_folder, saved
+from ..storage import new_folder, saved
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Fixed value: the profile of revisits whose payload is that of another record.
