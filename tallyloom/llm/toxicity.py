@@ -69,7 +69,7 @@ def fit(
     """(slots, weights) from rows with a text and a 0/1 label; rows with a null in either are passed over.
 
     Of more than ``max_rows`` rows, a hash of the text picks about that many.  Repeated
-    rows count as often as they occur.  Without rows all weights are 0.
+    rows count as often as they occur.  Without rows nothing is toxic: all scores are near 0.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     total = rows.count()
@@ -84,6 +84,8 @@ def fit(
 
     found = sample.groupBy("shard").applyInPandas(shard, "slot long, weight double, shard int")
     merged = found.groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()  # at most 2**bits + 1 rows, few after L1
+    if merged.empty:
+        return np.array([1 << bits]), np.array([-35.0])
     merged = merged.sort_values("slot")
     return merged["slot"].to_numpy(np.int64), (merged["weight"] / shards).to_numpy(np.float64)
 
