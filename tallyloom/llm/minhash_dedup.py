@@ -4,8 +4,8 @@
    of ``BANDS * ROWS`` MinHash values.  Texts with equal sets become one class.
 2. Classes that agree in a band are candidates.  In each bucket all are first compared with
    the bucket's least class only, however large it is; that joins groups of copies without
-   listing their pairs.  Then buckets that still hold several components are searched once
-   more, pairs of different components only, in blocks of bounded size.
+   listing their pairs.  Members of buckets that still hold several components are then
+   searched once more, pairs of different components only, by their rarest shingles.
 3. A candidate pair is judged on its signatures, batch by batch: it goes as soon as the
    posterior probability of a similarity at the threshold is under ``miss``.  Survivors are
    verified exactly on their full sets.
@@ -20,9 +20,9 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,13 +55,17 @@ def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rnd.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32), rnd.integers(0, 1 << 31, n, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The least value of each hash function over a set."""
+def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray], step: int = 2048) -> np.ndarray:
+    """The least value of each hash function over a set, all functions at once for ``step`` shingles at a time."""
     low = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     high = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(len(family[0]), np.uint32)
-    for i, (x, m) in enumerate(zip(*family)):
-        out[i] = (((low ^ x) * m) ^ high).min()
+    flip, factor = family[0][:, None], family[1][:, None]
+    out = np.full(len(family[0]), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), step):
+        values = low[None, at : at + step] ^ flip
+        values *= factor
+        values ^= high[at : at + step]
+        np.minimum(out, values.min(axis=1), out=out)
     return out
 
 
@@ -137,27 +141,35 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(threshold: float, miss: float):
-    """Within one pair of blocks of a bucket: surviving pairs of different components."""
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set: set_id, root, n, shingle."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            items = np.frombuffer(batch.column("shingles")[k].as_py(), np.int64)
+            same = [pa.array(np.full(len(items), batch.column(c)[k].as_py())) for c in ("set_id", "root")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(items), len(items))), pa.array(items)], names=["set_id", "root", "n", "shingle"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        signs = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
-        ids, roots, block = (pdf[c].to_numpy() for c in ("set_id", "root", "block"))
-        out = []
-        right = np.flatnonzero(block == j)
-        for k in np.flatnonzero(block == i):
-            other = right[(roots[right] != roots[k]) & ((ids[right] > ids[k]) if i == j else True)]
-            if len(other):
-                good = other[survivors(np.repeat(signs[k : k + 1], len(other), axis=0), signs[other], threshold, miss)]
-                out.append(np.column_stack([np.full(len(good), ids[k]), ids[good]]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": np.minimum(found[:, 0], found[:, 1]), "b": np.maximum(found[:, 0], found[:, 1])})
-
-    return run
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may be linked; no linked pair is missing.
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85, miss: float = 1e-6, block: int = 128) -> DataFrame:
+    Of two linked sets, each has a member of the other among its rarest
+    n - ceil(percent / 100 * n) + 1 shingles.  Noisy copies of one text have more rare
+    shingles of their own than that, so they don't meet, however many there are.
+    """
+    rows = saved(sets.mapInArrow(_shingle_rows, "set_id long, root long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("apart"))
+    nth = F.row_number().over(W.partitionBy("set_id").orderBy("df", "shingle"))
+    ranked = rows.join(often, "shingle").withColumn("nth", nth)
+    prefix = ranked.where((F.col("nth") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1) & F.col("apart")).select("shingle", "set_id", "root", "n")
+    prefix = saved(prefix, "prefixes")
+    other = prefix.select("shingle", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    size = (100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n"))
+    met = prefix.join(other, "shingle").where((F.col("set_id") < F.col("b")) & (F.col("root") != F.col("rb")) & size)
+    return met.select(F.col("set_id").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Two texts are linked where 100 * intersection >= percent * union of their shingle sets.
@@ -174,16 +186,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     solid = sets.where("n > 0")
     classes = saved(solid.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("signature").alias("signature"), F.min("doc_id").alias("least")), "classes")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that hold on full sets; sets are made again from one text of each class that is left."""
-        left = saved(pairs, name)
-        ends = left.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        need = classes.join(ends, "set_id").select("set_id", "one.doc_id", "one.th")
-        held = source.join(need, [source["th"] == need["th"], source["doc_id"].eqNullSafe(need["doc_id"])]).select(need["set_id"], source["text"])
-        full = held.mapInArrow(_sets(False), "set_id long, shingles binary").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-        full = saved(full, f"{name}-sets")
+    def full_sets(wanted: DataFrame, name: str) -> DataFrame:
+        """wanted with the shingle set of each set_id, made again from one text of the class."""
+        need = classes.join(wanted, "set_id").select(*wanted.columns, "one.doc_id", "one.th")
+        held = source.join(need, [source["th"] == need["th"], source["doc_id"].eqNullSafe(need["doc_id"])]).select(*(need[c] for c in wanted.columns), source["text"])
+        kinds = T.StructType([*(wanted.schema[c] for c in wanted.columns), T.StructField("shingles", T.BinaryType())])
+        return saved(held.mapInArrow(_sets(False), kinds).dropDuplicates(["set_id"]), name)
+
+    def confirmed(pairs: DataFrame, full: DataFrame, name: str) -> DataFrame:
+        """The pairs that hold on full sets."""
         one, two = (full.select(F.col("set_id").alias(s), F.col("shingles").alias(f"x{s}")) for s in "ab")
-        return saved(left.join(one, "a").join(two, "b").mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links")
+        return saved(pairs.join(one, "a").join(two, "b").mapInArrow(_confirm(percent), "a long, b long"), name)
 
     slices = F.array(*(F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)))
     bands = classes.select("set_id", F.explode(slices).alias("band"))
@@ -191,19 +204,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stars = bands.join(pivots, "band").where("set_id > a").select("a", F.col("set_id").alias("b")).distinct()
     signs = classes.select("set_id", "signature")
     one, two = (signs.select(F.col("set_id").alias(s), F.col("signature").alias(f"s{s}")) for s in "ab")
-    tested = stars.join(one, "a").join(two, "b").mapInArrow(_prune(threshold, miss), "a long, b long")
-    links = verified(tested, "stars")
+    prune = lambda pairs: pairs.join(one, "a").join(two, "b").mapInArrow(_prune(threshold, miss), "a long, b long")
+    tested = saved(prune(stars), "stars")
+    ends = tested.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    links = confirmed(tested, full_sets(ends, "star-sets"), "star-links")
     roots = saved(components(links), "roots")
 
-    # buckets in which several components remain
-    near = bands.join(roots, bands["set_id"] == roots["node"], "left").select("band", "set_id", F.coalesce("root", "set_id").alias("root"))
-    near = saved(near.join(pivots.select("band"), "band", "left_semi"), "members")
-    open_ = near.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    dealt = near.join(open_.select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(9)), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rest = paired.join(signs, "set_id").groupBy("band", "i", "j").applyInPandas(_block_pairs(threshold, miss), "a long, b long").distinct()
-    more = verified(rest, "rest")
+    # members of buckets in which several components remain
+    near = bands.join(pivots.select("band"), "band", "left_semi").join(roots, F.col("set_id") == F.col("node"), "left").select("band", "set_id", F.coalesce("root", "set_id").alias("root"))
+    near = saved(near, "members")
+    apart = near.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rest = full_sets(near.join(apart, "band", "left_semi").select("set_id", "root").distinct(), "rest-sets")
+    more = confirmed(prune(_prefix_pairs(rest, percent)), rest, "rest-links")
     again = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     top = components(again.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     top = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
