@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ def train_shard(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: fl
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
-            at = np.append(rows[k], 1 << bits)
+            at = np.append(rows[k], np.int32(1 << bits))
             zs, ns = z[at], n[at]
             limit = np.full(len(at), l1)
             limit[-1] = 0.0
@@ -77,12 +76,19 @@ def fit(
     million = 1_000_000
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(million)) < int(rate * million)).withColumn("shard", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(shards)).cast("int"))
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, offsets = column_bytes(pa.array(pdf["text"], pa.string()))
-        slots, weights = train_shard(list(features(data, offsets, bits)), pdf["label"].to_numpy(), bits, alpha, beta, l1, l2, epochs)
-        return pd.DataFrame({"slot": slots, "weight": weights, "shard": int(pdf["shard"].iloc[0])})
+    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                data, offsets = column_bytes(part.column("text"))
+                slots = [f.astype(np.int32).tobytes() for f in features(data, offsets, bits)]
+                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("label"), pa.array(slots, pa.binary())], names=["shard", "label", "slots"])
+
+    def shard(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(v.as_buffer(), np.int32) for v in table.column("slots")]
+        slots, weights = train_shard(rows, table.column("label").to_numpy(), bits, alpha, beta, l1, l2, epochs)
+        return pa.table({"slot": slots, "weight": weights})
 
-    found = sample.groupBy("shard").applyInPandas(shard, "slot long, weight double, shard int")
+    found = sample.select("shard", "label", "text").mapInArrow(featurize, "shard int, label int, slots binary").groupBy("shard").applyInArrow(shard, "slot long, weight double")
     merged = found.groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()  # at most 2**bits + 1 rows, few after L1
     if merged.empty:
         return np.array([1 << bits]), np.array([-35.0])
