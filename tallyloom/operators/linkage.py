@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -50,12 +51,46 @@ def ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
-def name_similarity(left: Column, right: Column) -> Column:
-    """``ratio`` of two columns of normalised names, in Arrow batches; for distinct pairs."""
+def _bags(names: list[str], grams: int) -> np.ndarray:
+    """How often each of 256 classes of letters (or letter pairs) stands in a name, a row a name."""
+    out = np.zeros((len(names), 256), np.uint8)
+    for row, name in zip(out, names):
+        for k in range(len(name) - grams + 1):
+            at = _class_of(name[k : k + grams])
+            row[at] += row[at] < 255
+    return out
+
+
+def _class_of(gram: str) -> int:
+    return sum(ord(c) * (31**k) for k, c in enumerate(gram)) % 256
+
+
+def worth_comparing(left: list[str], right: list[str], threshold: float) -> np.ndarray:
+    """Which pairs may reach the threshold: enough letters and letter pairs in common, or one inside the other."""
+    known = sorted({*left, *right})
+    at = {n: k for k, n in enumerate(known)}
+    a, b = (np.array([at[n] for n in side], int) for side in (left, right))
+    sizes = np.array([len(n) for n in known])
+    total = sizes[a] + sizes[b]
+    least = np.ceil(threshold / 2 * total - 1e-9)
+    letters, pairs = _bags(known, 1), _bags(known, 2)
+    # a count that has reached 255 says nothing
+    good = np.minimum(letters[a], letters[b]).sum(axis=1) >= np.minimum(least, 250)
+    good &= np.minimum(pairs[a], pairs[b]).sum(axis=1) >= np.minimum(3 * least - total - 1, 250)
+    return good | np.array([x in y or y in x for x, y in zip(left, right)], bool)
+
+
+def name_similarity(left: Column, right: Column, threshold: float = 0.0) -> Column:
+    """``ratio`` of two columns of normalised names, in Arrow batches; for distinct pairs.
+
+    With a threshold, pairs that can't reach it give 0 without being compared.
+    """
 
     @F.pandas_udf("double")
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
+        x, y = a.fillna("").tolist(), b.fillna("").tolist()
+        good = worth_comparing(x, y, threshold) if threshold and x else np.ones(len(x), bool)
+        return pd.Series([ratio(p, q) if g else 0.0 for p, q, g in zip(x, y, good)], dtype="float64")
 
     return compare(left, right)
 
@@ -105,19 +140,26 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     """
     names = lambda d: d.where("name_key <> ''").select("batch_id", "name_key").distinct()
     l, r = names(left).withColumn("side", F.lit("r")), names(right).withColumn("side", F.lit("i"))
-    both = l.unionByName(r).withColumn("len", F.length("name_key"))
+    both = l.unionByName(r).withColumns({"len": F.length("name_key"), "nid": F.xxhash64("batch_id", "name_key")})
     pairs = saved(both.withColumn("gram", F.explode(_numbered(_grams(F.col("name_key"), 2)))), "name-grams")
     often = pairs.groupBy("batch_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = pairs.join(often, ["batch_id", "gram"]).withColumn("nth", F.row_number().over(W.partitionBy("batch_id", "side", "name_key").orderBy("df", "gram")))
-    # the least number asked of a name with any partner: that of its shortest possible partner
+    # the least number asked of a name with any partner: over the lengths that a partner may have
     least_s = F.ceil(F.col("len") * (1 + threshold / (2 - threshold)))
     need = lambda s: (3 * F.ceil(F.lit(threshold / 2) * s - 1e-9) - s - 1).cast("int")
     smallest = F.array_min(F.transform(F.sequence(least_s, (F.col("len") * (1 + (2 - threshold) / threshold)).cast("long")), need))
-    some = ranked.withColumn("least", F.greatest(smallest, F.lit(1))).where(F.col("nth") <= F.col("len") - 1 - F.col("least") + 1)
+    # where c are shared, two of them are among the n - c + 2 rarest of both names
+    ranked = ranked.withColumn("least", F.greatest(smallest, F.lit(1))).withColumn("two", F.least("least", F.lit(2)))
+    some = ranked.where(F.col("nth") <= F.col("len") - 1 - F.col("least") + F.col("two"))
+    few = lambda d, s, n: d.where(F.col("side") == s).select("batch_id", "gram", F.col("nid").alias(f"{n}_id"), F.col("len").alias(f"{n}_len"), F.col("two").alias(f"{n}_two"))
+    length = F.col("r_len") + F.col("i_len")
+    met = few(some, "r", "r").join(few(some, "i", "i"), ["batch_id", "gram"]).where((F.col("r_id") != F.col("i_id")) & (2 * F.least("r_len", "i_len") >= threshold * length) & (need(length) >= 1))
+    met = met.groupBy("r_id", "i_id", "r_two", "i_two").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.least("r_two", "i_two"))
+    named = lambda s, n: both.where(F.col("side") == s).select(F.col("nid").alias(f"{s}_id"), "batch_id", F.col("name_key").alias(n))
+    shared = met.join(named("r", "r_name"), "r_id").join(named("i", "i_name").drop("batch_id"), "i_id").select("batch_id", "r_name", "i_name")
     side = lambda d, s, n: d.where(F.col("side") == s).select("batch_id", "gram", F.col("name_key").alias(n), F.col("len").alias(f"{n}_len"))
     total = F.col("r_name_len") + F.col("i_name_len")
     enough = 2 * F.least("r_name_len", "i_name_len") >= threshold * total
-    shared = side(some, "r", "r_name").join(side(some, "i", "i_name"), ["batch_id", "gram"]).where((F.col("r_name") != F.col("i_name")) & enough & (need(total) >= 1)).select("batch_id", "r_name", "i_name").distinct()
     # short names: a letter in common
     short = both.where("len <= 12").withColumn("gram", F.explode(F.array_distinct(_grams(F.col("name_key"), 1))))
     brief = side(short, "r", "r_name").join(side(short, "i", "i_name"), ["batch_id", "gram"]).where((F.col("r_name") != F.col("i_name")) & enough & (need(total) < 1)).select("batch_id", "r_name", "i_name").distinct()
@@ -132,7 +174,7 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     inside = lambda a, b: a.join(b, ["batch_id", "gram"]).where((F.col("r_name") != F.col("i_name")) & (F.contains("r_name", F.col("i_name")) | F.contains("i_name", F.col("r_name")))).select("batch_id", "r_name", "i_name")
     held = inside(side(inner, "r", "r_name"), side(outer, "i", "i_name")).unionByName(inside(side(outer, "r", "r_name"), side(inner, "i", "i_name")))
     found = shared.unionByName(brief).unionByName(held).distinct()
-    return found.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name"))).where(F.col("sim") >= threshold)
+    return found.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name"), threshold)).where(F.col("sim") >= threshold)
 
 
 def class_scores(requests: DataFrame, invoices: DataFrame, similar: DataFrame) -> DataFrame:
