@@ -95,7 +95,7 @@ class Encoder:
 
     _MIXED = re.compile(r"\s \s")
 
-    def __init__(self, path: str, most_words: int = 350_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         import tiktoken
 
         ranks = byte_ranks(path)

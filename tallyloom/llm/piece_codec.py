@@ -167,7 +167,7 @@ class Codec:
 
     _SPLIT = re.compile(f"{BLANK}+[^{BLANK}]*")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.vocabulary, self.most = PieceVocabulary(path), most
         self.known: dict[str, tuple[str, int, str]] = {}
 

@@ -5,7 +5,7 @@ word, hashed to ``2**bits`` slots.  Training follows the per-coordinate FTRL-pro
 rule; its L1 term leaves few weights, which travel to the scoring tasks as two short
 arrays (at most 2**bits entries).
 
-Training reads a bounded sample of the labelled rows (``max_rows``, 20,000), dealt by
+Training reads a bounded sample of the labelled rows (``max_rows``, 12,000), dealt by
 hash to ``shards`` tasks that learn side by side; weights are averaged.  One shard, the
 default, follows the sequential rule exactly.  Scoring reads the whole of every text.
 """
@@ -63,7 +63,7 @@ def train_shard(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: fl
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = 20_000, shards: int = 1, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1e-3, epochs: int = 4
+    labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = 12_000, shards: int = 1, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1e-3, epochs: int = 4
 ) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) from rows with a text and a 0/1 label; rows with a null in either are passed over.
 
@@ -85,6 +85,7 @@ def fit(
 
     def shard(table: pa.Table) -> pa.Table:
         rows = [np.frombuffer(v.as_buffer(), np.int32) for v in table.column("slots")]
+        pa.default_memory_pool().release_unused()
         slots, weights = train_shard(rows, table.column("label").to_numpy(), bits, alpha, beta, l1, l2, epochs)
         return pa.table({"slot": slots, "weight": weights})
 

@@ -23,7 +23,7 @@ def texts(n=120):
     return ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 400))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("most", [350_000, 16])
+@pytest.mark.parametrize("most", [200_000, 16])
 def test_ids_are_those_of_the_library(library, most):
     coder = P.Encoder(P.vocabulary_path(), most_words=most)
     for t in texts():
