@@ -144,17 +144,15 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     pairs = saved(both.withColumn("gram", F.explode(_numbered(_grams(F.col("name_key"), 2)))), "name-grams")
     often = pairs.groupBy("batch_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = pairs.join(often, ["batch_id", "gram"]).withColumn("nth", F.row_number().over(W.partitionBy("batch_id", "side", "name_key").orderBy("df", "gram")))
-    # the least number asked of a name with any partner: over the lengths that a partner may have
-    least_s = F.ceil(F.col("len") * (1 + threshold / (2 - threshold)))
     need = lambda s: (3 * F.ceil(F.lit(threshold / 2) * s - 1e-9) - s - 1).cast("int")
-    smallest = F.array_min(F.transform(F.sequence(least_s, (F.col("len") * (1 + (2 - threshold) / threshold)).cast("long")), need))
-    # where c are shared, two of them are among the n - c + 2 rarest of both names
-    ranked = ranked.withColumn("least", F.greatest(smallest, F.lit(1))).withColumn("two", F.least("least", F.lit(2)))
-    some = ranked.where(F.col("nth") <= F.col("len") - 1 - F.col("least") + F.col("two"))
-    few = lambda d, s, n: d.where(F.col("side") == s).select("batch_id", "gram", F.col("nid").alias(f"{n}_id"), F.col("len").alias(f"{n}_len"), F.col("two").alias(f"{n}_two"))
-    length = F.col("r_len") + F.col("i_len")
-    met = few(some, "r", "r").join(few(some, "i", "i"), ["batch_id", "gram"]).where((F.col("r_id") != F.col("i_id")) & (2 * F.least("r_len", "i_len") >= threshold * length) & (need(length) >= 1))
-    met = met.groupBy("r_id", "i_id", "r_two", "i_two").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.least("r_two", "i_two"))
+    # for each length that partners have: where c are shared, two of them are among the n - c + 2 rarest of both names
+    lengths = both.select("batch_id", F.when(F.col("side") == "r", "i").otherwise("r").alias("side"), F.col("len").alias("other")).distinct()
+    total = F.col("len") + F.col("other")
+    asked = ranked.join(lengths, ["batch_id", "side"]).where(2 * F.least("len", "other") >= threshold * total).withColumn("c", need(total)).where("c >= 1").withColumn("two", F.least("c", F.lit(2)))
+    some = asked.where(F.col("nth") <= F.col("len") - 1 - F.col("c") + F.col("two"))
+    few = lambda s, a, b: some.where(F.col("side") == s).select("batch_id", "gram", F.col("nid").alias(f"{s}_id"), F.col("len").alias(a), F.col("other").alias(b), *(["two"] if s == "r" else []))
+    met = few("r", "r_len", "i_len").join(few("i", "i_len", "r_len"), ["batch_id", "gram", "r_len", "i_len"]).where(F.col("r_id") != F.col("i_id"))
+    met = met.groupBy("r_id", "i_id", "two").agg(F.count(F.lit(1)).alias("n")).where("n >= two")
     named = lambda s, n: both.where(F.col("side") == s).select(F.col("nid").alias(f"{s}_id"), "batch_id", F.col("name_key").alias(n))
     shared = met.join(named("r", "r_name"), "r_id").join(named("i", "i_name").drop("batch_id"), "i_id").select("batch_id", "r_name", "i_name")
     side = lambda d, s, n: d.where(F.col("side") == s).select("batch_id", "gram", F.col("name_key").alias(n), F.col("len").alias(f"{n}_len"))
