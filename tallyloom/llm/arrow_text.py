@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: ASCII white space that separates words: blank and \x09-\x0D.
 WORD_BREAKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -27,12 +28,13 @@ _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most ``budget`` bytes of ``column``, or one row."""
     at, rows = 0, batch.num_rows
     if rows == 0:
         return
-    _, ends = column_bytes(batch.column(column))
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     while at < rows:
         to = int(np.searchsorted(ends, ends[at] + budget, side="right")) - 1
         to = min(max(to, at + 1), rows)
