@@ -51,12 +51,14 @@ def fit(
     rows at every corpus size.  Languages without a usable text are left out.
     """
     usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.length(text).between(*SAMPLE_BYTES)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    if not counts:
+        return LanguageModel({}, block, level)
+    share_of = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(sample_docs / r["n"]))))
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
     share = dict_bytes // 48
     sampled = (
-        usable.join(counts, "lang")
-        .where(draw < F.lit(float(sample_docs)) / F.col("n"))
+        usable.where(draw < share_of[F.col("lang")])
         .groupBy("lang", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(48))).alias("cell"))
         .agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.substring("text", 1, share * 2).alias("t"))).alias("pick"))
         .select("lang", "cell", "pick.t")
