@@ -1,16 +1,18 @@
 """Main text of web pages, by templates deduced from equivalence classes of tokens.
 
-Tokens of a page are its tags, each with its path, and short text nodes outside the
-article.  Over the pages of a host, every token has an occurrence vector: how often it
-stands on each page.  Tokens with equal vectors form an equivalence class; classes that
-are frequent and have several members make up the host's template.  Vectors are compared
-by a fingerprint that partial aggregation can build, so a host with a third of all pages
-is no task's own work.
+Tokens of a page are its tags, each with its path, short text nodes outside the article,
+and whole blocks of text inside it.  Over the distinct pages of a host, every token has an
+occurrence vector: how often it stands on each page.  Tokens with equal vectors form an equivalence class; classes that
+are frequent and have several members make up the host's template.  A block inside the
+article can be the article's own, so it alone is template only where nearly all pages of
+the host hold it.  Vectors are compared by a fingerprint that partial aggregation can
+build, so a host with a third of all pages is no task's own work.
 
 On a page, a class is used where it is valid: its tokens stand in the class's order, and
-its spans are nested with those of larger classes.  What is left between template tokens
-are slots; each is judged by the elements it stands in, and the texts of the slots that
-belong to the article are the result.
+its spans are nested with those of larger classes.  What is left between the template
+tokens that stand once on the page are slots, judged by what they hold: text in an article
+or main element is the result, and text outside too where there is no other, or where one
+slot holds as much of it as all of these elements together.
 """
 
 from __future__ import annotations
@@ -118,47 +120,93 @@ def coded(page: str) -> list[tuple[int, str, str, tuple[tuple[str, str], ...], s
     return out
 
 
+def blocks(found: list[tuple[int, str, str, tuple[tuple[str, str], ...], str]], fixed: set[int] = frozenset(), breaks: set[int] = frozenset()) -> list[list[tuple[str, bool]]]:
+    """(text, is it in an article) of each block, by slot; a slot ends at each place in breaks.
+
+    Text at the places in fixed and text that belongs to no article are left out.
+    """
+    slots: list[list[tuple[str, bool]]] = [[]]
+    block: list[str] = []
+    inside = False
+
+    def flush() -> None:
+        text = " ".join(html.unescape("".join(block)).split())
+        if text:
+            slots[-1].append((text, inside))
+        block.clear()
+
+    for k, (_, kind, name, stack, text) in enumerate(found):
+        if kind == "text":
+            if k in fixed or _beside(stack):
+                continue
+            now = any(n in MAIN for n, _ in stack)
+            if now != inside:
+                flush()
+                inside = now
+            block.append(text)
+        elif name in INLINE:
+            if name == "br":
+                block.append(" ")
+        else:
+            flush()
+            if k in breaks:
+                slots.append([])
+    flush()
+    return slots
+
+
+def block_code(text: str) -> int:
+    """Token of a block inside the article, wherever it stands there."""
+    return _code("block", "", (), text)
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of a url; empty where there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token: pages, a fingerprint of the occurrence vector, and the sum of the first places."""
-    names = ["host", "token", "pages", "vector", "place"]
+    """Per host and token: pages, a fingerprint of the occurrence vector, the sum of the first places, and if it is a block inside the article.  Token 0 stands on each page."""
+    names = ["host", "token", "inner", "pages", "vector", "place"]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        found: dict[tuple[str, int], list[int]] = {}
-        for host, page, key in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page"))):
-            counts, first = Counter(), {}
-            for k, (code, *_) in enumerate(coded(page or "")):
+        rows: dict[tuple[str, int, bool], list[int]] = {}
+        for host, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
+            key = xxhash.xxh64_intdigest(page)
+            counts, first = Counter({(0, False): 1}), {}
+            found = coded(page)
+            for k, (code, *_) in enumerate(found):
                 if code:
-                    counts[code] += 1
-                    first.setdefault(code, k)
-            for code, n in counts.items():
-                print_ = xxhash.xxh64_intdigest(f"{key} {n}") - (1 << 63)
-                row = found.setdefault((host, code), [0, 0, 0])
+                    counts[code, False] += 1
+                    first.setdefault((code, False), k)
+            counts.update((block_code(text), True) for slot in blocks(found) for text, inside in slot if inside)
+            for token, n in counts.items():
+                row = rows.setdefault((host, *token), [0, 0, 0])
                 row[0] += 1
-                row[1] ^= print_
-                row[2] += first[code]
-        rows = [(h, c, *r) for (h, c), r in found.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names=names)
+                row[1] ^= xxhash.xxh64_intdigest(f"{key} {n}") - (1 << 63)
+                row[2] += first.get(token, 0)
+        columns = list(zip(*((*k, *r) for k, r in rows.items()))) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.5, members: int = 2) -> DataFrame:
-    """host and template: its tokens with class and order.
+def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.5, members: int = 2, inner_share: float = 0.9) -> DataFrame:
+    """host, template: its tokens with class and order, and repeated: its blocks inside articles.
 
-    pages has host, html and page (a key).  A class counts where its tokens stand on at least
-    ``least_pages`` pages and ``share`` of the host's, and it has ``members`` tokens or more.
+    pages has host and html; equal pages of a host count once.  A class counts where its
+    tokens stand on at least ``least_pages`` pages and ``share`` of the host's, and it has
+    ``members`` tokens or more; a block inside articles, on ``inner_share`` of the pages.
     """
-    rows = pages.mapInArrow(_vectors, "host string, token long, pages long, vector long, place long")
-    rows = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = rows.where(F.col("pages") >= least_pages).join(sizes, "host").where(F.col("pages") >= share * F.col("all"))
-    classes = often.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("members"), F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("tokens"))
-    classes = classes.where(F.col("members") >= members)
+    rows = pages.select("host", "html").distinct().mapInArrow(_vectors, "host string, token long, inner boolean, pages long, vector long, place long")
+    rows = rows.groupBy("host", "token", "inner").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"))
+    rows = saved(rows.where((F.col("pages") >= least_pages) | (F.col("token") == 0)), "tokens")
+    sizes = rows.where("token = 0").select("host", F.col("pages").alias("all"))
+    often = rows.where((F.col("token") != 0) & (F.col("pages") >= least_pages)).join(sizes, "host")
+    often = often.where(F.col("pages") >= F.when(F.col("inner"), inner_share).otherwise(share) * F.col("all"))
+    classes = often.groupBy("host", "inner", "vector", "pages").agg(F.count(F.lit(1)).alias("members"), F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("tokens"))
+    classes = classes.where(F.col("inner") | (F.col("members") >= members))
     token = lambda t: F.struct(t["token"].alias("token"), F.col("vector").alias("cls"), t["place"].alias("place"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list(F.transform("tokens", token))).alias("template"))
+    of = lambda inner, f: F.flatten(F.collect_list(F.when(F.col("inner") == inner, F.transform("tokens", f))))
+    return classes.groupBy("host").agg(of(False, token).alias("template"), of(True, lambda t: t["token"]).alias("repeated"))
 
 
 def valid_tokens(codes: list[int], template: dict[int, tuple[int, float]]) -> set[int]:
@@ -182,41 +230,21 @@ def valid_tokens(codes: list[int], template: dict[int, tuple[int, float]]) -> se
     return out
 
 
-def main_text(page: str, template: dict[int, tuple[int, float]] | None = None) -> str:
-    """Blocks of the article, joined by line breaks."""
-    found = coded(page)
-    fixed = valid_tokens([f[0] for f in found], template) if template else set()
-    slots: list[list] = [[False, []]]  # for each slot: is it in an article, and its blocks
-    block: list[str] = []
+def once(codes: list[int], fixed: set[int]) -> set[int]:
+    """Places of the template tokens that stand once on the page."""
+    often = Counter(codes[k] for k in fixed)
+    return {k for k in fixed if often[codes[k]] == 1}
 
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(block)).split())
-        if text:
-            slots[-1][1].append((text, inside))
-        block.clear()
 
-    inside = False
-    for k, (_, kind, name, stack, text) in enumerate(found):
-        if kind == "text":
-            if k in fixed or _beside(stack):
-                continue
-            now = any(n in MAIN for n, _ in stack)
-            if now != inside:
-                flush()
-                inside = now
-            block.append(text)
-            continue
-        if name in INLINE:
-            if name == "br":
-                block.append(" ")
-            continue
-        flush()
-        if k in fixed:
-            slots.append([False, []])
-    flush()
-    blocks = [b for _, s in slots for b in s]
-    article = any(i for _, i in blocks)
-    return "\n".join(t for t, i in blocks if i or not article)
+def main_text(page: str, template: dict[int, tuple[int, float]] | None = None, repeated: set[int] = frozenset()) -> str:
+    """Blocks of the article, joined by line breaks."""
+    found = coded(page)
+    codes = [f[0] for f in found]
+    fixed = valid_tokens(codes, template) if template else set()
+    slots = [[(t, i) for t, i in slot if not (i and repeated and block_code(t) in repeated)] for slot in blocks(found, fixed, once(codes, fixed))]
+    within = sum(len(t) for slot in slots for t, i in slot if i)
+    beside = max(sum(len(t) for t, i in slot if not i) for slot in slots)
+    return "\n".join(t for slot in slots for t, i in slot if i or beside >= within)
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[str] | None = None, most_broadcast: int = 500_000) -> DataFrame:
@@ -230,22 +258,22 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[s
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     body = F.coalesce(F.col(page), F.lit(""))
     rows = pages.select(F.struct(*keep).alias("kept"), host_of(F.col(url)).alias("host"), body.alias("html"))
-    found = saved(templates(rows.select("host", "html", F.xxhash64("html").alias("page"))), "templates")
-    tokens_ = found.agg(F.sum(F.size("template"))).first()[0] or 0
+    found = saved(templates(rows), "templates")
+    tokens_ = found.agg(F.sum(F.size("template") + F.size("repeated"))).first()[0] or 0
     side = F.broadcast(found) if tokens_ <= most_broadcast else found
-    joined = rows.join(side, "host", "left").select("kept", "host", "html", "template")
+    joined = rows.join(side, "host", "left").select("kept", "host", "html", "template", "repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, tuple[dict, set]] = {}
         for batch in batches:
             texts = []
-            hosts, htmls, marks = batch.column("host").to_pylist(), batch.column("html"), batch.column("template")
+            hosts, htmls, marks, lines = batch.column("host").to_pylist(), batch.column("html"), batch.column("template"), batch.column("repeated")
             for k in range(batch.num_rows):
                 if hosts[k] not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[hosts[k]] = {t["token"]: (t["cls"], t["place"]) for t in marks[k].as_py() or ()}
-                texts.append(main_text(htmls[k].as_py(), known[hosts[k]]))
+                    known[hosts[k]] = {t["token"]: (t["cls"], t["place"]) for t in marks[k].as_py() or ()}, set(lines[k].as_py() or ())
+                texts.append(main_text(htmls[k].as_py(), *known[hosts[k]]))
             kept = [batch.column("kept").field(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

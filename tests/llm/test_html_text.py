@@ -32,6 +32,25 @@ def test_repeated_text_is_template_where_no_article_is_marked(spark):
     assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == {i: f"Story {i} tells.\nMore {i}." for i in range(5)}
 
 
+def test_repeated_blocks_inside_the_article_are_template(spark):
+    line = 'Subscribe to our <a href="/s">letter</a>, now and for ever. ' + "More of this line. " * 20
+    page = lambda i: f"<html><body><article><h1>Head {i}</h1><p>{line}</p><p>Story {i} of <b>many</b>.</p>" + f"<p>Also {i}.</p>" * (i % 3) + "</article></body></html>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(5)] + [(9, "http://a.example/9", page(4))]
+    rows += [(20 + i, "http://copies.example/", page(7)) for i in range(4)]  # one page, four times: nothing can be told from it
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = lambda i: "\n".join([f"Head {i}", f"Story {i} of many.", *[f"Also {i}."] * (i % 3)])
+    assert {i: got[i] for i in (0, 1, 2, 3, 4, 9)} == {i: want(i) for i in range(5)} | {9: want(4)}
+    assert all("Subscribe to our letter" in got[i] and "Story 7 of many." in got[i] for i in range(20, 24))
+
+
+def test_text_beside_a_teaser_stays(spark):
+    page = lambda i: f"<html><body><div>Menu of today</div><div><p>A long story {i} that no article holds.</p><p>End {i}.</p></div><article>Teaser {i}</article></body></html>"
+    rows = [(i, "http://t.example/", page(i)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"A long story {i} that no article holds.\nEnd {i}.\nTeaser {i}" for i in range(5)}
+    assert H.main_text("<div>Home</div><article>This is the story.</article><div>Imprint</div>") == "This is the story."
+
+
 def test_invalid_classes_are_not_used():
     t = {1: (7, 0.0), 2: (7, 1.0), 3: (8, 0.5), 4: (8, 3.0)}
     assert H.valid_tokens([1, 2, 9, 1, 2], t) == {0, 1, 3, 4}
