@@ -21,6 +21,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +36,8 @@ RAW = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ASIDE = {"head", "nav", "footer", "aside", "form", "noscript", "template", "iframe", "button", "select", "svg", "object", "dialog", "menu", "option", "canvas"}
 MAIN = {"article", "main"}
+#: Elements whose class or id says nothing about the text in them.
+WHOLE = MAIN | {"html", "body"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 AD_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget"}
 #: Elements that a new one of the same kind closes.
@@ -43,18 +46,21 @@ _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_BETWEEN = re.compile(r"[\W\d_]+")
 _SHORT = 200
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str], ...], str]]:
-    """(kind, name, open elements as (name, marks), text) in page order.
+def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str, list[bool]], ...], str]]:
+    """(kind, name, open elements as (name, marks, [does it hold an article]), text) in page order.
+
+    What an element holds is known once the page is read.  Articles within another one,
+    such as comments, don't count.
 
     Comments and declarations are passed over; script, style and the like are one element
     without text.  A ``<`` that begins no tag is text.  Elements left open end with the
     page, or where an enclosing one is closed.
     """
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, list[bool]]] = []
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -87,27 +93,40 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str], ...], s
             stack.pop()
         while stack and stack[-1][0] in closes:
             stack.pop()
-        yield "open", name, (*stack, (name, marks)), ""
+        if name in MAIN and not any(x[0] == "article" for x in stack):
+            for x in stack:
+                x[2][0] = True
+        yield "open", name, (*stack, (name, marks, [False])), ""
         if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, marks))
+            stack.append((name, marks, [False]))
+
+
+@lru_cache(100_000)
+def _listed(marks: str, inside: bool) -> bool:
+    """Is a whole class, id or role made of listed words?  In an article, header is a word of its own headline."""
+    for mark in marks.split():
+        parts = [x for x in _BETWEEN.split(re.sub("^(class|id|role)=", "", mark)) if x]
+        if parts and AD_WORDS.issuperset(parts) and not (inside and parts == ["header"]):
+            return True
+    return False
 
 
-def _beside(stack: tuple[tuple[str, str], ...]) -> bool:
+def _beside(stack: tuple[tuple[str, str, list[bool]], ...]) -> bool:
     """Does what stands in these elements belong to no article?"""
     inside = False
-    for name, marks in stack:
-        if name in ASIDE or name == "header" and not inside or marks and not AD_WORDS.isdisjoint(_WORD.findall(marks.replace("class=", " ").replace("id=", " ").replace("role=", " "))):
+    for name, marks, holds in stack:
+        if name in ASIDE or name == "header" and not inside or marks and name not in WHOLE and not holds[0] and _listed(marks, inside):
             return True
         inside |= name in MAIN
     return False
 
 
-def _code(kind: str, name: str, stack: tuple[tuple[str, str], ...], text: str) -> int:
-    path = "/".join(f"{n}.{m}" if m else n for n, m in stack)
+def _code(kind: str, name: str, stack: tuple[tuple[str, str, list[bool]], ...], text: str) -> int:
+    path = "/".join(f"{n}.{m}" if m else n for n, m, _ in stack)
     return xxhash.xxh64_intdigest(f"{kind} {name} {path} {text}") - (1 << 63)
 
 
-def coded(page: str) -> list[tuple[int, str, str, tuple[tuple[str, str], ...], str]]:
+def coded(page: str) -> list[tuple[int, str, str, tuple[tuple[str, str, list[bool]], ...], str]]:
     """Tokens with their codes: 0 for text that can't be a token."""
     out = []
     for kind, name, stack, text in tokens(page):
@@ -115,12 +134,12 @@ def coded(page: str) -> list[tuple[int, str, str, tuple[tuple[str, str], ...], s
             out.append((_code(kind, name, stack, ""), kind, name, stack, ""))
             continue
         clean = " ".join(html.unescape(text).split())
-        token = bool(clean) and len(clean) <= _SHORT and not any(n in MAIN for n, _ in stack)
+        token = bool(clean) and len(clean) <= _SHORT and not any(x[0] in MAIN for x in stack)
         out.append((_code(kind, name, stack, clean) if token else 0, kind, name, stack, text))
     return out
 
 
-def blocks(found: list[tuple[int, str, str, tuple[tuple[str, str], ...], str]], fixed: set[int] = frozenset(), breaks: set[int] = frozenset()) -> list[list[tuple[str, bool]]]:
+def blocks(found: list[tuple[int, str, str, tuple[tuple[str, str, list[bool]], ...], str]], fixed: set[int] = frozenset(), breaks: set[int] = frozenset()) -> list[list[tuple[str, bool]]]:
     """(text, is it in an article) of each block, by slot; a slot ends at each place in breaks.
 
     Text at the places in fixed and text that belongs to no article are left out.
@@ -139,7 +158,7 @@ def blocks(found: list[tuple[int, str, str, tuple[tuple[str, str], ...], str]],
         if kind == "text":
             if k in fixed or _beside(stack):
                 continue
-            now = any(n in MAIN for n, _ in stack)
+            now = any(x[0] in MAIN for x in stack)
             if now != inside:
                 flush()
                 inside = now

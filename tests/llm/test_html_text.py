@@ -51,6 +51,24 @@ def test_text_beside_a_teaser_stays(spark):
     assert H.main_text("<div>Home</div><article>This is the story.</article><div>Imprint</div>") == "This is the story."
 
 
+def test_names_that_only_contain_a_listed_word_drop_nothing():
+    text = "<h1>Head</h1><p>Story.</p>"
+    for page in (
+        f'<body class="has-sidebar">{text}</body>',
+        f'<html class="banner"><body class="search"><article class="post comments-open comment">{text}</article></body></html>',
+        f'<main id="search-results">{text}</main>',
+        f'<main id="search">{text}</main>',
+        f'<div class="no-banner">{text}</div>',
+        '<article><div class="article-header"><h1>Head</h1></div><div class="header"><p>Story.</p></div></article>',
+        f'<div class="search" id="widget"><main>{text}</main></div>',
+    ):
+        assert H.main_text(page) == "Head\nStory.", page
+    for name in ("ad", "post sidebar", "ad-banner", "ad_2", "cookie-notice"):
+        assert H.main_text(f'{text}<div class="{name}">Buy</div>') == "Head\nStory.", name
+    nested = f'<article>{text}<section id="comments"><article>Nice!</article></section></article>'
+    assert H.main_text(nested) == "Head\nStory."
+
+
 def test_invalid_classes_are_not_used():
     t = {1: (7, 0.0), 2: (7, 1.0), 3: (8, 0.5), 4: (8, 3.0)}
     assert H.valid_tokens([1, 2, 9, 1, 2], t) == {0, 1, 3, 4}
