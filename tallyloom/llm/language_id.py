@@ -5,9 +5,9 @@ A text is compressed, block by block, once with each dictionary; the language wh
 dictionary gives the fewest bytes wins.  Whole texts are used: blocks keep the
 dictionary in reach of every part of a long text, they don't shorten it.
 
-Learning reads a bounded sample: about ``sample_docs`` texts per language, each of
-``SAMPLE_BYTES`` size, picked by a hash of the text.  What reaches the driver is at
-most ``dict_bytes`` per language.
+Learning takes a bounded sample: up to ``sample_docs`` distinct texts per language, picked
+by a hash of the text, and of a long text a slice at a hashed place.  What reaches the
+driver is at most twice ``dict_bytes`` in characters per language.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Sizes in characters of the texts that may enter a dictionary.
-SAMPLE_BYTES = (200, 6000)
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -43,30 +41,33 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(
-    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 120, dict_bytes: int = 112_640, block: int = 2048, level: int = 3
+    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 48, dict_bytes: int = 112_640, block: int = 2048, level: int = 3
 ) -> LanguageModel:
-    """Fill the dictionaries from rows that are not held out and have both text and language.
+    """Fill the dictionaries from rows that are not held out and have both a language and a text with a letter.
 
-    Each language's rate follows from its count, so the sample stays near ``sample_docs``
-    rows at every corpus size.  Languages without a usable text are left out.
+    Distinct texts of a language fall into ``sample_docs`` cells by a hash, and the least
+    hash of each is taken, so copies don't count and the sample stays bounded at every
+    corpus size.  Languages without a usable text are left out.
     """
-    usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.length(text).between(*SAMPLE_BYTES)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
-    if not counts:
-        return LanguageModel({}, block, level)
-    share_of = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(sample_docs / r["n"]))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    share = dict_bytes // 48
-    sampled = (
-        usable.where(draw < share_of[F.col("lang")])
-        .groupBy("lang", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(48))).alias("cell"))
-        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.substring("text", 1, share * 2).alias("t"))).alias("pick"))
-        .select("lang", "cell", "pick.t")
-    )
-    parts: dict[str, list[tuple[int, str]]] = {}
-    for row in sampled.collect():  # at most 48 texts of SAMPLE_BYTES a language
-        parts.setdefault(row["lang"], []).append((row["cell"], row["t"]))
-    return LanguageModel({k: b"\n".join(t.lower().encode() for _, t in sorted(v))[-dict_bytes:] for k, v in sorted(parts.items())}, block, level)
+    usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    least = usable.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("cell")).agg(F.min("h").alias("h")).select("lang", "h")
+    size = 2 * (dict_bytes // sample_docs)
+    start = F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
+    piece = F.substring("text", start.cast("int"), F.lit(size))
+    sampled = usable.join(F.broadcast(least), ["lang", "h"]).select("lang", "h", piece.alias("t")).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    parts: dict[str, list[tuple[int, bytes]]] = {}
+    for row in sampled.collect():  # at most sample_docs slices a language
+        parts.setdefault(row["lang"], []).append((row["h"], row["t"].lower().encode()))
+    return LanguageModel({k: _fill(sorted(v), dict_bytes) for k, v in sorted(parts.items())}, block, level)
+
+
+def _fill(texts: list[tuple[int, bytes]], size: int) -> bytes:
+    """The texts in order of their hashes, joined by line breaks; where they don't fit, the longest are cut to one length."""
+    left, cut = size - (len(texts) - 1), {}
+    for k, (h, t) in enumerate(sorted(texts, key=lambda x: (len(x[1]), x[0]))):
+        cut[h] = t[: max(left, 0) // (len(texts) - k)]
+        left -= len(cut[h])
+    return b"\n".join(cut[h] for h, _ in texts)
 
 
 class _Scorer:

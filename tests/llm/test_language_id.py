@@ -29,6 +29,20 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_short_and_long_texts_and_copies_are_learnt_from(spark):
+    rnd = random.Random(5)
+    short = [(i, prose(rnd, "aa", 8), "aa") for i in range(0, 120)]  # under 200 characters
+    long = [(i, prose(rnd, "bb", 1500), "bb") for i in range(200, 240)]  # over 6,000
+    copies = [(i, prose(random.Random(i % 5), "cc", 60), "cc") for i in range(1000, 21000)]  # five texts
+    docs = spark.createDataFrame(short + long + copies, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert list(model.dictionaries) == ["aa", "bb", "cc"]
+    assert all(prose(random.Random(k), "cc", 60).lower().encode() in model.dictionaries["cc"] for k in range(5))
+    assert 100_000 < len(model.dictionaries["bb"]) <= 112_640
+    rows = L.predict(docs, model).where(L.held_out()).collect()
+    assert all(sum(r["lang"] == r["lang_pred"] for r in rows if r["lang"] == x) >= 0.9 * sum(r["lang"] == x for r in rows) > 0 for x in SYLLABLES)
+
+
 def test_odd_rows(spark):
     model = L.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
     rows = [(1, None, "x"), (2, "", None), (3, "123 !? \n", "y"), (4, "é", None), (None, prose(random.Random(1), "bb", 5000), "z"), (4, "é", None)]
