@@ -9,11 +9,11 @@ CENTS = "decimal(18,2)"
 
 # What counts as a currency, a total line and a subtotal line.
 CURRENCY = r"HKD|HK\$|USD|CNY|RMB|EUR|\$|¥|￥"
-TOTAL_CUE = r"[總总]\s*[計计]|合\s*[計计]|[總总]\s*[額额]|[應应]\s*付|total"
+TOTAL_CUE = r"[總总]\s*[計计]|合\s*[計计]|[總总]\s*[額额]|[應应]\s*付|total\s+amount|grand\s+total|amount\s+due|total\s+due|balance\s+due|total"
 SUBTOTAL_CUE = r"sub\s*-?\s*total|小\s*[計计]"
 
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]*"
-#: group 1: currency, group 2: number
+# Fixed value: what a money token looks like; group 1 is the currency, group 2 the number.
 AMOUNT = rf"(?i)({CURRENCY})?{_SPACE}([0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]{{1,2}})?|[0-9]+\.[0-9]{{1,2}}|[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+(?:\.[0-9]+)?)(?![0-9.])"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85  ]"
 

@@ -41,6 +41,10 @@ def test_totals(spark):
         "nothing 123": None,
         "": None,
         "total 5.00\rtotal 6.00": "6.00",
+        "Price 900.00\nAmount Due: 500.00": "500.00",
+        "Price 900.00\nBALANCE  due 400.00\nDeposit 950.00": "400.00",
+        "Price 900.00\nGrand total 1,000.00\nTotal due 300.00": "300.00",
+        "Price 900.00\nDue 300.00": "900.00",
     }
     assert column(spark, cases, M.extract_total) == [v and Decimal(v) for v in cases.values()]
     assert column(spark, [None], M.extract_total) == [None]
