@@ -5,7 +5,7 @@ highest score is merged (of equals the leftmost), until no joined pair is a piec
 Characters without a piece become their bytes.
 
 No piece holds a blank mark after another character, so no merge crosses the start of a
-word and each distinct word is worked out once.  All new words of an Arrow batch go
+word and each distinct word of an Arrow batch is worked out once.  All new words go
 through their agendas side by side, a merge of every word in each step, and are checked
 against the sentencepiece library in the same batch.
 """
@@ -19,14 +19,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import text_slices
+from .word_ids import Ids, WordIds, gathered, numbered, offsets_of
 
 BLANK = "▁"
-_WIDTHS = (6, 10, 16, 32)
+#: Lengths up to which words go through their agendas together; longer ones go alone.
+_WIDTHS = (5, 9, 15, 31)
+#: Bytes of text that are worked on at once.
+_SLICE = 8 << 20
 
 
 def vocabulary_path() -> str:
@@ -55,9 +60,12 @@ class PieceVocabulary:
         for piece in self.ids:
             for c in piece:
                 self.symbols.setdefault(c, len(self.symbols) + n)
-        self.text_of = {v: k for k, v in self.symbols.items()}
         self.size = max(self.symbols.values()) + 2  # the last number stands for any other character
         self.other = self.size - 1
+        self.symbol_of = np.full(0x110000, self.other, np.int32)
+        for symbol, number in self.symbols.items():
+            if len(symbol) == 1:
+                self.symbol_of[ord(symbol)] = number
         order = sorted({self.library.get_score(i) for i in self.ids.values()}, reverse=True)
         place = {s: k for k, s in enumerate(order)}
         rows = []
@@ -101,18 +109,17 @@ class PieceVocabulary:
             offer(a, after[a])
         return [s for s in symbols if s >= 0]
 
-    def agendas(self, texts: list[str]) -> list[list[int]]:
-        """Symbols of many short texts, a merge of each in every step."""
-        width = max(map(len, texts))
-        grid = np.full((len(texts), width + 1), -1, np.int64)
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each) of many short texts, a merge of each in every step."""
         lengths = np.array([len(t) for t in texts])
-        get, other = self.symbols.get, self.other
-        flat = np.array([get(c, other) for t in texts for c in t], np.int64)
-        rows = np.repeat(np.arange(len(texts)), lengths)
-        grid[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+        width = int(lengths.max())
+        grid = np.full((len(texts), width + 1), -1, np.int64)
+        grid[np.repeat(np.arange(len(texts)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = self.symbol_of[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         none = len(self.keys)
         ranks, joined = np.append(self.ranks, 1 << 40), np.append(self.joined, -1)
-        pairs = np.where(grid[:, 1:] >= 0, self.lookup(grid[:, :-1], grid[:, 1:]), none)
+        pairs = np.full((len(texts), width), none, np.int64)
+        row, col = np.nonzero(grid[:, 1:] >= 0)
+        pairs[row, col] = self.lookup(grid[row, col], grid[row, col + 1])
         live, done = np.arange(len(texts)), np.full((len(texts), width + 1), -1, np.int64)
         while len(live):
             best = ranks[pairs].argmin(axis=1)
@@ -141,7 +148,17 @@ class PieceVocabulary:
                     left, right = grid[some, k], grid[some, k + 1]
                     pairs[some, k] = np.where(right >= 0, self.lookup(left, right), none)
         sizes = (done >= 0).sum(axis=1)
-        return [row[:k].tolist() for row, k in zip(done, sizes)]
+        flat = done[done >= 0]
+        odd = np.flatnonzero((done >= len(self.names)).any(axis=1))
+        if len(odd):  # characters without a piece of their own
+            offsets = offsets_of(sizes)
+            own = [self.to_ids(texts[k], flat[offsets[k] : offsets[k + 1]].tolist()) for k in odd]
+            which = np.arange(len(texts))
+            which[odd] = len(texts) + np.arange(len(odd))
+            more = np.array([len(r) for r in own])
+            flat, ends = gathered((np.concatenate([flat, np.array([i for r in own for i in r], np.int64)]), offsets_of(np.concatenate([sizes, more]))), which)
+            sizes = np.diff(ends)
+        return flat, sizes
 
     def to_ids(self, text: str, symbols: Iterable[int]) -> list[int]:
         """Piece ids; a character without a piece gives its bytes, or the unknown id where the vocabulary has none."""
@@ -156,67 +173,112 @@ class PieceVocabulary:
             out += [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """Text of ids, a blank mark in front still there."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.names[i].encode() for i in ids)
-        return raw.decode(errors="replace").replace(BLANK, " ")
-
 
 class Codec:
-    """Words met so far, up to ``most``, with their ids as decimal text, their number and their decoded text."""
+    """Words to ids, and ids to text, for whole Arrow slices."""
 
     _SPLIT = re.compile(f"{BLANK}+[^{BLANK}]*")
-
-    def __init__(self, path: str, most: int = 200_000):
-        self.vocabulary, self.most = PieceVocabulary(path), most
-        self.known: dict[str, tuple[str, int, str]] = {}
+    #: Words that go through their agendas at once.
+    _TOGETHER = 8192
+
+    def __init__(self, path: str, most: int = 100_000, check: bool = True):
+        self.vocabulary, self.check = PieceVocabulary(path), check
+        self.memory = WordIds(self.learn, most)
+        v = self.vocabulary
+        self.digits = pa.array([str(i) for i in range(len(v.names))], pa.string())
+        pieces = [bytes([v.byte_of[i]]) if i in v.byte_of else name.replace(BLANK, " ").encode() for i, name in enumerate(v.names)]
+        # every piece, and again without the blank that it begins with
+        self.pieces = pa.array(pieces + [p.removeprefix(b" ") for p in pieces], pa.binary())
 
     def words(self, text: str) -> list[str]:
         """Words without the blank mark that each begins with."""
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or BLANK in text:
-            return [w[1:] for w in self._SPLIT.findall(BLANK + text.replace(" ", BLANK))]
-        return text.split(" ")
-
-    def learn(self, words: set[str], check: bool) -> dict[str, tuple[str, int, str]]:
-        """Work out new words; all words of the set are in what is returned or in ``known``."""
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return {}
-        v, marked = self.vocabulary, {w: BLANK + w for w in new}
-        ids: dict[str, list[int]] = {}
-        by_width: dict[int, list[str]] = {}
-        for w in new:
-            k = next((x for x in _WIDTHS if len(w) < x), None)
-            if k is None:
-                ids[w] = v.to_ids(marked[w], v.agenda(marked[w]))
-            else:
-                by_width.setdefault(k, []).append(w)
-        for group in by_width.values():
-            for w, symbols in zip(group, v.agendas([marked[w] for w in group])):
-                ids[w] = v.to_ids(marked[w], symbols)
-        if check:
-            some = [w for w in new if w]
-            for w, expected in zip(some, v.library.encode([w.replace(BLANK, " ") for w in some], num_threads=1)):
-                if ids[w] != expected:
-                    raise RuntimeError(f"the agenda gives {ids[w]} for {w!r}, the library {expected}")
-        found = {w: (",".join(map(str, i)), len(i), v.decode(i)) for w, i in ids.items()}
-        room = self.most - len(self.known)
-        if room >= len(found):
-            self.known |= found
-            return {}
-        return found
-
-
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    """One codec for each Python worker."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+        return [w[1:] for w in self._SPLIT.findall(BLANK + text.replace(" ", BLANK))] if text else []
+
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        """Words of each text.  Where every blank stands between two words, they are what is between the blanks."""
+        odd = pc.or_(pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK)))
+        lists = pc.split_pattern(texts, " ")
+        if not pc.any(odd).as_py():
+            return lists
+        both = pa.concat_arrays([lists, pa.array([self.words(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))])
+        place, at = np.arange(len(texts)), np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        place[at] = len(texts) + np.arange(len(at))
+        return both.take(pa.array(place))
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each) of distinct words, held against the library."""
+        v = self.vocabulary
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        sizes = np.zeros(len(words), np.int64)
+        lengths = np.array([len(w) for w in words]) + 1
+        group = np.searchsorted(np.array(_WIDTHS), lengths)
+        flats, places = [], []
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            if g == len(_WIDTHS):
+                found = [np.array(v.to_ids(BLANK + words[k], v.agenda(BLANK + words[k])), np.int64) for k in at]
+                sizes[at] = [len(f) for f in found]
+                flats += found
+                places.append(at)
+                continue
+            for k in range(0, len(at), self._TOGETHER):
+                some = at[k : k + self._TOGETHER]
+                flat, n = v.ids_of([BLANK + words[i] for i in some])
+                flats.append(flat)
+                places.append(some)
+                sizes[some] = n
+        order = np.concatenate(places) if places else np.zeros(0, np.int64)
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(order))
+        flat, offsets = gathered((np.concatenate(flats) if flats else np.zeros(0, np.int64), offsets_of(sizes[order])), back)
+        if self.check:
+            self.compare(words, flat, offsets)
+        return flat.astype(np.int32), sizes
+
+    def compare(self, words: list[str], flat: np.ndarray, offsets: np.ndarray) -> None:
+        """Raise where the library gives other ids for a word; it has none for the empty one."""
+        told = self.vocabulary.library.encode([w.replace(BLANK, " ") for w in words], num_threads=1)
+        expected = np.fromiter((i for ids in told for i in ids), np.int64)
+        ours = flat
+        for k in [k for k, w in enumerate(words) if not w]:
+            ours = np.delete(ours, np.arange(offsets[k], offsets[k + 1]))
+        if len(ours) == len(expected) and (ours == expected).all():
+            return
+        for w, k, ids in zip(words, range(len(words)), told):
+            if w and flat[offsets[k] : offsets[k + 1]].tolist() != ids:
+                raise RuntimeError(f"the agenda gives {flat[offsets[k] : offsets[k + 1]].tolist()} for {w!r}, the library {ids}")
+
+    def encode(self, texts: pa.Array) -> Ids:
+        """(ids one after another, bounds of the texts) of texts without nulls."""
+        words, which, bounds = numbered(self.lists(texts))
+        flat, ends = gathered(self.memory.table(words, np.bincount(which, minlength=len(words))), which)
+        return flat, ends[bounds]
+
+    def decode(self, ids: Ids) -> pa.Array:
+        """Texts of ids; the blank that each begins with goes.  Bytes that are no text become U+FFFD."""
+        which = ids[0].astype(np.int32)
+        which[ids[1][:-1][np.diff(ids[1]) > 0]] += len(self.digits)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ids[1].astype(np.int32)), self.pieces.take(pa.array(which))), b"")
+        try:
+            out = joined.cast(pa.string())
+            out.validate(full=True)
+            return out
+        except pa.ArrowInvalid:
+            return pa.array([b.decode(errors="replace") for b in joined.to_pylist()], pa.string())
+
+    def decimal(self, ids: Ids) -> pa.Array:
+        """Decimal ids joined by commas."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ids[1].astype(np.int32)), self.digits.take(pa.array(ids[0]))), ",")
+
+
+_CODECS: dict[tuple[str, bool], Codec] = {}
+
+
+def codec(path: str, check: bool = True) -> Codec:
+    """One codec for each Python worker; what it remembers is a few MB."""
+    if (path, check) not in _CODECS:
+        _CODECS[path, check] = Codec(path, check=check)
+    return _CODECS[path, check]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None, check: bool = True) -> DataFrame:
@@ -240,25 +302,17 @@ def _run(docs: DataFrame, path: str | None, text: str, keep: list[str] | None, c
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
+        coder = codec(path, check)
+        sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
         for batch in batches:
-            for part in text_slices(batch, "__text"):
-                lists = [coder.words(t or "") for t in part.column("__text").to_pylist()]
-                extra = coder.learn(set().union(*lists), check)
-                known = {**coder.known, **extra}.__getitem__ if extra else coder.known.__getitem__
-                rows = []
-                for words in lists:
-                    found = list(map(known, words))
-                    ids = ",".join([f[0] for f in found])
-                    decoded = "".join([f[2] for f in found])[1:]
-                    n = sum([f[1] for f in found])
-                    if digest:
-                        rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                    else:
-                        rows.append(([int(i) for i in ids.split(",")] if ids else [], n, decoded))
-                columns = list(zip(*rows))
-                kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+            for part in text_slices(batch, "__text", _SLICE):
+                ids = coder.encode(pc.fill_null(part.column("__text"), "").cast(pa.string()))
+                n, decoded = pa.array(np.diff(ids[1])), coder.decode(ids)
+                if digest:
+                    extra = [n, sha(coder.decimal(ids)), sha(decoded)]
+                else:
+                    extra = [pa.ListArray.from_arrays(pa.array(ids[1].astype(np.int32)), pa.array(ids[0])), n, decoded]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *extra], names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import piece_codec as P
@@ -32,16 +33,26 @@ def test_whole_texts_against_the_library(spark, library):
 def test_both_agendas_agree():
     v = P.PieceVocabulary(P.vocabulary_path())
     words = sorted({w for t in mixed(400) for w in t.split(" ") if 0 < len(w) < 30})
-    assert v.agendas(words) == [v.agenda(w) for w in words]
-
-
-def test_full_memory_keeps_results(library):
-    c = P.Codec(P.vocabulary_path(), most=3)
-    for t in mixed(40):
-        words = c.words(t)
-        extra = c.learn(set(words), True)
-        got = ",".join((extra.get(w) or c.known[w])[0] for w in words)
-        assert got == ",".join(map(str, library.encode(t)))
+    flat, sizes = v.ids_of(words)
+    assert flat.tolist() == [i for w in words for i in v.to_ids(w, v.agenda(w))] and sizes.sum() == len(flat)
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_full_memory_keeps_results(library, most):
+    c = P.Codec(P.vocabulary_path(), most=most)
+    texts = [t or "" for t in ODD] + mixed(60)
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        flat, bounds = c.encode(pa.array(part, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t) for t in part]
+        assert len(c.memory.words) <= most
+
+
+def test_a_difference_from_the_library_is_an_error():
+    c = P.Codec(P.vocabulary_path())
+    c.vocabulary.joined = c.vocabulary.joined[::-1].copy()
+    with pytest.raises(RuntimeError, match="the agenda gives"):
+        c.encode(pa.array(["certainly different words"]))
 
 
 def test_empty_table(spark):
