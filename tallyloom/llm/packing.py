@@ -11,19 +11,20 @@ on the corpus.  A piece finds its place by its length and its rank among equal l
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow_text import text_slices
+from .word_ids import Ids, WordIds, gathered, numbered, offsets_of
 from ..storage import saved
 
 WINDOW = 2048
@@ -32,6 +33,8 @@ END_ID = 1
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 _MARKS = ",.;:!?"
+#: Bytes of text that are worked on at once.
+_SLICE = 8 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -42,31 +45,6 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian bytes; a word is met once by the tokenizer and then remembered, up to ``most`` words.
-
-    A run of letters is one piece of the split pattern, and so is a mark that follows it."""
-
-    def __init__(self, encoder: "Encoder", prefix: str, most: int):
-        super().__init__()
-        self.encoder, self.prefix, self.most, self.marked = encoder, prefix, most, most // 6
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            found = self.encoder.library_ids(self.prefix + word)
-        elif word and word[-1] in _MARKS and word[:-1].isalpha():
-            found = self[word[:-1]] + self.encoder.marks[word[-1]]
-            if self.marked:
-                self.marked -= 1
-                self[word] = found
-            return found
-        else:
-            found = self.encoder.tokens(self.prefix + word)
-        if len(self) < self.most and len(word) <= 64:
-            self[word] = found
-        return found
-
-
 def byte_ranks(path: str) -> dict[bytes, int]:
     """Byte strings and ids of a byte-level vocabulary file, special tokens left out.
 
@@ -82,68 +60,82 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """ids as the tokenizers library gives them, word by word.
+    """ids as the tokenizers library gives them, from the distinct words of a slice of texts.
 
     tiktoken merges the pieces, with the vocabulary of the library's file: it gives the same
     ids in a quarter of the time.  The tests hold whole texts against the tokenizers library.
 
     A byte-level vocabulary never merges across the pieces of its split pattern, and a
     single blank between two solid characters always starts a new piece.  So a text may be
-    cut there, and each distinct word is encoded by the library once.  Texts where a blank
-    has white space on both sides are split by the pattern itself.
+    cut there.  A run of letters is one piece, and so is a mark that follows it.  Texts where
+    a blank has white space on both sides are split by the pattern itself.
     """
 
-    _MIXED = re.compile(r"\s \s")
+    _MIXED = "{0} {0}".format(r"[\s\v\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
-    def __init__(self, path: str, most_words: int = 200_000):
+    def __init__(self, path: str, most_words: int = 100_000):
         import tiktoken
 
         ranks = byte_ranks(path)
         self.special = len(ranks)
         self.merge = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={SPECIAL: self.special}).encode_ordinary
         self.split = regex.compile(SPLIT)
-        self.parts: dict[str, bytes] = {}
-        self.most = most_words // 8
-        self.marks = {c: self.library_ids(c) for c in _MARKS}
-        self.plain, self.spaced = _Words(self, "", most_words // 8), _Words(self, " ", most_words)
-
-    def library_ids(self, piece: str) -> bytes:
-        return array("I", self.merge(piece)).tobytes()
-
-    def tokens(self, text: str) -> bytes:
-        return b"".join([self.part(p) for p in self.split.findall(text)])
-
-    def part(self, piece: str) -> bytes:
-        found = self.parts.get(piece)
-        if found is None:
-            if piece[1:].isalpha() and piece[0] == " ":
-                return self.spaced[piece[1:]]
-            if piece.isalpha():
-                return self.plain[piece]
-            found = self.library_ids(piece)
-            if len(self.parts) < self.most and len(piece) <= 64:
-                self.parts[piece] = found
-        return found
-
-    def span(self, text: str) -> bytes:
-        if self._MIXED.search(text):
-            return self.tokens(text)
-        first, *rest = text.split(" ")
-        return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
-
-    def encode(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit integers."""
-        if SPECIAL not in text:
-            return self.span(text) if text else b""
-        mark = np.asarray([self.special], dtype="<u4").tobytes()
-        return mark.join(self.span(t) if t else b"" for t in text.split(SPECIAL))
+        self.marks = {c: self.merge(c) for c in _MARKS}
+        # words at the start of a text, and words behind a blank
+        self.plain, self.spaced = WordIds(lambda words: self.learn("", words), most_words // 8), WordIds(lambda words: self.learn(" ", words), most_words)
+
+    def tokens(self, text: str) -> list[int]:
+        return [i for piece in self.split.findall(text) for i in self.merge(piece)]
+
+    def word(self, prefix: str, word: str) -> list[int]:
+        if word.isalpha():
+            return self.merge(prefix + word)
+        if word and word[-1] in _MARKS and word[:-1].isalpha():
+            return self.merge(prefix + word[:-1]) + self.marks[word[-1]]
+        return self.tokens(prefix + word)
+
+    def learn(self, prefix: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each) of words behind a prefix."""
+        found = [self.word(prefix, w) for w in words]
+        return np.fromiter((i for ids in found for i in ids), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def slow(self, text: str) -> list[int]:
+        """ids of a text of any kind."""
+        return [i for k, t in enumerate(text.split(SPECIAL)) for i in ([self.special] if k else []) + self.tokens(t)]
+
+    def encode(self, texts: pa.Array) -> Ids:
+        """(ids one after another, bounds of the texts) of texts without nulls."""
+        odd = pc.or_(pc.or_(pc.equal(texts, ""), pc.match_substring(texts, SPECIAL)), pc.match_substring_regex(texts, self._MIXED))
+        odd = odd.to_numpy(zero_copy_only=False)
+        words, which, bounds = numbered(pc.split_pattern(texts.filter(pa.array(~odd)), " "))
+        first = np.zeros(len(which), bool)
+        first[bounds[:-1]] = True
+        place, flats, offsets, base = np.zeros(len(which), np.int64), [], [np.zeros(1, np.int64)], 0
+        for memory, mask in ((self.plain, first), (self.spaced, ~first)):
+            counts = np.bincount(which[mask], minlength=len(words))
+            used = np.flatnonzero(counts)
+            flat, ends = memory.table(words.take(pa.array(used)), counts[used])
+            number = np.zeros(len(words), np.int64)
+            number[used] = base + np.arange(len(used))
+            place[mask] = number[which[mask]]
+            flats.append(flat), offsets.append(offsets[-1][-1] + ends[1:])
+            base += len(used)
+        flat, ends = gathered((np.concatenate(flats), np.concatenate(offsets)), place)
+        ends = ends[bounds]
+        if not odd.any():
+            return flat, ends
+        slow = [self.slow(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        order = np.empty(len(texts), np.int64)
+        order[~odd], order[odd] = np.arange((~odd).sum()), (~odd).sum() + np.arange(odd.sum())
+        both = np.concatenate([flat, np.array([i for ids in slow for i in ids], np.int32)]), np.concatenate([ends, ends[-1] + np.cumsum([len(ids) for ids in slow], dtype=np.int64)])
+        return gathered(both, order)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, so that later tasks find the words of earlier ones."""
+    """One encoder for each Python worker; what it remembers is a few MB."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -157,22 +149,25 @@ def cut(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
     """
     schema = T.StructType([*T._parse_datatype_string(PIECES).fields[1:], *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *schema.fields])
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            rows, starts, lengths, crcs, totals, ids = [], array("q"), array("q"), array("q"), array("q"), []
-            for k, value in enumerate(batch.column(1)):
-                raw = coder.encode(value.as_py() or "") + end
-                n = len(raw) // 4
-                for at in range(0, n, window):
-                    part = raw[4 * at : 4 * (at + window)]
-                    rows.append(k), starts.append(at), lengths.append(len(part) // 4), crcs.append(zlib.crc32(part)), totals.append(n)
-                    if with_ids:
-                        ids.append(np.frombuffer(part, dtype="<i4"))
-            out = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(np.array(x, dtype=np.int64)) for x in (starts, lengths, crcs, totals))]
-            yield pa.RecordBatch.from_arrays([*out, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
+            for part in text_slices(batch, "text", _SLICE):
+                flat, bounds = coder.encode(pc.fill_null(part.column("text"), "").cast(pa.string()))
+                flat = np.insert(flat, bounds[1:], end_id).astype("<i4")
+                totals = np.diff(bounds) + 1
+                pieces = -(-totals // window)
+                rows = np.repeat(np.arange(len(totals)), pieces)
+                starts = window * (np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                lengths = np.minimum(totals[rows] - starts, window)
+                ends = np.cumsum(lengths)  # pieces follow each other without a gap
+                raw = memoryview(flat).cast("B")
+                crcs = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int64, len(rows))
+                out = [part.column("doc_id").take(pa.array(rows)), *(pa.array(x) for x in (starts, lengths, crcs, totals[rows]))]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets_of(lengths).astype(np.int32)), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
