@@ -1,11 +1,11 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
-1. Tasks turn each text into its set of 3-word shingles, as 64-bit hashes, and a signature
+1. Tasks turn each text into its set of word shingles, as 64-bit hashes, and a signature
    of ``BANDS * ROWS`` MinHash values.  Texts with equal sets become one class.
 2. Classes that agree in a band are candidates.  In each bucket all are first compared with
-   the bucket's least class only, however large it is; that joins groups of copies without
-   listing their pairs.  Members of buckets that still hold several components are then
-   searched once more, pairs of different components only, by their rarest shingles.
+   the bucket's smallest class only, however many they are; that joins groups of copies
+   without listing their pairs.  Members of buckets that still hold several components are
+   then searched once more, pairs of different components only, by their rarest shingles.
 3. A candidate pair is judged on its signatures, batch by batch: it goes as soon as the
    posterior probability of a similarity at the threshold is under ``miss``.  Survivors are
    verified exactly on their full sets.
@@ -34,20 +34,25 @@ BANDS, ROWS, BATCH = 24, 4, 16
 _LEAD = np.uint64(0xA0761D6478BD642F)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted distinct 3-word shingle hashes of each row; of a row with one or two words, one for all of it."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of ``width`` words in a row, for each text; of a text with fewer words, one for all of it."""
     data = lower_ascii(data)
     starts, lengths, bounds = word_spans(data, offsets)
-    words = word_hashes(data, starts, lengths)
-    pairs = chain(words[:-1] ^ _LEAD, words[1:])
-    triples = chain(pairs[:-1], words[2:])
+    grams = [word_hashes(data, starts, lengths)]  # of one word, two words, ...
+    for k in range(1, width):
+        before = grams[-1][:-1]
+        grams.append(chain(before ^ _LEAD if k == 1 else before, grams[0][k:]))
     for a, b in zip(bounds[:-1], bounds[1:]):
-        if b - a >= 3:
-            yield np.unique(triples[a : b - 2])
-        elif b - a == 2:
-            yield pairs[a : a + 1]
+        if b - a >= width:
+            yield np.unique(grams[-1][a : b - width + 1])
         else:
-            yield words[a:b]
+            yield grams[max(b - a, 1) - 1][a : a + (b > a)]
+
+
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall to each of 256 places, modulo 2, as four longs: sets that differ in d shingles differ in d bits at most."""
+    odd = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +97,8 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold: float, miss: float
     return live
 
 
-def _sets(with_signature: bool):
-    """Rows of (passed columns, n, set_id, signature) or (passed columns, shingles)."""
+def _sets(width: int, with_signature: bool):
+    """Rows of (passed columns, n, set_id, signature, bits) or (passed columns, shingles)."""
     family = _family(BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +107,15 @@ def _sets(with_signature: bool):
                 data, offsets = column_bytes(part.column("text"))
                 passed = [part.column(i) for i, c in enumerate(part.schema.names) if c != "text"]
                 names = [c for c in part.schema.names if c != "text"]
-                found = list(shingle_sets(data, offsets))
+                found = list(shingle_sets(data, offsets, width))
                 if not with_signature:
                     yield pa.RecordBatch.from_arrays([*passed, pa.array([s.tobytes() for s in found], pa.binary())], names=[*names, "shingles"])
                     continue
                 sizes = np.array([len(s) for s in found], np.int64)
                 ids = np.array([mix64(np.array([mix64(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0] if len(s) else 0 for s in found], np.uint64)
                 signs = [signature(s, family).tobytes() if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays([*passed, pa.array(sizes), pa.array(ids.view(np.int64)), pa.array(signs, pa.binary())], names=[*names, "n", "set_id", "signature"])
+                bits = np.array([parity_bits(s) for s in found]).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(sizes), pa.array(ids.view(np.int64)), pa.array(signs, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=[*names, "n", "set_id", "signature", "b0", "b1", "b2", "b3"])
 
     return run
 
@@ -150,29 +156,39 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(items), len(items))), pa.array(items)], names=["set_id", "root", "n", "shingle"])
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets in different components that may be linked; no linked pair is missing.
 
-    Of two linked sets, each has a member of the other among its rarest
-    n - ceil(percent / 100 * n) + 1 shingles.  Noisy copies of one text have more rare
-    shingles of their own than that, so they don't meet, however many there are.
+    sets has set_id, root and shingles; bits has set_id and ``parity_bits`` as b0 to b3.
+    Linked sets of n and m shingles share c = ceil(percent * (n + m) / (100 + percent)) at
+    least, so each has a shared one among its n - c + 1 (m - c + 1) rarest: the larger set is
+    looked up by the longest such prefix, the smaller one by that for partners no smaller.
+    They differ in n + m - 2 * c shingles at most, so in as many parity bits.  Texts that
+    share a passage, however many, differ in more.
     """
     rows = saved(sets.mapInArrow(_shingle_rows, "set_id long, root long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("apart"))
     nth = F.row_number().over(W.partitionBy("set_id").orderBy("df", "shingle"))
     ranked = rows.join(often, "shingle").withColumn("nth", nth)
-    prefix = ranked.where((F.col("nth") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1) & F.col("apart")).select("shingle", "set_id", "root", "n")
-    prefix = saved(prefix, "prefixes")
-    other = prefix.select("shingle", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    size = (100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n"))
-    met = prefix.join(other, "shingle").where((F.col("set_id") < F.col("b")) & (F.col("root") != F.col("rb")) & size)
+    up = lambda x, by: F.floor((x + (by - 1)) / by)
+    prefix = ranked.where((F.col("nth") <= F.col("n") - up(F.col("n") * percent, 100) + 1) & F.col("apart")).select("shingle", "set_id", "root", "n", "nth")
+    prefix = saved(prefix.join(bits, "set_id"), "prefixes")
+    short = prefix.where(F.col("nth") <= F.col("n") - up(2 * percent * F.col("n"), 100 + percent) + 1)
+    other = short.select("shingle", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("nth").alias("nthb"), *(F.col(f"b{k}").alias(f"c{k}") for k in range(4)))
+    both = F.col("n") + F.col("nb")
+    common = up(percent * both, 100 + percent)
+    larger = (F.col("n") > F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("set_id") > F.col("b")))
+    placed = (F.col("nth") <= F.col("n") - common + 1) & (F.col("nthb") <= F.col("nb") - common + 1)
+    differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(4)), F.lit(0))
+    met = prefix.join(other, "shingle").where(larger & (F.col("root") != F.col("rb")) & placed & (differ <= both - 2 * common))
     return met.select(F.col("set_id").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85, miss: float = 1e-6, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
-    Two texts are linked where 100 * intersection >= percent * union of their shingle sets.
+    Two texts are linked where 100 * intersection >= percent * union of their sets of
+    ``width`` words in a row.
     component_id is the smallest id of the group; kept says that it is the row's own.  Texts
     that are null or hold no word have no shingles and no links.  Rows with a null id take
     the smallest id of their group, or null; rows that share an id and a group are kept or
@@ -182,16 +198,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     kind = source.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", kind), T.StructField("th", T.LongType())]
-    sets = saved(source.mapInArrow(_sets(True), T.StructType([*fields, *T._parse_datatype_string("n long, set_id long, signature binary").fields])), "sets")
+    sets = saved(source.mapInArrow(_sets(width, True), T.StructType([*fields, *T._parse_datatype_string("n long, set_id long, signature binary, b0 long, b1 long, b2 long, b3 long").fields])), "sets")
     solid = sets.where("n > 0")
-    classes = saved(solid.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("signature").alias("signature"), F.min("doc_id").alias("least")), "classes")
+    classes = saved(solid.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("signature").alias("signature"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(4)), F.min("doc_id").alias("least")), "classes")
 
     def full_sets(wanted: DataFrame, name: str) -> DataFrame:
         """wanted with the shingle set of each set_id, made again from one text of the class."""
         need = classes.join(wanted, "set_id").select(*wanted.columns, "one.doc_id", "one.th")
         held = source.join(need, [source["th"] == need["th"], source["doc_id"].eqNullSafe(need["doc_id"])]).select(*(need[c] for c in wanted.columns), source["text"])
         kinds = T.StructType([*(wanted.schema[c] for c in wanted.columns), T.StructField("shingles", T.BinaryType())])
-        return saved(held.mapInArrow(_sets(False), kinds).dropDuplicates(["set_id"]), name)
+        return saved(held.mapInArrow(_sets(width, False), kinds).dropDuplicates(["set_id"]), name)
 
     def confirmed(pairs: DataFrame, full: DataFrame, name: str) -> DataFrame:
         """The pairs that hold on full sets."""
@@ -199,9 +215,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return saved(pairs.join(one, "a").join(two, "b").mapInArrow(_confirm(percent), "a long, b long"), name)
 
     slices = F.array(*(F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)))
-    bands = classes.select("set_id", F.explode(slices).alias("band"))
-    pivots = bands.groupBy("band").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b").select("band", "a")
-    stars = bands.join(pivots, "band").where("set_id > a").select("a", F.col("set_id").alias("b")).distinct()
+    bands = classes.select("set_id", "n", F.explode(slices).alias("band"))
+    # the smallest set of a bucket is the nearest to all that only add to it
+    pivots = bands.groupBy("band").agg(F.min(F.struct("n", "set_id")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", F.col("p.set_id").alias("a"))
+    stars = bands.join(pivots, "band").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
     signs = classes.select("set_id", "signature")
     one, two = (signs.select(F.col("set_id").alias(s), F.col("signature").alias(f"s{s}")) for s in "ab")
     prune = lambda pairs: pairs.join(one, "a").join(two, "b").mapInArrow(_prune(threshold, miss), "a long, b long")
@@ -215,7 +232,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     near = saved(near, "members")
     apart = near.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     rest = full_sets(near.join(apart, "band", "left_semi").select("set_id", "root").distinct(), "rest-sets")
-    more = confirmed(prune(_prefix_pairs(rest, percent)), rest, "rest-links")
+    more = confirmed(prune(_prefix_pairs(rest, classes.select("set_id", "b0", "b1", "b2", "b3"), percent)), rest, "rest-links")
     again = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     top = components(again.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     top = top.select(F.col("node").alias("root"), F.col("root").alias("top"))

@@ -7,11 +7,11 @@ import pytest
 from tallyloom.llm import minhash_dedup as D
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, width=3):
     sets = []
     for _, t in rows:
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
-        sets.append({tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) >= 3 else {tuple(words)} if words else set())
+        sets.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set())
     root = list(range(len(rows)))
 
     def find(x):
@@ -51,6 +51,31 @@ def test_against_brute_force(spark, seed):
     assert sorted((tuple(r) for r in D.near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_other_widths_and_thresholds(spark, width):
+    rows = corpus(3)[::2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in D.near_duplicates(docs, percent=80, width=width).collect()), key=str) == brute(rows, 80, width)
+
+
+def test_a_large_group_that_shares_a_passage(spark):
+    """Copies of a passage with more or fewer words of their own: most are no copies of each other."""
+    rnd = random.Random(7)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([*passage, *(f"w{rnd.randint(0, 400)}" for _ in range(rnd.choice([0, 2, 5, 8, 10, 12, 20, 60])))])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in D.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
+def test_parity_bits_never_say_more_than_the_sets():
+    rnd = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = (np.unique(rnd.integers(0, 1 << 63, rnd.integers(1, 900)).astype(np.uint64)) for _ in range(2))
+        b = np.union1d(b[: rnd.integers(0, 40)], a)
+        d = len(np.setxor1d(a, b))
+        assert np.bitwise_count((D.parity_bits(a) ^ D.parity_bits(b)).view(np.uint64)).sum() <= d
+
+
 def test_kept_rows_have_all_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d", "p"), (2, "a b c d", "q"), (3, "e f g", None)], "doc_id long, text string, kept string")
     assert sorted(tuple(r) for r in D.one_of_each(docs).collect()) == [(1, "a b c d", "p"), (3, "e f g", None)]
