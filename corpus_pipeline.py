@@ -25,8 +25,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return minhash_dedup.one_of_each(docs)
+    """One document of each group of near-duplicates, in five words and a similarity of 0.8: the one with the smallest id."""
+    return minhash_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
