@@ -3,8 +3,8 @@
 1. Tasks turn each text into its set of word shingles, as 64-bit hashes, and a signature
    of ``BANDS * ROWS`` MinHash values.  Texts with equal sets become one class.
 2. Classes that agree in a band are candidates.  In each bucket all are first compared with
-   the bucket's smallest class only, however many they are; that joins groups of copies
-   without listing their pairs.  Members of buckets that still hold several components are
+   one class only, the one that meets most others in all of its buckets; that joins groups
+   of copies without listing their pairs.  Members of buckets that still hold several components are
    then searched once more, pairs of different components only, by their rarest shingles.
 3. A candidate pair is judged on its signatures, batch by batch: it goes as soon as the
    posterior probability of a similarity at the threshold is under ``miss``.  Survivors are
@@ -215,9 +215,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return saved(pairs.join(one, "a").join(two, "b").mapInArrow(_confirm(percent), "a long, b long"), name)
 
     slices = F.array(*(F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)))
-    bands = classes.select("set_id", "n", F.explode(slices).alias("band"))
-    # the smallest set of a bucket is the nearest to all that only add to it
-    pivots = bands.groupBy("band").agg(F.min(F.struct("n", "set_id")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", F.col("p.set_id").alias("a"))
+    bands = classes.select("set_id", F.explode(slices).alias("band"))
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    bands = saved(bands.join(sizes, "band"), "bands")
+    # the member of a bucket that meets most others in all of its buckets stands in the middle of a group of noisy copies
+    met = bands.groupBy("set_id").agg(F.sum("m").alias("met"))
+    pivots = bands.join(met, "set_id").groupBy("band").agg(F.max(F.struct("met", "set_id")).alias("p")).select("band", F.col("p.set_id").alias("a"))
     stars = bands.join(pivots, "band").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
     signs = classes.select("set_id", "signature")
     one, two = (signs.select(F.col("set_id").alias(s), F.col("signature").alias(f"s{s}")) for s in "ab")
@@ -228,7 +231,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = saved(components(links), "roots")
 
     # members of buckets in which several components remain
-    near = bands.join(pivots.select("band"), "band", "left_semi").join(roots, F.col("set_id") == F.col("node"), "left").select("band", "set_id", F.coalesce("root", "set_id").alias("root"))
+    near = bands.join(roots, F.col("set_id") == F.col("node"), "left").select("band", "set_id", F.coalesce("root", "set_id").alias("root"))
     near = saved(near, "members")
     apart = near.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     rest = full_sets(near.join(apart, "band", "left_semi").select("set_id", "root").distinct(), "rest-sets")
