@@ -1,9 +1,11 @@
 """Pairing payment requests with invoices: candidates, scores, one-to-one assignment.
 
 Nothing here lists request x invoice pairs.  Similarity and account evidence are found
-between distinct names; components over names split each batch into independent parts.
-Parts with one name only, which hold the busiest payees, are paired rank by rank with a
-window; the others are small and go through the greedy order in a helper.
+between distinct names, for most of them by equality: pairs that score 1 are made first,
+and similar names are searched for the rest.  Components over classes of equal rows split
+each batch into independent parts.  Parts in which all pairs score 1, which hold the busiest
+payees, are paired rank by rank with a window; the others go through the greedy order in a
+helper.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .components import components
 #: Least similarity of names that is evidence; what an account is worth without it.
 NAME_EVIDENCE, ACCOUNT_FLOOR = 0.72, 0.55
 CONTAINED = 0.92
+#: Least similarity that can score 1 by amount alone; an account is worth 0.1 more.
+BEST_NAME = 0.95
 UNMATCHED = "no supporting document matched"
 BY_AMOUNT = "payee name unreadable; paired by unique matching invoice amount"
 UNREADABLE = "document matched by payee name but its amount could not be read"
@@ -128,50 +132,89 @@ def _grams(name: Column, n: int) -> Column:
     return F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def _least_matched(total: Column, threshold: float) -> Column:
+    """Letters that two names of ``total`` letters together must have in matched blocks."""
+    return F.ceil(F.lit(threshold / 2) * total - 1e-9)
+
+
+def _pairs_asked(total: Column, threshold: float) -> Column:
+    """Letter pairs that those blocks hold at least: blocks are parted by unmatched letters, of which there are few."""
+    return (3 * _least_matched(total, threshold) - total - 1).cast("int")
+
+
+def _parity(items: Column) -> Column:
+    """How many items fall to each of 64 places, modulo 2: bags that differ in d items differ in d bits at most."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    return F.aggregate(items, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(bit(x)))
+
+
+def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    """Rows of one side with its letter in front of the columns' names."""
+    return rows.where(F.col("side") == side).select("batch_id", "gram", *(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+
+def _share_rare_pairs(names: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Names that hold one or two of each other's rarest letter pairs, and much the same letters.
+
+    Where two names must share c pairs, two of them (one if c is 1) are among the n - c + 2
+    rarest of either.  Which number that is depends on the partner's length, so the join is by
+    both lengths.  Their letters may differ by what is not matched only.
+    """
+    often = pairs.groupBy("batch_id", "gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = pairs.join(often, ["batch_id", "gram"]).withColumn("nth", F.row_number().over(W.partitionBy("batch_id", "side", "name_key").orderBy("df", "gram")))
+    lengths = names.select("batch_id", F.when(F.col("side") == "r", "i").otherwise("r").alias("side"), F.col("len").alias("other")).distinct()
+    total = F.col("len") + F.col("other")
+    asked = ranked.join(lengths, ["batch_id", "side"]).where(2 * F.least("len", "other") >= threshold * total)
+    asked = asked.withColumn("c", _pairs_asked(total, threshold)).where("c >= 1").withColumn("two", F.least("c", F.lit(2)))
+    rare = asked.where(F.col("nth") <= F.col("len") - 1 - F.col("c") + F.col("two"))
+    left = _side(rare, "r", "nid", "bag", "two", "len", "other").withColumnsRenamed({"r_len": "r", "r_other": "i"})
+    right = _side(rare, "i", "nid", "bag", "len", "other").withColumnsRenamed({"i_len": "i", "i_other": "r"})
+    both = F.col("r") + F.col("i")
+    close = F.bit_count(F.col("r_bag").bitwiseXOR(F.col("i_bag"))) <= both - 2 * _least_matched(both, threshold)
+    met = left.join(right, ["batch_id", "gram", "r", "i"]).where((F.col("r_nid") != F.col("i_nid")) & close)
+    met = met.groupBy("r_nid", "i_nid", "r_two").agg(F.count(F.lit(1)).alias("n")).where("n >= r_two")
+    named = lambda side: names.where(F.col("side") == side).select(F.col("nid").alias(f"{side}_nid"), F.col("batch_id").alias(f"{side}_batch"), F.col("name_key").alias(f"{side}_name"))
+    return met.join(named("r"), "r_nid").join(named("i"), "i_nid").select(F.col("r_batch").alias("batch_id"), "r_name", "i_name")
+
+
+def _share_a_letter(names: DataFrame, threshold: float) -> DataFrame:
+    """Short names, of which no letter pair is asked, with a letter in common."""
+    short = names.where("len <= 12").withColumn("gram", F.explode(F.array_distinct(_grams(F.col("name_key"), 1))))
+    total = F.col("r_len") + F.col("i_len")
+    enough = (2 * F.least("r_len", "i_len") >= threshold * total) & (_pairs_asked(total, threshold) < 1)
+    met = _side(short, "r", "name_key", "len").join(_side(short, "i", "name_key", "len"), ["batch_id", "gram"]).where(enough)
+    return met.select("batch_id", F.col("r_name_key").alias("r_name"), F.col("i_name_key").alias("i_name")).distinct()
+
+
+def _inside(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Names inside other ones, whatever their lengths: by the rarest letter pair of the inner one, or its only letter."""
+    plain = pairs.withColumn("gram", F.substring_index("gram", "#", 1)).select("batch_id", "gram", "side", "name_key").distinct()
+    counts = plain.groupBy("batch_id", "gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = plain.join(counts, ["batch_id", "gram"]).groupBy("batch_id", "side", "name_key").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    single = names.where("len = 1").select("batch_id", "side", "name_key", F.col("name_key").alias("gram"))
+    letters = names.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("name_key"), 1)))).join(single.select("batch_id", "gram").distinct(), ["batch_id", "gram"])
+    inner = rarest.unionByName(single)
+    outer = plain.unionByName(letters.select("batch_id", "gram", "side", "name_key"))
+    holds = F.contains("r_name_key", F.col("i_name_key")) | F.contains("i_name_key", F.col("r_name_key"))
+    found = [_side(a, "r", "name_key").join(_side(b, "i", "name_key"), ["batch_id", "gram"]).where(holds) for a, b in ((inner, outer), (outer, inner))]
+    return found[0].unionByName(found[1]).select("batch_id", F.col("r_name_key").alias("r_name"), F.col("i_name_key").alias("i_name"))
+
+
 def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float = NAME_EVIDENCE) -> DataFrame:
     """batch_id, r_name, i_name, sim of unequal names alike to ``threshold`` or more.
 
     left and right have batch_id and name_key.  No pair is lost: for names of S letters
     together, M matched ones and M >= threshold * S / 2, the matched blocks hold at least
     3 * M - S - 1 letter pairs, so names that share fewer can't be alike; where that number
-    is not positive (short names) sharing a letter is asked for.  The names' rarest letter
-    pairs are joined, as many as the number requires.  A name inside another has its rarest
-    pair there, whatever the lengths.
+    is not positive (short names) sharing a letter is asked for.  A name inside another has
+    its rarest pair there, whatever the lengths.
     """
-    names = lambda d: d.where("name_key <> ''").select("batch_id", "name_key").distinct()
-    l, r = names(left).withColumn("side", F.lit("r")), names(right).withColumn("side", F.lit("i"))
-    both = l.unionByName(r).withColumns({"len": F.length("name_key"), "nid": F.xxhash64("batch_id", "name_key")})
-    pairs = saved(both.withColumn("gram", F.explode(_numbered(_grams(F.col("name_key"), 2)))), "name-grams")
-    often = pairs.groupBy("batch_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = pairs.join(often, ["batch_id", "gram"]).withColumn("nth", F.row_number().over(W.partitionBy("batch_id", "side", "name_key").orderBy("df", "gram")))
-    need = lambda s: (3 * F.ceil(F.lit(threshold / 2) * s - 1e-9) - s - 1).cast("int")
-    # for each length that partners have: where c are shared, two of them are among the n - c + 2 rarest of both names
-    lengths = both.select("batch_id", F.when(F.col("side") == "r", "i").otherwise("r").alias("side"), F.col("len").alias("other")).distinct()
-    total = F.col("len") + F.col("other")
-    asked = ranked.join(lengths, ["batch_id", "side"]).where(2 * F.least("len", "other") >= threshold * total).withColumn("c", need(total)).where("c >= 1").withColumn("two", F.least("c", F.lit(2)))
-    some = asked.where(F.col("nth") <= F.col("len") - 1 - F.col("c") + F.col("two"))
-    few = lambda s, a, b: some.where(F.col("side") == s).select("batch_id", "gram", F.col("nid").alias(f"{s}_id"), F.col("len").alias(a), F.col("other").alias(b), *(["two"] if s == "r" else []))
-    met = few("r", "r_len", "i_len").join(few("i", "i_len", "r_len"), ["batch_id", "gram", "r_len", "i_len"]).where(F.col("r_id") != F.col("i_id"))
-    met = met.groupBy("r_id", "i_id", "two").agg(F.count(F.lit(1)).alias("n")).where("n >= two")
-    named = lambda s, n: both.where(F.col("side") == s).select(F.col("nid").alias(f"{s}_id"), "batch_id", F.col("name_key").alias(n))
-    shared = met.join(named("r", "r_name"), "r_id").join(named("i", "i_name").drop("batch_id"), "i_id").select("batch_id", "r_name", "i_name")
-    side = lambda d, s, n: d.where(F.col("side") == s).select("batch_id", "gram", F.col("name_key").alias(n), F.col("len").alias(f"{n}_len"))
-    total = F.col("r_name_len") + F.col("i_name_len")
-    enough = 2 * F.least("r_name_len", "i_name_len") >= threshold * total
-    # short names: a letter in common
-    short = both.where("len <= 12").withColumn("gram", F.explode(F.array_distinct(_grams(F.col("name_key"), 1))))
-    brief = side(short, "r", "r_name").join(side(short, "i", "i_name"), ["batch_id", "gram"]).where((F.col("r_name") != F.col("i_name")) & enough & (need(total) < 1)).select("batch_id", "r_name", "i_name").distinct()
-    # a name inside another: its rarest letter pair, or for single letters the letter
-    plain = pairs.withColumn("gram", F.substring_index("gram", "#", 1))
-    counts = plain.select("batch_id", "gram", "side", "name_key").distinct().groupBy("batch_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    rare = plain.join(counts, ["batch_id", "gram"]).groupBy("batch_id", "side", "name_key").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.first("len").alias("len"))
-    single = both.where("len = 1").withColumn("gram", F.col("name_key")).select(*rare.columns)
-    letters = both.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("name_key"), 1)))).join(single.select("batch_id", "gram").distinct(), ["batch_id", "gram"])
-    inner = rare.unionByName(single)
-    outer = plain.select("batch_id", "gram", "side", "name_key", "len").distinct().unionByName(letters.select("batch_id", "gram", "side", "name_key", "len"))
-    inside = lambda a, b: a.join(b, ["batch_id", "gram"]).where((F.col("r_name") != F.col("i_name")) & (F.contains("r_name", F.col("i_name")) | F.contains("i_name", F.col("r_name")))).select("batch_id", "r_name", "i_name")
-    held = inside(side(inner, "r", "r_name"), side(outer, "i", "i_name")).unionByName(inside(side(outer, "r", "r_name"), side(inner, "i", "i_name")))
-    found = shared.unionByName(brief).unionByName(held).distinct()
+    distinct = lambda rows, side: rows.where("name_key <> ''").select("batch_id", "name_key").distinct().withColumn("side", F.lit(side))
+    names = distinct(left, "r").unionByName(distinct(right, "i")).withColumns({"len": F.length("name_key"), "nid": F.xxhash64("batch_id", "name_key"), "bag": _parity(_numbered(_grams(F.col("name_key"), 1)))})
+    names = saved(names, "names")
+    pairs = saved(names.withColumn("gram", F.explode(_numbered(_grams(F.col("name_key"), 2)))), "name-grams")
+    found = _share_rare_pairs(names, pairs, threshold).unionByName(_share_a_letter(names, threshold)).unionByName(_inside(names, pairs))
+    found = found.where("r_name <> i_name").distinct()
     return found.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name"), threshold)).where(F.col("sim") >= threshold)
 
 
@@ -193,6 +236,13 @@ def class_scores(requests: DataFrame, invoices: DataFrame, similar: DataFrame) -
     return merged.withColumn("sim", F.coalesce("sim", name_similarity(F.col("r_name"), F.col("i_name")))).withColumn("account_evidence", agree)
 
 
+def best_class_scores(requests: DataFrame, invoices: DataFrame) -> DataFrame:
+    """The class pairs of ``class_scores`` that score 1, at least where amounts agree: without account evidence that takes names alike to 0.95."""
+    similar = saved(similar_name_candidates(requests, invoices, BEST_NAME), "most-similar")
+    scores = class_scores(requests, invoices, similar)
+    return scores.where(F.col("sim") >= F.when(F.col("account_evidence"), BEST_NAME - 0.1).otherwise(BEST_NAME) - 1e-9)
+
+
 def score_columns(sim: Column, account: Column, amount: Column) -> tuple[Column, Column]:
     """(score, reason) of a pair with evidence, added up in the order that ties depend on."""
     score = F.when(account, F.greatest(sim, F.lit(ACCOUNT_FLOOR)) + 0.1).otherwise(sim)
@@ -211,8 +261,8 @@ def score_candidates(requests: DataFrame, invoices: DataFrame, scores: DataFrame
     return pairs.select("batch_id", "row_number", "invoice_seq", score.alias("score"), reason.alias("reason"))
 
 
-def greedy(requests: list[tuple[int, int, int]], invoices: list[tuple[int, int, int]], base: dict[tuple[int, int], tuple[float, bool]], tolerance: int) -> list[tuple[int, int, float, float, bool, bool]]:
-    """One-to-one pairs in the order of falling score, then request, then invoice.
+def greedy(requests: list[tuple[int, int, int]], invoices: list[tuple[int, int, int]], base: dict[tuple[int, int], tuple[float, bool]], tolerance: int, least: float = 0.0) -> list[tuple[int, int, float, float, bool, bool]]:
+    """One-to-one pairs in the order of falling score down to ``least``, then request, then invoice.
 
     Rows are (index, class, cents); base has (similarity, account evidence) of classes.  Scores
     depend on the classes and on whether the amounts agree, so each level of score is one
@@ -241,7 +291,7 @@ def greedy(requests: list[tuple[int, int, int]], invoices: list[tuple[int, int,
         return rows[heads[key]] if heads[key] < len(rows) else None
 
     out, waiting = [], sorted(requests)
-    for level in sorted(levels, reverse=True):
+    for level in sorted((x for x in levels if x >= least), reverse=True):
         rest = []
         for row in waiting:
             index, cls, cents = row
@@ -269,48 +319,57 @@ def greedy(requests: list[tuple[int, int, int]], invoices: list[tuple[int, int,
     return out
 
 
-def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFrame, tolerance: str = "0.01") -> DataFrame:
+def _class_of_row(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cls", F.xxhash64("batch_id", "name_key", "account_key", "code_key"))
+
+
+def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFrame, tolerance: str = "0.01", least: float = 0.0) -> DataFrame:
     """batch_id, row_number, invoice_seq, confidence, reason: the greedy assignment, every row used once at most.
 
-    Components over names: a part with one name pairs its k-th request with its k-th invoice,
-    as all its scores are 1; the greedy order of other parts runs in one task each.
+    scores has class pairs (see ``class_scores``); pairs of rows that score under ``least``
+    are not made.  Components over classes are independent.  Where every request of a
+    component scores 1 with every invoice of it, which is so for a payee however many rows it
+    has, and for its misspelt names on one account, the k-th request gets the k-th invoice by
+    a window; the greedy order of other components runs in one task each.
     """
-    node = lambda *c: F.xxhash64("batch_id", *c)
-    # a class without a name stands by its account
-    of = lambda p: F.when(F.col(f"{p}_name") != "", node(F.lit("n"), f"{p}_name")).otherwise(node(F.lit(p), f"{p}_account", f"{p}_code"))
-    edges = scores.select(of("r").alias("a"), of("i").alias("b"))
-    mixed = saved(components(edges), "name-parts")
-    own = lambda d, p: d.withColumn("node", F.when(F.col("name_key") != "", node(F.lit("n"), "name_key")).otherwise(node(F.lit(p), "account_key", "code_key")))
-    part = lambda d, p: own(d, p).join(mixed, "node", "left")
-    r, i = part(requests, "r"), part(invoices, "i")
-
-    nth = lambda order: F.row_number().over(W.partitionBy("batch_id", "name_key").orderBy(order))
-    lone = lambda d: d.where("root IS NULL AND name_key <> ''")
-    left = lone(r).withColumn("k", nth("row_number")).select("batch_id", "name_key", "k", "row_number", "amount", F.col("account_key").alias("ra"), F.col("code_key").alias("rc"))
-    right = lone(i).withColumn("k", nth("invoice_seq")).select("batch_id", "name_key", "k", "invoice_seq", "total_amount", F.col("account_key").alias("ia"), F.col("code_key").alias("ic"))
-    same = (F.col("ra") == F.col("ia")) & (F.col("ra") != "") & ((F.col("ic") == "") | (F.col("ic") == F.col("rc")))
-    score, reason = score_columns(F.lit(1.0), same, amounts_equal(F.col("amount"), F.col("total_amount"), tolerance))
-    ranked = left.join(right, ["batch_id", "name_key", "k"]).select("batch_id", "row_number", "invoice_seq", score.alias("confidence"), reason.alias("reason"))
-
+    names = lambda p: [F.col(f"{p}_{c}") for c in ("name", "account", "code")]
+    sure = F.least(F.when(F.col("account_evidence"), F.greatest("sim", F.lit(ACCOUNT_FLOOR)) + 0.1).otherwise(F.col("sim")), F.lit(1.0)) >= 1.0
+    pairs = scores.select("batch_id", F.xxhash64("batch_id", *names("r")).alias("rc"), F.xxhash64("batch_id", *names("i")).alias("ic"), "sim", "account_evidence", sure.alias("sure"))
+    pairs = saved(pairs, "class-pairs")
+    node = lambda side, c: F.xxhash64(F.lit(side), c)
+    parts = saved(components(pairs.select(node("r", "rc").alias("a"), node("i", "ic").alias("b"))), "parts")
+    placed = pairs.withColumn("node", node("r", "rc")).join(parts, "node").drop("node")
+    shape = placed.groupBy("root").agg(F.count_if("sure").alias("n"), F.count_distinct("rc").alias("nr"), F.count_distinct("ic").alias("ni"))
+    shape = saved(shape.select("root", (F.col("n") == F.col("nr") * F.col("ni")).alias("whole")), "part-shapes")
+    rooted = parts.join(shape, "root")
+    own = lambda rows, side: _class_of_row(rows).withColumn("node", node(side, "cls")).join(rooted, "node").drop("node")
     cents = lambda c: (quantize(F.col(c)) * 100).cast("long")
+    r = own(requests, "r").select("batch_id", "root", "whole", F.col("row_number").alias("at"), F.col("cls").alias("rc"), cents("amount").alias("r_cents"))
+    i = own(invoices, "i").select("batch_id", "root", "whole", F.col("invoice_seq").alias("at"), F.col("cls").alias("ic"), cents("total_amount").alias("i_cents"))
     tol = int(round(float(tolerance) * 100))
-    cls = lambda n, a, c: F.xxhash64(n, a, c)
-    rr = r.where("root IS NOT NULL").select("batch_id", "root", F.lit("r").alias("kind"), F.col("row_number").alias("at"), cls("name_key", "account_key", "code_key").alias("one"), F.lit(0).cast("long").alias("two"), cents("amount").alias("cents"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("boolean").alias("account"))
-    ii = i.where("root IS NOT NULL").select("batch_id", "root", F.lit("i").alias("kind"), F.col("invoice_seq").alias("at"), cls("name_key", "account_key", "code_key").alias("one"), F.lit(0).cast("long").alias("two"), cents("total_amount").alias("cents"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("boolean").alias("account"))
-    ss = scores.withColumn("node", of("r")).join(mixed, "node").select("batch_id", "root", F.lit("s").alias("kind"), F.lit(0).cast("long").alias("at"), cls("r_name", "r_account", "r_code").alias("one"), cls("i_name", "i_account", "i_code").alias("two"), F.lit(0).cast("long").alias("cents"), "sim", F.col("account_evidence").alias("account"))
+
+    nth = F.row_number().over(W.partitionBy("batch_id", "root").orderBy("at"))
+    left, right = (rows.where("whole").withColumn("k", nth).withColumnRenamed("at", to).drop("whole") for rows, to in ((r, "row_number"), (i, "invoice_seq")))
+    ranked = left.join(right, ["batch_id", "root", "k"]).join(pairs.drop("sure"), ["batch_id", "rc", "ic"])
+    ranked = ranked.select("batch_id", "row_number", "invoice_seq", F.lit(1.0).alias("confidence"), "sim", F.col("account_evidence").alias("account"), (F.abs(F.col("r_cents") - F.col("i_cents")) <= tol).alias("amount"))
+
+    row = lambda kind, rows, one, two, at, cents, sim, account: rows.where("NOT whole").select("batch_id", "root", F.lit(kind).alias("kind"), F.col(one).alias("one"), two.alias("two"), at.alias("at"), cents.alias("cents"), sim.alias("sim"), account.alias("account"))
+    zero, none, no = F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    rows = row("r", r, "rc", zero, F.col("at"), F.col("r_cents"), none, no).unionByName(row("i", i, "ic", zero, F.col("at"), F.col("i_cents"), none, no))
+    rows = rows.unionByName(row("s", placed.join(shape, "root"), "rc", F.col("ic"), zero, zero, F.col("sim"), F.col("account_evidence")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pick = lambda k: pdf[pdf["kind"] == k]
-        rows = lambda d: [(int(a), int(o), int(c)) for a, o, c in zip(d["at"], d["one"], d["cents"])]
+        items = lambda d: [(int(a), int(o), int(c)) for a, o, c in zip(d["at"], d["one"], d["cents"])]
         s = pick("s")
         base = {(int(a), int(b)): (float(x), bool(e)) for a, b, x, e in zip(s["one"], s["two"], s["sim"], s["account"])}
-        found = greedy(rows(pick("r")), rows(pick("i")), base, tol)
+        found = greedy(items(pick("r")), items(pick("i")), base, tol, least)
         columns = list(zip(*found)) if found else [[]] * 6
         return pd.DataFrame({"batch_id": pdf["batch_id"].iloc[0], "row_number": columns[0], "invoice_seq": columns[1], "confidence": columns[2], "sim": columns[3], "account": columns[4], "amount": columns[5]})
 
-    solved = rr.unionByName(ii).unionByName(ss).groupBy("batch_id", "root").applyInPandas(solve, "batch_id string, row_number long, invoice_seq long, confidence double, sim double, account boolean, amount boolean")
+    solved = rows.groupBy("batch_id", "root").applyInPandas(solve, "batch_id string, row_number long, invoice_seq long, confidence double, sim double, account boolean, amount boolean")
     _, reason = score_columns(F.col("sim"), F.col("account"), F.col("amount"))
-    return ranked.unionByName(solved.select("batch_id", "row_number", "invoice_seq", "confidence", reason.alias("reason")))
+    return ranked.unionByName(solved).select("batch_id", "row_number", "invoice_seq", "confidence", reason.alias("reason"))
 
 
 def rescue_by_amount(requests: DataFrame, invoices: DataFrame, taken: DataFrame, tolerance: str = "0.01") -> DataFrame:
@@ -324,8 +383,12 @@ def rescue_by_amount(requests: DataFrame, invoices: DataFrame, taken: DataFrame,
     r = requests.where(F.length("name_key") < 4).join(taken, ["batch_id", "row_number"], "left_anti").select("batch_id", "row_number", cents("amount").alias("rc"))
     i = invoices.join(taken, ["batch_id", "invoice_seq"], "left_anti").select("batch_id", "invoice_seq", cents("total_amount").alias("ic"))
     bucket = lambda c: F.floor(F.col(c) / (tol + 1)).cast("long")
-    near = r.withColumn("bucket", F.explode(F.array(*(bucket("rc") + k for k in (-1, 0, 1))))).join(i.withColumn("bucket", bucket("ic")), ["batch_id", "bucket"]).where(F.abs(F.col("rc") - F.col("ic")) <= tol)
-    pairs = saved(near.select("batch_id", "row_number", "invoice_seq"), "amount-pairs")
+    # invoices of one amount hide each other for good: no request can take one of them while the other is free
+    values = i.groupBy("batch_id", "ic").agg(F.count(F.lit(1)).alias("n"), F.min("invoice_seq").alias("invoice_seq"))
+    near = r.withColumn("bucket", F.explode(F.array(*(bucket("rc") + k for k in (-1, 0, 1))))).join(values.withColumn("bucket", bucket("ic")), ["batch_id", "bucket"]).where(F.abs(F.col("rc") - F.col("ic")) <= tol)
+    near = saved(near.select("batch_id", "row_number", "invoice_seq", "n"), "amount-pairs")
+    hidden = near.where("n > 1").select("batch_id", "row_number").distinct()
+    pairs = saved(near.where("n = 1").select("batch_id", "row_number", "invoice_seq").join(hidden, ["batch_id", "row_number"], "left_anti"), "amount-choices")
     node = lambda kind, c: F.xxhash64("batch_id", F.lit(kind), c)
     parts = components(pairs.select(node("r", "row_number").alias("a"), node("i", "invoice_seq").alias("b")))
 
@@ -354,13 +417,20 @@ def attach_unreadable(requests: DataFrame, unusable: DataFrame, similar: DataFra
 def pairings(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
     """A row for each request: batch_id, row_number, invoice_seq, confidence, reason.
 
-    A row without an invoice has a null invoice_seq and confidence 0.
+    A row without an invoice has a null invoice_seq and confidence 0.  Pairs that score 1
+    come first whatever else there is, so they are made first, from equal names, equal
+    accounts and names alike to 0.95; similar names are only searched for what is left.
     """
     requests, invoices = keyed(requests), keyed(invoices)
     usable, unusable = split_usable(invoices)
-    similar = saved(similar_name_candidates(requests, usable), "similar")
-    scores = saved(class_scores(requests, usable, similar), "scores")
-    first = saved(assign_one_to_one(requests, usable, scores, tolerance), "assigned")
+    certain = saved(best_class_scores(requests, usable), "best-scores")
+    top = saved(assign_one_to_one(requests, usable, certain, tolerance, least=1.0), "assigned-best")
+    left = requests.join(top.select("batch_id", "row_number"), ["batch_id", "row_number"], "left_anti")
+    free = usable.join(top.select("batch_id", "invoice_seq"), ["batch_id", "invoice_seq"], "left_anti")
+    left, free = saved(left, "requests-left"), saved(free, "invoices-free")
+    similar = saved(similar_name_candidates(left, free), "similar")
+    scores = saved(class_scores(left, free, similar), "scores")
+    first = top.unionByName(saved(assign_one_to_one(left, free, scores, tolerance), "assigned"))
     second = saved(rescue_by_amount(requests, usable, first.select("batch_id", "row_number", "invoice_seq"), tolerance).select("*", F.lit(0.5).alias("confidence"), F.lit(BY_AMOUNT).alias("reason")), "rescued")
     chosen = first.unionByName(second)
     open_ = requests.join(chosen.select("batch_id", "row_number"), ["batch_id", "row_number"], "left_anti")
