@@ -49,9 +49,12 @@ def repair_ocr_numbers(text: Column) -> Column:
     An O counts as a zero before a digit, point or comma of its number, or at the end of a
     number that has a point.  Numbers with more than 40 characters before the O stay.
     """
-    inner = F.regexp_replace(text, r"(?<=[0-9][0-9.,Oo]{0,40})[Oo](?=[Oo]*[0-9.,])", "0")
-    tail = F.regexp_replace(inner, r"(?<=[0-9][0-9.,Oo]{0,40}[.][0-9.,Oo]{0,40})[Oo](?=[Oo]*(?![0-9.,Oo]))", "0")
-    return F.regexp_replace(tail, r"(?U)\b([0-9]{1,3})\.([0-9]{3})\.([0-9]{2})\b", "$1,$2.$3")
+    # cheap conditions come first: most texts hold no such O, and most Os have no number in front
+    at = r"(?=[Oo])(?<=[0-9.,Oo])"
+    inner = F.regexp_replace(text, at + r"(?<=[0-9][0-9.,Oo]{0,40})[Oo](?=[Oo]*[0-9.,])", "0")
+    tail = F.regexp_replace(inner, at + r"(?=[Oo]+(?![0-9.,Oo]))(?<=[0-9][0-9.,Oo]{0,40}[.][0-9.,Oo]{0,40})[Oo]", "0")
+    repaired = F.when(F.rlike(text, F.lit("[0-9][.,]*[Oo]")), tail).otherwise(text)
+    return F.regexp_replace(repaired, r"(?U)\b([0-9]{1,3})\.([0-9]{3})\.([0-9]{2})\b", "$1,$2.$3")
 
 
 def classify_amount(number: Column, currency: Column) -> Column:
