@@ -25,6 +25,8 @@ MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Digits of numbers in base 32, and the alphabet that base32 text has for them.
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Characters that some reader may take for the end of a line, percent-encoded.
+_BREAKS = {c: "".join(f"%{b:02X}" for b in c.encode()) for c in "\r\n\x0b\x0c\x85\u2028\u2029"}
 #: Revisits up to this many are broadcast (16 bytes each); beyond, pages are joined by shuffle.
 MOST_BROADCAST = 100_000
 
@@ -62,13 +64,16 @@ def with_record_type(pages: DataFrame, least_payload: int = 0) -> DataFrame:
 def write(pages: DataFrame, path: str, least_payload: int = 0, records_a_file: int = 4096) -> None:
     """Write a record per row of pages (page_id, url, html).
 
-    Line breaks in a url are percent-encoded; a null url or id leaves its field out.
+    Line breaks in a url, those beyond ASCII too, are percent-encoded; a null url or id
+    leaves its field out.
     """
     typed = with_record_type(pages.select("page_id", "url", "html"), least_payload)
     payload = F.coalesce("html", F.lit(""))
     http = F.concat(_http(F.octet_length(payload)), F.lit(END))
     block = F.when(F.col("record_type") == "response", F.concat(http, payload)).otherwise(http)
-    uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    uri = F.col("url")
+    for mark, code in _BREAKS.items():
+        uri = F.replace(uri, F.lit(mark), F.lit(code))
     page = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     head = F.concat_ws(
@@ -87,7 +92,8 @@ def write(pages: DataFrame, path: str, least_payload: int = 0, records_a_file: i
 
 
 def _field(head: Column, name: str) -> Column:
-    found = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
+    # (?d): only \n ends a line, not U+0085, U+2028 or U+2029, which a url may hold
+    found = F.regexp_extract(head, rf"(?imd)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
     return F.when(found != "", found)
 
 

@@ -28,6 +28,18 @@ def test_round_trip(spark, tmp_path):
     assert texts[6] == INNER + " tail " + INNER and texts[8] == "" and texts[4] == "a\r\n\r\nb\r\n\r\n" and texts[1].endswith("xWARC/1.0\r\n")
 
 
+def test_urls_forge_no_field(spark, tmp_path):
+    odd = [f"http://a/{c}Content-Length: 3{c}WARC-Refers-To: <urn:page:9>{c}WARC-Payload-Digest: sha1:X{c}WARC-Type: revisit" for c in ("\u2028", "\x85", "\u2029", "\r", "\n", "\r\n", "\x0b", "\x0c")]
+    rows = [(i, u, f"<p>{i // 2}</p>") for i, u in enumerate(odd)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == expected(rows)
+    # a foreign file may hold them as they are
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.warc").write_bytes("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\u2028Content-Length: 3\x85WARC-Type: revisit\r\nWARC-Record-ID: <urn:page:4>\r\nContent-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc\r\n\r\n".encode())
+    assert [(r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.read(spark, f"file://{tmp_path}/f").collect()] == [(4, "response", 3)]
+
+
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(pages, f"file://{tmp_path}/w")
