@@ -290,19 +290,21 @@ def repeated_spans(docs: DataFrame, keep: list[str], text: str = "text", doc_id:
     flat = keyed.where(F.octet_length("text") >= size).select("k1", "k2", "text")
     anchors = saved(flat.mapInArrow(_anchor_rows(size, gram), "k1 long, k2 long, start int, len int, place int, h long, fp long"), "anchors")
     groups = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    groups = groups.where("n >= 2").select("h", (F.col("lo") == F.col("hi")).alias("alike"))
+    # written first, so that nothing but an exchange stands below the join and a hot anchor is split over tasks
+    groups = saved(groups.where("n >= 2").select("h", (F.col("lo") == F.col("hi")).alias("alike")), "anchor-groups")
     hits = saved(anchors.join(groups, "h"), "hits")
 
     mixed = hits.where("NOT alike")
     one = F.min(F.struct("k1", "k2", "start", "len", "place")).alias("one")
     classes = saved(mixed.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("n"), one).select("h", "fp", "n", "one.*"), "classes")
-    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    sizes = saved(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "class-counts")
     wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "fp", "n", "start", "len", "place")).alias("wanted"))  # at most a document's own segments
     cut = keyed.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "h long, fp long, n long, place int, seg binary")
     sized = saved(cut, "segments").join(sizes, "h")
     solved = sized.where(F.col("m") <= most).repartition(deal, "h").sortWithinPartitions("h", "fp").select("h", "fp", "n", "place", "seg").mapInArrow(_collections(size), f"h long, fp long, spans {_SPANS}")
     windows = sized.where(F.col("m") > most).select("h", "fp", "n", "seg").mapInArrow(_window_rows(size), "h long, fp long, n long, at int, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all >= 2").select("w1", "w2")
+    windows = saved(windows, "windows")
+    twice = saved(windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all >= 2").select("w1", "w2"), "windows-twice")
     counted = windows.join(twice, ["w1", "w2"]).groupBy("h", "fp").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + size).alias("to"))).alias("spans"))
     found = mixed.join(solved.unionByName(counted), ["h", "fp"]).select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"]).alias("to")))).alias("span"))
     whole = hits.where("alike").select("k1", "k2", F.struct(F.col("start").alias("from"), (F.col("start") + F.col("len")).alias("to")).alias("span"))
