@@ -5,9 +5,10 @@ word, hashed to ``2**bits`` slots.  Training follows the per-coordinate FTRL-pro
 rule; its L1 term leaves few weights, which travel to the scoring tasks as two short
 arrays (at most 2**bits entries).
 
-Training reads a bounded sample of the labelled rows (``max_rows``, 12,000), dealt by
-hash to ``shards`` tasks that learn side by side; weights are averaged.  One shard, the
-default, follows the sequential rule exactly.  Scoring reads the whole of every text.
+Training reads a bounded sample of the labelled rows: of distinct texts with their label,
+the ``max_rows`` (12,000) with the least hashes, dealt by hash to ``shards`` tasks that learn
+side by side; weights are averaged.  One shard, the default, follows the sequential rule
+exactly.  Scoring reads the whole of every text.
 """
 
 from __future__ import annotations
@@ -62,19 +63,24 @@ def train_shard(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: fl
     return slots, w[slots]
 
 
+def sample(labelled: DataFrame, max_rows: int, text: str = "text", label: str = "label") -> DataFrame:
+    """h, label, text: distinct texts with a 0/1 label, at most ``max_rows`` of them, those with the least hashes."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(3)))
+    least = rows.select("h", "label").distinct().orderBy("h", "label").limit(max_rows)
+    return rows.join(F.broadcast(least), ["h", "label"]).groupBy("h", "label").agg(F.min("text").alias("text"))
+
+
 def fit(
     labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = 12_000, shards: int = 1, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1e-3, epochs: int = 4
 ) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) from rows with a text and a 0/1 label; rows with a null in either are passed over.
 
-    Of more than ``max_rows`` rows, a hash of the text picks about that many.  Repeated
-    rows count as often as they occur.  Without rows nothing is toxic: all scores are near 0.
+    Rows with equal texts and labels count once, however often they occur; a text with both
+    labels counts for each.  Of more than ``max_rows`` such rows those with the least hashes
+    are taken, never more.  Without rows nothing is toxic: all scores are near 0.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    total = rows.count()
-    rate = min(1.0, max_rows / max(total, 1))
-    million = 1_000_000
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(million)) < int(rate * million)).withColumn("shard", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(shards)).cast("int"))
+    picked = sample(labelled, max_rows, text, label).withColumn("shard", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(shards)).cast("int"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +95,7 @@ def fit(
         slots, weights = train_shard(rows, table.column("label").to_numpy(), bits, alpha, beta, l1, l2, epochs)
         return pa.table({"slot": slots, "weight": weights})
 
-    found = sample.select("shard", "label", "text").mapInArrow(featurize, "shard int, label int, slots binary").groupBy("shard").applyInArrow(shard, "slot long, weight double")
+    found = picked.select("shard", "label", "text").mapInArrow(featurize, "shard int, label int, slots binary").groupBy("shard").applyInArrow(shard, "slot long, weight double")
     merged = found.groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()  # at most 2**bits + 1 rows, few after L1
     if merged.empty:
         return np.array([1 << bits]), np.array([-35.0])
@@ -121,8 +127,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the labelled documents that are not held out."""
-    known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
+    """text and label of the labelled documents that are not held out; of an id's labels the larger one holds."""
+    known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     return docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id").select("text", "label")
 
 

@@ -55,6 +55,46 @@ def test_held_out_accuracy_and_sparse_weights(spark):
     assert len(rows) > 150 and right / len(rows) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def slow_ftrl(rows, labels, bits, alpha, beta, l1, l2, epochs):
+    """The rule one coordinate at a time, in dictionaries."""
+    z, n = {}, {}
+    order = np.random.default_rng(7)
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= (l1 if k < 1 << bits else 0.0) else -(z[k] - np.sign(z[k]) * (l1 if k < 1 << bits else 0.0)) / ((beta + np.sqrt(n[k])) / alpha + l2)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            at = [*rows[r], 1 << bits]
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[r]
+            for k in at:
+                sigma = (np.sqrt(n.get(k, 0.0) + g * g) - np.sqrt(n.get(k, 0.0))) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+def test_training_follows_the_sequential_rule():
+    rnd = np.random.default_rng(3)
+    rows = [np.unique(rnd.integers(0, 64, 12)).astype(np.int32) for _ in range(60)]
+    labels = np.array([int(r[0] < 4) for r in rows])
+    slots, weights = X.train_shard(rows, labels, 8, 1.0, 1.0, 0.5, 1e-3, 3)
+    want = slow_ftrl([r.tolist() for r in rows], labels, 8, 1.0, 1.0, 0.5, 1e-3, 3)
+    assert dict(zip(slots.tolist(), np.round(weights, 9).tolist())) == {k: round(float(w), 9) for k, w in want.items()}
+
+
+def test_sample_is_bounded_and_copies_count_once(spark):
+    rows = [("same words again", 1)] * 3000 + [(f"text {i} of many", i % 2) for i in range(300)] + [("text 1 of many", 0), (None, 1), ("x", None)]
+    docs = spark.createDataFrame(rows, "text string, label int")
+    assert [X.sample(docs, most).count() for most in (100, 1000)] == [100, 302]
+
+
+def test_repeated_ids_and_very_long_texts_are_learnt_from(spark):
+    docs = spark.createDataFrame([(i % 50, f"vile stuff {i}" if i % 2 else "good " * 40000 + str(i)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(7, 1), (7, None), (None, 1)], "doc_id long, toxic int")
+    model = X.fit(X.training_rows(docs, labels))
+    assert X.training_rows(docs, labels).count() == docs.where(~held_out()).count()
+    assert all(r["predicted"] == 1 for r in X.score(docs, model).where("text LIKE 'vile%'").collect())
+
+
 def test_odd_rows_and_no_labels(spark):
     empty = spark.createDataFrame([], "text string, label int")
     model = X.fit(empty)
