@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,14 +45,92 @@ AD_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadc
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+_BEGIN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_STOP = re.compile(r"[>\"']")
 _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BETWEEN = re.compile(r"[\W\d_]+")
 _SHORT = 200
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str, list[bool]], ...], str]]:
-    """(kind, name, open elements as (name, marks, [does it hold an article]), text) in page order.
+class _Tags:
+    """Where the tags of a page are, in time that is linear in its length.
+
+    A ``>`` in quotes ends no tag; a quote that is never closed is an ordinary character.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.open: list[tuple[list[int], list[int]]] = []  # quoted spans of scans that found no end
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``at``, or -1."""
+        if at > self.last[">"]:
+            return -1
+        for begins, ends in self.open:
+            k = bisect_right(begins, at) - 1
+            if k < 0 or at > ends[k]:
+                return -1  # what stands in no quotes of an endless tag has no end either
+        begins, ends, start = [at], [at - 1], at
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            close = self.page.find(m[0], m.end()) if m.start() < self.last[m[0]] else -1
+            if close >= 0:
+                begins.append(m.start()), ends.append(close)
+            at = close + 1 if close >= 0 else m.end()
+        begins[0], ends[0] = -1, start - 1  # nothing is known of what comes before
+        self.open.append((begins, ends))
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, is it a closing one, name, attributes) of the next tag; no name for comments and declarations."""
+        page = self.page
+        while m := _BEGIN.search(page, at):
+            if m[1]:
+                to = page.find("-->", m.end())
+                return m.start(), len(page) if to < 0 else to + 3, False, "", ""
+            if m[2]:
+                to = page.find(">", m.end())
+                return m.start(), len(page) if to < 0 else to + 1, False, "", ""
+            to = self.end(m.end())
+            if to >= 0:
+                return m.start(), to + 1, bool(m[3]), m[4].lower(), page[m.end() : to]
+            at = m.end()  # a name holds no other beginning that ends elsewhere
+        return None
+
+
+class _Element:
+    """An open element; what is asked of all elements around it is kept with it."""
+
+    __slots__ = ("name", "marks", "parent", "path", "main", "article", "holds", "_beside")
+
+    def __init__(self, name: str, marks: str, parent: _Element | None):
+        self.name, self.marks, self.parent = name, marks, parent
+        self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else ''}/{name}.{marks}")
+        self.main = name in MAIN or bool(parent and parent.main)
+        self.article = name == "article" or bool(parent and parent.article)
+        self.holds = False
+        self._beside: bool | None = None
+
+    def beside(self) -> bool:
+        """Does what stands in it belong to no article?  Asked once the page is read."""
+        chain, x = [], self
+        while x is not None and x._beside is None:
+            chain.append(x)
+            x = x.parent
+        for x in reversed(chain):
+            inside = bool(x.parent and x.parent.main)
+            own = x.name in ASIDE or x.name == "header" and not inside or bool(x.marks) and x.name not in WHOLE and not x.holds and _listed(x.marks, inside)
+            x._beside = own or bool(x.parent and x.parent._beside)
+        return self._beside
+
+
+Token = tuple[str, str, _Element | None, str]
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """(kind, name, innermost open element, text) in page order.
 
     What an element holds is known once the page is read.  Articles within another one,
     such as comments, don't count.
@@ -60,45 +139,55 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, str, list[boo
     without text.  A ``<`` that begins no tag is text.  Elements left open end with the
     page, or where an enclosing one is closed.
     """
-    stack: list[tuple[str, str, list[bool]]] = []
-    at, n = 0, len(page)
+    stack: list[_Element] = []
+    opened: Counter[str] = Counter()
+    top = lambda: stack[-1] if stack else None
+
+    def drop() -> str:
+        gone = stack.pop().name
+        opened[gone] -= 1
+        return gone
+
+    at, n, tags = 0, len(page), _Tags(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        to = m.start() if m else n
+        tag = tags.next(at)
+        to = tag[0] if tag else n
         if to > at:
-            yield "text", "", tuple(stack), page[at:to]
-        if not m:
+            yield "text", "", top(), page[at:to]
+        if not tag:
             return
-        at = m.end()
-        name = (m[2] or "").lower()
+        _, at, closing, name, rest = tag
         if not name:
             continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is None:
-                if name == "p":
-                    yield "close", name, tuple(stack), ""
-                continue
-            del stack[depth:]
-            yield "close", name, tuple(stack), ""
+        if closing:
+            if opened[name] > 0:
+                while drop() != name:
+                    pass
+                yield "close", name, top(), ""
+            elif name == "p":
+                yield "close", name, top(), ""
             continue
-        marks = " ".join(f"{k.lower()}={(a or b or c).lower()}" for k, a, b, c in _MARK.findall(m[3])) if m[3] else ""
+        marks = " ".join(f"{k.lower()}={(a or b or c).lower()}" for k, a, b, c in _MARK.findall(rest)) if rest else ""
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            yield "open", name, tuple(stack), ""
+            yield "open", name, top(), ""
             at = end.end() if end else n
             continue
         closes = _SELF_CLOSING.get(name, set()) | ({"p"} if name in _CLOSES_P else set())
-        while stack and stack[-1][0] in INLINE and any(x[0] in closes for x in stack):
-            stack.pop()
-        while stack and stack[-1][0] in closes:
-            stack.pop()
-        if name in MAIN and not any(x[0] == "article" for x in stack):
-            for x in stack:
-                x[2][0] = True
-        yield "open", name, (*stack, (name, marks, [False])), ""
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, marks, [False]))
+        while stack and stack[-1].name in INLINE and any(opened[c] > 0 for c in closes):
+            drop()
+        while stack and stack[-1].name in closes:
+            drop()
+        element = _Element(name, marks, top())
+        if name in MAIN and not (element.parent and element.parent.article):
+            x = element.parent
+            while x is not None and not x.holds:
+                x.holds = True
+                x = x.parent
+        yield "open", name, element, ""
+        if name not in VOID and not rest.rstrip().endswith("/"):
+            stack.append(element)
+            opened[name] += 1
 
 
 @lru_cache(100_000)
@@ -111,35 +200,24 @@ def _listed(marks: str, inside: bool) -> bool:
     return False
 
 
-def _beside(stack: tuple[tuple[str, str, list[bool]], ...]) -> bool:
-    """Does what stands in these elements belong to no article?"""
-    inside = False
-    for name, marks, holds in stack:
-        if name in ASIDE or name == "header" and not inside or marks and name not in WHOLE and not holds[0] and _listed(marks, inside):
-            return True
-        inside |= name in MAIN
-    return False
-
-
-def _code(kind: str, name: str, stack: tuple[tuple[str, str, list[bool]], ...], text: str) -> int:
-    path = "/".join(f"{n}.{m}" if m else n for n, m, _ in stack)
-    return xxhash.xxh64_intdigest(f"{kind} {name} {path} {text}") - (1 << 63)
+def _code(kind: str, name: str, element: _Element | None, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind} {name} {element.path if element else ''} {text}") - (1 << 63)
 
 
-def coded(page: str) -> list[tuple[int, str, str, tuple[tuple[str, str, list[bool]], ...], str]]:
+def coded(page: str) -> list[tuple[int, str, str, _Element | None, str]]:
     """Tokens with their codes: 0 for text that can't be a token."""
     out = []
-    for kind, name, stack, text in tokens(page):
+    for kind, name, element, text in tokens(page):
         if kind != "text":
-            out.append((_code(kind, name, stack, ""), kind, name, stack, ""))
+            out.append((_code(kind, name, element, ""), kind, name, element, ""))
             continue
         clean = " ".join(html.unescape(text).split())
-        token = bool(clean) and len(clean) <= _SHORT and not any(x[0] in MAIN for x in stack)
-        out.append((_code(kind, name, stack, clean) if token else 0, kind, name, stack, text))
+        token = bool(clean) and len(clean) <= _SHORT and not (element and element.main)
+        out.append((_code(kind, name, element, clean) if token else 0, kind, name, element, text))
     return out
 
 
-def blocks(found: list[tuple[int, str, str, tuple[tuple[str, str, list[bool]], ...], str]], fixed: set[int] = frozenset(), breaks: set[int] = frozenset()) -> list[list[tuple[str, bool]]]:
+def blocks(found: list[tuple[int, str, str, _Element | None, str]], fixed: set[int] = frozenset(), breaks: set[int] = frozenset()) -> list[list[tuple[str, bool]]]:
     """(text, is it in an article) of each block, by slot; a slot ends at each place in breaks.
 
     Text at the places in fixed and text that belongs to no article are left out.
@@ -154,11 +232,11 @@ def blocks(found: list[tuple[int, str, str, tuple[tuple[str, str, list[bool]], .
             slots[-1].append((text, inside))
         block.clear()
 
-    for k, (_, kind, name, stack, text) in enumerate(found):
+    for k, (_, kind, name, element, text) in enumerate(found):
         if kind == "text":
-            if k in fixed or _beside(stack):
+            if k in fixed or element and element.beside():
                 continue
-            now = any(x[0] in MAIN for x in stack)
+            now = bool(element and element.main)
             if now != inside:
                 flush()
                 inside = now
@@ -176,7 +254,7 @@ def blocks(found: list[tuple[int, str, str, tuple[tuple[str, str, list[bool]], .
 
 def block_code(text: str) -> int:
     """Token of a block inside the article, wherever it stands there."""
-    return _code("block", "", (), text)
+    return _code("block", "", None, text)
 
 
 def host_of(url: Column) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 from tallyloom.llm import html_text as H
 
 PAGE = (
@@ -77,5 +79,18 @@ def test_invalid_classes_are_not_used():
     assert H.valid_tokens([1, 3, 2, 4], t) == {0, 2}
 
 
+def test_hostile_pages_take_no_time():
+    began = time.time()
+    for page in ("<a" * 200_000, "<a " * 100_000 + '">"', "<a '" * 100_000 + ">", '<a ""' * 100_000 + '">"', "<a <b '" * 50_000, "<!--" * 100_000, "<script>" * 100_000, "<a x='\">" * 50_000, '<a b="' + "<i>" * 100_000, "<" * 400_000):
+        H.main_text(page)
+    assert time.time() - began < 60
+
+
+def test_tags_with_quotes():
+    assert H.main_text('<p title="a > b">One</p><p title=\'x" > y\'>Two</p>') == "One\nTwo"
+    assert H.main_text('<p>a <b title="open>bold</b> c') == "a bold c"
+    assert H.main_text('1 < 2 and <a "x" and more') == '1 < 2 and <a "x" and more'
+
+
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
