@@ -25,6 +25,8 @@ from .arrow_text import chain, column_bytes, lower_ascii, text_slices, word_hash
 from .language_id import held_out
 
 BITS = 20
+#: Most training rows.
+MAX_ROWS = 12_000
 _PAIR, _SKIP = np.uint64(0x51ED270B9F652295), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -72,7 +74,7 @@ def sample(labelled: DataFrame, max_rows: int, text: str = "text", label: str =
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = 12_000, shards: int = 1, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1e-3, epochs: int = 4
+    labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = MAX_ROWS, shards: int = 1, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1e-3, epochs: int = 4
 ) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) from rows with a text and a 0/1 label; rows with a null in either are passed over.
 
@@ -126,10 +128,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the labelled documents that are not held out; of an id's labels the larger one holds."""
-    known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id").select("text", "label")
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """text and label of distinct labelled texts that are not held out, the ``max_rows`` with the least hashes.
+
+    Of an id's labels the larger one holds.  Hashes meet the labels first, so only the texts
+    that are picked are moved.
+    """
+    known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    hashed = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text", F.lit(3)).alias("h"))
+    least = hashed.select("doc_id", "h").join(known, "doc_id").select("h", "label").distinct().orderBy("h", "label").limit(max_rows)
+    texts = hashed.join(F.broadcast(least.select("h").distinct()), "h").groupBy("h").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(least), "h").select("text", "label")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

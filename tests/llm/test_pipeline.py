@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as C
 from tallyloom.llm import minhash_dedup, suffix_dedup
 from tallyloom.llm.language_id import held_out
@@ -30,6 +32,47 @@ def test_stages_follow_each_other(spark):
     assert {r["doc_id"] for r in packed} == set(after)
 
 
+def test_odd_rows_through_all_stages(spark):
+    """Nulls in every column, repeated ids and rows, very long texts, extra columns with the stages' own names."""
+    base = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
+    long = " ".join(t for _, t, *_ in base[:40]) * 6
+    odd = [(None, base[0][1], None, None, None), (base[1][0], base[1][1], "en", "x", 1), (base[1][0], base[2][1], "en", "x", 1), (9001, None, "en", "x", 0), (9002, "", None, "x", 0), (9003, long, "en", "x", 5), (9003, long, "en", "x", 5), (None, None, None, None, None)]
+    rows = [(*r, "s", 1) for r in base + odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, kept int")
+    now = docs
+    for name, stage in C.STAGES[:-1]:
+        before = now.count()
+        now = stage(spark, now, SF).cache()
+        assert now.columns == docs.columns and now.count() <= before
+        if name == "toxicity":
+            assert now.where("doc_id = 9001 AND text IS NULL").count() == 1 and now.where("doc_id IS NULL").count() == 2
+        if name == "language_id":  # texts without a letter have no language
+            assert now.where("text IS NULL OR text = ''").count() == 0 and now.where("doc_id IS NULL").count() == 1
+        if name == "near_dedup":  # rows that share an id stay or go together
+            assert now.where("doc_id = 9003").count() in (0, 2)
+    packed = C.STAGES[-1][1](spark, now, SF)
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(30):
+        words = [f"w{rnd.randint(0, 5000)}" for _ in range(100)]
+        rows.append((3 * k, " ".join(words)))
+        rows.append((3 * k + 1, " ".join(words + [f"v{rnd.randint(0, 5000)}" for _ in range(rnd.choice([10, 20, 24, 25, 40]))])))
+        rows.append((3 * k + 2, " ".join(words[: rnd.choice([95, 82, 80, 60])])))
+    grams = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    root = {d: d for d in grams}
+    for a in grams:
+        for b in grams:
+            if a < b and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {d: lo if r == hi else r for d, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in C.drop_near_copies(spark, docs, SF).collect()} == {d for d, r in root.items() if d == r}
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in C.STAGES:

@@ -91,7 +91,10 @@ def test_repeated_ids_and_very_long_texts_are_learnt_from(spark):
     docs = spark.createDataFrame([(i % 50, f"vile stuff {i}" if i % 2 else "good " * 40000 + str(i)) for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(7, 1), (7, None), (None, 1)], "doc_id long, toxic int")
     model = X.fit(X.training_rows(docs, labels))
-    assert X.training_rows(docs, labels).count() == docs.where(~held_out()).count()
+    rows = X.training_rows(docs, labels).collect()
+    assert sorted(r["text"] for r in rows) == sorted(r["text"] for r in docs.where(~held_out()).select("text").distinct().collect())
+    assert all(r["label"] == int("good" not in r["text"]) for r in rows)
+    assert X.training_rows(docs, labels, 7).count() == 7
     assert all(r["predicted"] == 1 for r in X.score(docs, model).where("text LIKE 'vile%'").collect())
 
 
