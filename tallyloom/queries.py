@@ -253,6 +253,15 @@ def _(spark, sf_dir):
     return X.invoice_texts(spark, sf_dir).select("doc_id", M.extract_total(N.fold_text(F.col("text"))).alias("total_amount"))
 
 
+@query("m5_extract_total_due", f"WITH base AS ({X.base_sql()}) SELECT row_number AS doc_id, amount AS total_amount FROM base")
+def _(spark, sf_dir):
+    """The amount due, below a larger one that no total cue marks."""
+    base = spark.sql(X.base_sql(), **X.tables(spark, sf_dir))
+    cue = F.element_at(F.array(*(F.lit(c) for c in ("Amount Due: ", "Balance  due ", "GRAND TOTAL HKD", "Total due: $"))), (F.col("row_number") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("Price "), F.format_number(F.col("amount") + 100, 2), F.lit("\nSub-total "), F.format_number(F.col("amount") + 50, 2), F.lit("\n"), cue, F.format_number("amount", 2))
+    return base.select(F.col("row_number").alias("doc_id"), M.extract_total(N.fold_text(text)).alias("total_amount"))
+
+
 @query("m6_quantize", "SELECT o_orderkey AS id, round(CAST(o_totalprice AS DECIMAL(18,2)) / 8 * 8, 2)::DECIMAL(18,2) AS cents, CAST(round(CAST(o_orderkey AS DECIMAL(18,3)) + 0.005, 2) AS DECIMAL(18,2)) AS half FROM orders")
 def _(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -386,53 +395,37 @@ def _(spark, sf_dir):
     return P.similar_name_candidates(P.keyed(r), P.keyed(i)).select("batch_id", "r_name", "i_name", "sim")
 
 
-_TRUE_PAIRS = """SELECT r.batch_id, r.row_number, i.invoice_seq,
-CAST(least(CASE WHEN i.bank_account <> '' THEN 1.0 + 0.1 ELSE 1.0 END + CASE WHEN abs(r.amount - i.total_amount) <= 0.01 THEN 0.05 ELSE 0.0 END, 1.0) AS DOUBLE) AS score,
-'name similarity 1.00' || CASE WHEN i.bank_account <> '' THEN ', bank account matches' ELSE '' END || CASE WHEN abs(r.amount - i.total_amount) <= 0.01 THEN ', invoice total agrees with the requested amount' ELSE '' END AS reason
-FROM requests r JOIN invoices i ON r.batch_id = i.batch_id AND r.payee_name = i.payee_name WHERE i.total_amount IS NOT NULL AND r.row_number = i.invoice_seq"""
-
-
-def _scored(spark, sf_dir):
-    """Pairs of equal names, of one order each."""
-    r, i = X.ledger(spark, sf_dir, "U")
-    i = i.where("payee_name NOT LIKE 'Q%' AND payee_name <> ''")
-    r, i = P.keyed(r), P.split_usable(P.keyed(i))[0]
-    none = spark.createDataFrame([], "batch_id string, r_name string, i_name string, sim double")
-    return r, i, saved(P.class_scores(r, i, none), "scores")
+def _scored(spark, sf_dir, variant):
+    """(requests, readable invoices, class scores) of a whole ledger."""
+    r, i = (P.keyed(t) for t in X.ledger(spark, sf_dir, variant))
+    i = P.split_usable(i)[0]
+    return r, i, saved(P.class_scores(r, i, saved(P.similar_name_candidates(r, i), "similar")), "scores")
 
 
-@query("p6_score_candidates", _ledger_sql(_TRUE_PAIRS + " AND i.payee_name NOT LIKE 'Q%' AND i.payee_name <> ''", "U"))
+@query("p6_score_candidates")
 def _(spark, sf_dir):
-    return P.score_candidates(*_scored(spark, sf_dir))
+    """Pairs by name, misspelt name or account of the whole ledger; similarity is beyond SQL."""
+    return P.score_candidates(*_scored(spark, sf_dir, "U"))
 
 
 @query("p7_assign_one_to_one", _RESULTS + "SELECT batch_id, row_number, invoice_seq, confidence, reason FROM pairs WHERE confidence > 0")
 def _(spark, sf_dir):
-    r, i = X.ledger(spark, sf_dir)
-    r, i = P.keyed(r), P.split_usable(P.keyed(i))[0]
-    none = spark.createDataFrame([], "batch_id string, r_name string, i_name string, sim double")
-    return P.assign_one_to_one(r, i, saved(P.class_scores(r, i, none), "scores"))
+    return P.assign_one_to_one(*_scored(spark, sf_dir, "E"))
 
 
-@query(
-    "p8_rescue_by_amount",
-    _ledger_sql("""SELECT r.batch_id, r.row_number, min(i.invoice_seq) AS invoice_seq FROM requests r JOIN invoices i ON r.batch_id = i.batch_id AND abs(r.amount - i.total_amount) <= 0.00
-WHERE r.row_number % 9 = 0 AND i.total_amount IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1 AND max(r.amount) NOT IN (SELECT amount FROM requests q WHERE q.batch_id = r.batch_id AND q.row_number % 9 = 0 AND q.row_number <> r.row_number)"""),
-)
+@query("p8_rescue_by_amount")
 def _(spark, sf_dir):
-    """Every ninth request's name is lost; requests that share an amount are left out of this check."""
+    """All names lost, no invoice taken yet: requests compete in their order, which is beyond SQL."""
     r, i = X.ledger(spark, sf_dir)
-    r = P.keyed(r.where("row_number % 9 = 0").withColumn("payee_name", F.lit("??")))
-    alone = r.groupBy("batch_id", "amount").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     taken = spark.createDataFrame([], "batch_id string, row_number long, invoice_seq long")
-    return P.rescue_by_amount(r.join(alone, ["batch_id", "amount"]), P.split_usable(P.keyed(i))[0], taken, "0.00")
+    return P.rescue_by_amount(P.keyed(r.withColumn("payee_name", F.lit("??"))), P.split_usable(P.keyed(i))[0], taken)
 
 
 @query("p9_attach_unreadable", _ledger_sql("SELECT r.batch_id, r.row_number, min(i.invoice_seq) AS invoice_seq FROM requests r JOIN invoices i ON r.batch_id = i.batch_id AND r.payee_name = i.payee_name WHERE i.total_amount IS NULL GROUP BY 1, 2"))
 def _(spark, sf_dir):
-    r, i = X.ledger(spark, sf_dir)
-    none = spark.createDataFrame([], "batch_id string, r_name string, i_name string, sim double")
-    return P.attach_unreadable(P.keyed(r), P.split_usable(P.keyed(i))[1], none)
+    r, i = (P.keyed(t) for t in X.ledger(spark, sf_dir))
+    late = P.split_usable(i)[1]
+    return P.attach_unreadable(r, late, P.similar_name_candidates(r, late))
 
 
 @query("p10_pairings", _RESULTS + "SELECT * FROM pairs")
@@ -458,6 +451,12 @@ def _(spark, sf_dir):
     return _found(spark, sf_dir).select("batch_id", "row_number", "status", "invoice_amount", "difference")
 
 
+@query("v1_verify_full")
+def _(spark, sf_dir):
+    """Verdicts of the ledger with misspelt and empty names and lost amounts, end to end."""
+    return reconcile(*X.ledger(spark, sf_dir, "L")).select("batch_id", "row_number", "invoice_seq", "status", "invoice_amount", "difference", "reason")
+
+
 @query("v2_verdict_note", _RESULTS + "SELECT batch_id, row_number, note FROM results")
 def _(spark, sf_dir):
     return _found(spark, sf_dir).select("batch_id", "row_number", "note")

@@ -93,6 +93,35 @@ def test_pairings_against_all_pairs(spark, seed):
     assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
 
 
+def test_rescues_in_turn_against_a_plain_walk(spark):
+    rnd = random.Random(11)
+    requests = [("b", k, "P", "??", "", "", "", rnd.choice([100.0, 100.01, 100.02, 100.03, 200.0, 300.0, 300.01, 400.0 + k])) for k in range(60)]
+    invoices = [("b", k, "i", "OCR_LOCAL", v, "", "", "") for k, v in enumerate([100.0, 100.02, 200.0, 200.0, 300.01, 300.02, *(400.0 + k for k in range(0, 60, 3)), 407.0])]
+    r, i = frames(spark, requests, invoices)
+    none = spark.createDataFrame([], "batch_id string, row_number long, invoice_seq long")
+    got = sorted((x["row_number"], x["invoice_seq"]) for x in P.rescue_by_amount(P.keyed(r), P.keyed(i), none).collect())
+    used, want = set(), []
+    for x in requests:
+        free = [v[1] for v in invoices if v[1] not in used and abs(x[7] - v[4]) <= 0.0101]
+        if len(free) == 1:
+            used.add(free[0])
+            want.append((x[1], free[0]))
+    assert got == want and len(want) >= 4
+
+
+def test_hot_payee_with_a_misspelt_invoice_is_paired_by_rank(spark):
+    requests = [("b", k, "P", "Solar Wind Limited", "004", "77", "", float(k % 7)) for k in range(400)]
+    invoices = [("b", k, "i", "OCR_LOCAL", float(k % 5), "Solar Wind Limited" if k % 100 else "Solar Wimd Limited", "004", "77") for k in range(380)]
+    r, i = (P.keyed(t) for t in frames(spark, requests, invoices))
+    best = P.best_class_scores(r, i)
+    solve, P.greedy = P.greedy, None  # the helper is not needed: all pairs of this part score 1
+    try:
+        got = P.assign_one_to_one(r, i, best, least=1.0).collect()
+    finally:
+        P.greedy = solve
+    assert sorted((x["row_number"], x["invoice_seq"]) for x in got) == [(k, k) for k in range(380)]
+
+
 def test_similar_names_lose_no_pair(spark):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 14))) for _ in range(150)] + ["a", "bc", "abcabcabc", "abcabc"]
