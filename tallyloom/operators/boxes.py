@@ -1,55 +1,64 @@
-"""Text lines from the word boxes of a page."""
+"""Text lines from the word boxes of a page, in column functions: one shuffle by page, no Python."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-_Box = tuple[float, float, float, float, str]
+_WORDS = "array<struct<left:double,at:int,right:double,text:string>>"
+_BANDS = f"array<struct<top:double,bottom:double,words:{_WORDS}>>"
+_EDGE_BLANKS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 
 
-def lines_of(boxes: list[_Box], overlap: float = 0.5, gap: float = 24.0) -> list[str]:
-    """Lines of (top, bottom, left, right, text) boxes.
+def _fits(box: Column, band: Column, overlap: float) -> Column:
+    """Whether the box shares enough of the lower of both heights with the band."""
+    shared = F.least(box["bottom"], band["bottom"]) - F.greatest(box["top"], band["top"])
+    lower = F.greatest(F.least(box["bottom"] - box["top"], band["bottom"] - band["top"]), F.lit(1.0))
+    return (shared > 0) & (shared / lower >= overlap)
+
+
+def bands(boxes: Column, overlap: float) -> Column:
+    """The rows of a page: its boxes, from the top on, each put into the first band that it fits, which it widens."""
+
+    def add(found: Column, box: Column) -> Column:
+        word = F.array(F.struct(box["left"].alias("left"), box["at"].alias("at"), box["right"].alias("right"), box["text"].alias("text")))
+        home = F.array_position(F.transform(found, lambda b: _fits(box, b, overlap)), F.lit(True))
+        wider = F.transform(
+            found,
+            lambda b, i: F.when(
+                i + 1 == home,
+                F.struct(b["top"].alias("top"), F.greatest(b["bottom"], box["bottom"]).alias("bottom"), F.concat(b["words"], word).alias("words")),
+            ).otherwise(b),
+        )
+        fresh = F.concat(found, F.array(F.struct(box["top"].alias("top"), box["bottom"].alias("bottom"), word.alias("words"))))
+        return F.when(home > 0, wider).otherwise(fresh).cast(_BANDS)
+
+    return F.aggregate(boxes, F.array().cast(_BANDS), add)
 
-    From the top on, a box joins the first row whose band it shares by ``overlap`` of the
-    lower height, and widens that band.  In a row, boxes stand from left to right: two blanks
-    between them where the gap is over ``gap``, one where there is any gap, else none.
-    """
-    rows: list[list] = []
-    for box in sorted(boxes, key=lambda b: (b[0], b[2])):
-        top, bottom = box[0], box[1]
-        for row in rows:
-            shared = min(bottom, row[1]) - max(top, row[0])
-            if shared > 0 and shared / min(max(bottom - top, 1.0), max(row[1] - row[0], 1.0)) >= overlap:
-                row[0], row[1] = min(row[0], top), max(row[1], bottom)
-                row[2].append(box)
-                break
-        else:
-            rows.append([top, bottom, [box]])
-    lines = []
-    for _, _, items in sorted(rows, key=lambda r: r[0]):
-        line, edge = "", None
-        for _, _, left, right, text in sorted(items, key=lambda b: b[2]):
-            if text:
-                if edge is not None and left > edge:
-                    line += "  " if left - edge > gap else " "
-                line += text
-            edge = right
-        if line.strip():
-            lines.append(line.strip())
-    return lines
+
+def line_text(words: Column, gap: float) -> Column:
+    """The words of a row from left to right: two blanks where the gap is over ``gap``, one where there is any, else none."""
+
+    def add(so_far: Column, word: Column) -> Column:
+        free = word["left"] - so_far["edge"]
+        blanks = F.when(free > gap, F.lit("  ")).when(free > 0, F.lit(" ")).otherwise(F.lit(""))
+        text = F.when(word["text"] == "", so_far["text"]).otherwise(F.concat(so_far["text"], blanks, word["text"]))
+        return F.struct(text.alias("text"), word["right"].alias("edge")).cast("struct<text:string,edge:double>")
+
+    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("edge")).cast("struct<text:string,edge:double>")
+    return F.aggregate(F.array_sort(words), start, add, lambda done: F.regexp_replace(done["text"], _EDGE_BLANKS, ""))
 
 
 def boxes_to_lines(boxes: DataFrame, overlap: float = 0.5, gap: float = 24.0) -> DataFrame:
     """doc_id, page_no, line_no, line of boxes (doc_id, page_no, top, bottom, left, right, text).
 
-    Boxes with a null edge are left out; a null text is empty.  One page is one group.
+    Boxes with a null edge are left out; a null text is empty, and takes its place in the row
+    without a word.  Rows without text give no line.  Boxes of one place go by right edge and
+    text.  A page's boxes are one array.
     """
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = lines_of([(r.top, r.bottom, r.left, r.right, r.text or "") for r in pdf.itertuples()], overlap, gap)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page_no": pdf["page_no"].iloc[0], "line_no": range(len(found)), "line": found})
-
-    kind = dict(boxes.dtypes)["doc_id"]
     edges = boxes.dropna(subset=["top", "bottom", "left", "right"])
-    return edges.groupBy("doc_id", "page_no").applyInPandas(page, f"doc_id {kind}, page_no int, line_no int, line string")
+    box = F.struct(*(F.col(c).cast("double").alias(c) for c in ("top", "left", "bottom", "right")), F.coalesce("text", F.lit("")).alias("text"))
+    pages = edges.groupBy("doc_id", F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    numbered = F.transform("boxes", lambda b, i: b.withField("at", i))
+    lines = F.transform(bands(numbered, overlap), lambda b: line_text(b["words"], gap))
+    return pages.select("doc_id", "page_no", F.posexplode(F.filter(lines, lambda t: t != "")).alias("line_no", "line"))

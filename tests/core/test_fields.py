@@ -24,10 +24,12 @@ def test_three_layouts_and_odd_texts(spark):
     assert got[4] == got[5] == ("", "", "", "", "", None, 1)
 
 
-def test_boxes():
+def test_boxes(spark):
     boxes = [(482, 502, 10, 60, "Payee"), (484, 504, 70, 120, "Name"), (500, 520, 400, 460, "low"), (486, 505, 200, 260, "ABC"), (490, 500, 255, 300, "DEF"), (700, 720, 0, 10, ""), (701, 719, 12, 20, "end")]
-    assert B.lines_of(boxes) == ["Payee Name  ABCDEF", "low", "end"]
-    assert B.lines_of([]) == []
+    kinds = "doc_id long, page_no int, top double, bottom double, left double, right double, text string"
+    df = spark.createDataFrame([(7, 1, *(float(x) for x in b[:4]), b[4]) for b in boxes], kinds)
+    assert [r["line"] for r in B.boxes_to_lines(df).orderBy("line_no").collect()] == ["Payee Name  ABCDEF", "low", "end"]
+    assert B.boxes_to_lines(spark.createDataFrame([], kinds)).count() == 0
 
 
 def test_boxes_table(spark):
