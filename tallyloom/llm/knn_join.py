@@ -1,12 +1,13 @@
 """Exact top-k search by inner product: a kNN join over a Voronoi partition.
 
-Pivots come from a bounded sample.  Data and queries fall into the cells of their nearest
-pivots, and each cell is summed up by its count, radius and largest norm.  From these
-summaries alone follows, for every cell of queries, a score that the k best of each of its
-queries reach.  A data vector is sent to a cell of queries only where its score with the
-pivot, plus the most that a query's distance from the pivot can add, reaches that score.
-The rest is local: blocks of queries against slices of the data sent to their cell, then
-a merge of the best of each slice.
+Pivots come from a bounded sample, more of them for more data.  Data and queries fall into
+the cells of their nearest pivots, and each cell of data is summed up by its count, radius
+and largest norm.  From these summaries alone follows, for every query, a score that its k
+best surely reach, and for every cell the most that it can hold for the query.  Only where
+the second reaches the first, the query and the cell meet: cells of queries stand together
+in large blocks, a slice of data is sent once to each block that has a query for its cell,
+and a query only to the slices of the cells that it needs.  The rest is local, and a merge
+of the best of each slice.
 
 Scores are exact integers.  The bounds only decide what is sent, and err on the safe side.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..storage import saved
 
-#: Vectors that are multiplied with a block of queries at once.
-_CHUNK = 4096
+#: Vectors and queries that are multiplied at once.
+_CHUNK, _QUERIES = 4096, 512
 
 
 def quantized(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -54,39 +55,62 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def choose_pivots(vectors: DataFrame, n: int, width: int, sample: int = 2048) -> np.ndarray:
-    """n centres of a sample of about ``sample`` vectors, picked by a hash."""
-    total = vectors.count()
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = (x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(axis=1)[None]
+    cell = d.argmin(axis=1)
+    return cell, np.linalg.norm(x - pivots[cell], axis=1)
+
+
+def choose_pivots(vectors: DataFrame, total: int, n: int, width: int, sample: int = 4096) -> np.ndarray:
+    """n centres (fewer where there are fewer vectors) of a sample of about ``sample`` of the ``total`` vectors, picked by a hash."""
     share = min(1.0, sample / max(total, 1))
-    picked = vectors.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").toArrow()
+    picked = vectors.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("v").distinct().limit(4 * sample).toArrow()
     points = matrix(picked.column("v"), width).astype(float) if picked.num_rows else np.zeros((1, width))
     points = np.unique(points, axis=0)
     centres = points[np.random.default_rng(5).permutation(len(points))[:n]]
     for _ in range(4):
-        near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        centres = np.array([points[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
+        cell = _nearest(points, centres)[0]
+        centres = np.array([points[cell == k].mean(axis=0) if (cell == k).any() else centres[k] for k in range(len(centres))])
     return centres
 
 
-def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = (x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(axis=1)[None]
-    cell = d.argmin(axis=1)
-    return cell, np.linalg.norm(x - pivots[cell], axis=1)
-
+def reach(q: np.ndarray, pivots: np.ndarray, count: np.ndarray, radius: np.ndarray, norm: np.ndarray, k: int) -> np.ndarray:
+    """Which queries (rows) have to meet which cells of data (columns), as booleans.
 
-def floors(pivots: np.ndarray, queries: dict[int, float], counts: dict[int, int], radii: dict[int, float], k: int) -> dict[int, float]:
-    """For each cell of queries (with its radius), a score that k others of every query surely reach; -inf where fewer than k exist."""
-    norms = np.linalg.norm(pivots, axis=1)
-    out = {}
-    for g, rho in queries.items():
-        # least score of any query of cell g with any vector of cell c
-        sure = {c: float(pivots[g] @ pivots[c] - rho * norms[c] - norms[g] * radii[c] - rho * radii[c]) for c in counts}
-        have, out[g] = 0, -np.inf
-        for c in sorted(sure, key=sure.get, reverse=True):
-            have += counts[c]
-            if have >= k + 1:  # the query itself may be one of them
-                out[g] = sure[c] - 1e-6 * (1 + abs(sure[c]))
-                break
+    With x in a cell around p, q x lies within |q| radius of q p, and is at most |q| norm.
+    From the cells of surest scores on, as soon as k others than the query are counted, the
+    query's k best surely reach that cell's surest score.
+    """
+    if not len(q):
+        return np.zeros((0, len(pivots)), bool)
+    middle, length = q @ pivots.T, np.linalg.norm(q, axis=1)[:, None]
+    sure, most = middle - length * radius, np.minimum(middle + length * radius, length * norm)
+    order = np.argsort(-sure, axis=1, kind="stable")
+    have = np.cumsum(count[order], axis=1) >= k + 1  # the query itself may be one of them
+    at = order[np.arange(len(q)), have.argmax(axis=1)]
+    least = np.where(have[:, -1], sure[np.arange(len(q)), at], -np.inf)[:, None]
+    slack = 1e-9 * (1 + length * (np.abs(norm) + np.linalg.norm(pivots, axis=1) + radius))
+    return (most + slack >= least - slack) & (count > 0)
+
+
+def deal_blocks(pivots: np.ndarray, counts: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """(first block, number of blocks) of each cell of queries: small cells share a block with near ones, large ones have several."""
+    out, used, now = {}, 0, 0
+    left = sorted(counts)
+    at = left[0] if left else None
+    while left:
+        left.remove(at)
+        n = counts[at]
+        if n > block:
+            parts = -(-n // block)
+            out[at] = (used + (1 if now else 0), parts)
+            used, now = out[at][0] + parts, 0
+        else:
+            if now + n > block:
+                used, now = used + 1, 0
+            out[at], now = (used, 1), now + n
+        if left:
+            at = min(left, key=lambda c: float(((pivots[c] - pivots[at]) ** 2).sum()))
     return out
 
 
@@ -120,61 +144,74 @@ def best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k:
     return rows[rank < k], ids[rank < k], scores[rank < k]
 
 
-def knn_join(queries: DataFrame, data: DataFrame, k: int = 20, pivots: int = 16, block: int = 512, slice_rows: int = 20_000) -> DataFrame:
+def knn_join(queries: DataFrame, data: DataFrame, k: int = 20, pivots: int | None = None, block: int = 16_384, slice_rows: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query with the data, ties to smaller ids.
 
     Both tables have vec_id long and v array<long> (see ``quantized``); shorter vectors count
     as ending in zeros.  Data with the query's id is the query itself and left out.  Equal
     query rows are answered once; rows that share an id but not the vector are answered each.
+    Equal rows of data are ranked each.  pivots: by default one for 4,096 rows, 16 to 256.
     """
-    width = data.agg(F.max(F.size("v"))).first()[0] or 1
-    width = max(width, queries.agg(F.max(F.size("v"))).first()[0] or 1)
-    centres = choose_pivots(data, pivots, width)
+    spark = data.sparkSession
+    sizes = data.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    width = max(1, sizes["w"] or 1, queries.agg(F.max(F.size("v"))).first()[0] or 1)
+    centres = choose_pivots(data, sizes["n"], pivots or min(256, max(16, sizes["n"] // 4096)), width)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("v"), width).astype(float)
             cell, far = _nearest(x, centres) if len(x) else (np.zeros(0, int), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
-
-    kinds = "vec_id long, v array<long>, cell int, far double"
-    asked = saved(queries.select("vec_id", "v").distinct().mapInArrow(cells, kinds), "queries")
-    held = data.select("vec_id", "v").mapInArrow(cells, kinds)
-    summary = {r["cell"]: r for r in held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # one row a pivot
-    groups = {r["cell"]: r for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
-    least = floors(centres, {c: r["far"] for c, r in groups.items()}, {c: r["n"] for c, r in summary.items()}, {c: r["far"] for c, r in summary.items()}, k)
-    total = sum(r["n"] for r in summary.values())
-    slices = max(1, -(-total // slice_rows))
-    blocks = {c: max(1, -(-r["n"] // block)) for c, r in groups.items()}
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs of vectors for each cell of queries and slice."""
-        names = ["g", "slice", "ids", "rows"]
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.linalg.norm(x, axis=1))], names=["cell", "far", "norm"])
+
+    held = data.select("v").mapInArrow(cells, "cell int, far double, norm double").groupBy("cell")
+    count, radius, norm = np.zeros(len(centres), np.int64), np.zeros(len(centres)), np.zeros(len(centres))
+    for r in held.agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect():  # one row a pivot
+        count[r["cell"]], radius[r["cell"]], norm[r["cell"]] = r["n"], r["far"], r["norm"]
+    slices = np.maximum(1, -(-count // slice_rows))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = matrix(batch.column("v"), width)
-            ids = batch.column("vec_id").to_numpy()
-            x = whole.astype(float)
-            norms = np.linalg.norm(x, axis=1)
-            part = (ids * 0x9E3779B1 % (1 << 32)) % slices
-            out = []
-            for g, r in groups.items():
-                reach = np.flatnonzero(x @ centres[g] + r["far"] * norms * (1 + 1e-9) + 1e-6 >= least[g])
-                for s in np.unique(part[reach]):
-                    some = reach[part[reach] == s]
-                    out.append((g, int(s), ids[some].tobytes(), whole[some].astype(np.int64).tobytes()))
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=names)
+            x = matrix(batch.column("v"), width).astype(float)
+            own = _nearest(x, centres)[0] if len(x) else np.zeros(0, int)
+            needed = reach(x, centres, count, radius, norm, k)
+            where = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], needed.sum(axis=1).cumsum()]).astype(np.int32)), pa.array(np.nonzero(needed)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int32)), where], names=["vec_id", "v", "own", "needed"])
 
-    spark = data.sparkSession
-    deal = spark.createDataFrame([(int(c), int(n)) for c, n in blocks.items()], "g int, n int").select("g", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    sent = data.select("vec_id", "v").mapInArrow(send, "g int, slice int, ids binary, rows binary").join(deal, "g")
-    block_of = F.create_map(*(F.lit(x) for c, n in blocks.items() for x in (int(c), int(n)))) if blocks else F.lit(None)
-    wanted = asked.withColumn("g", F.col("cell"))
-    if blocks:
-        wanted = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), block_of[F.col("g")]).cast("int"))
-    else:
-        wanted = wanted.withColumn("block", F.lit(0))
-    wanted = wanted.withColumn("qkey", F.xxhash64("v")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("g", "block", "slice", "vec_id", "qkey", "v")
+    asked = saved(queries.select("vec_id", "v").distinct().mapInArrow(ask, "vec_id long, v array<long>, own int, needed array<int>"), "queries")
+    blocks = deal_blocks(centres, {r["own"]: r["n"] for r in asked.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}, block)
+    met = asked.select("own", F.explode("needed").alias("cell")).distinct().collect()  # at most the square of the pivots
+    deal = sorted({(r["cell"], b) for r in met for b in range(blocks[r["own"]][0], sum(blocks[r["own"]]))})
+
+    odd = np.random.default_rng(11).integers(0, 1 << 63, width + 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors by cell and slice; of equal rows in a batch no more than can be among the k best."""
+        for batch in batches:
+            whole, ids = matrix(batch.column("v"), width).astype(np.int64), batch.column("vec_id").to_numpy()
+            if not len(ids):
+                continue
+            cell = _nearest(whole.astype(float), centres)[0]
+            mixed = (ids.astype(np.uint64) * odd[0] + whole.astype(np.uint64) @ odd[1:]) >> np.uint64(33)
+            part = (mixed % slices[cell].astype(np.uint64)).astype(np.int64)
+            if len(np.unique(ids)) < len(ids):
+                order = np.lexsort((*whole.T, ids))
+                fresh = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (whole[order][1:] != whole[order][:-1]).any(axis=1)])
+                first = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
+                kept = np.sort(order[np.arange(len(ids)) - first < k])
+                whole, ids, cell, part = whole[kept], ids[kept], cell[kept], part[kept]
+            order = np.lexsort((part, cell))
+            cuts = np.flatnonzero(np.diff(cell[order]) | np.diff(part[order])) + 1
+            groups = np.split(order, cuts)
+            columns = [pa.array([int(v[g[0]]) for g in groups], pa.int32()) for v in (cell, part)]
+            columns += [pa.array([v[g].tobytes() for g in groups], pa.binary()) for v in (ids, whole)]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "slice", "ids", "rows"])
+
+    sent = data.select("vec_id", "v").mapInArrow(packs, "cell int, slice int, ids binary, rows binary").join(spark.createDataFrame(deal, "cell int, block int"), "cell")
+    first_and_n = spark.createDataFrame([(c, *b) for c, b in blocks.items()], "own int, first int, n int")
+    n_slices = spark.createDataFrame([(c, int(n)) for c, n in enumerate(slices)], "cell int, slices int")
+    wanted = asked.join(first_and_n, "own").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("n")).cast("int"))
+    wanted = wanted.select("block", "vec_id", F.xxhash64("v").alias("qkey"), "v", F.explode("needed").alias("cell")).join(n_slices, "cell")
+    wanted = wanted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -184,10 +221,13 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int = 20, pivots: int = 16,
             q_ids, q_keys = left.column("vec_id").to_numpy(), left.column("qkey").to_numpy()
             x_ids = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int64)
             x = np.frombuffer(b"".join(right.column("rows").to_pylist()), np.int64).reshape(-1, width)
-            rows, ids, scores = best(q_ids, matrix(left.column("v"), width), x_ids, x, k)
+            q = matrix(left.column("v"), width)
+            some = [best(q_ids[at : at + _QUERIES], q[at : at + _QUERIES], x_ids, x, k) for at in range(0, len(q), _QUERIES)]
+            rows = np.concatenate([r + at * _QUERIES for at, (r, _, _) in enumerate(some)])
+            ids, scores = (np.concatenate(c) for c in list(zip(*some))[1:])
         return pa.table({"query_id": q_ids[rows], "qkey": q_keys[rows], "vec_id": ids, "score": scores})
 
-    keys = ("g", "block", "slice")
+    keys = ("block", "cell", "slice")
     found = wanted.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(solve, "query_id long, qkey long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
