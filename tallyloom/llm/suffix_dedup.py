@@ -18,10 +18,13 @@ anywhere else in the corpus.  No two documents are compared and no text is sorte
    among those of their own column, which is enough because equal windows stand at equal
    places from their anchors, and it takes one step a symbol where the transform of all
    suffixes would take as many as there are shorter suffixes.  Columns are read in
-   sequence and a collection is bounded, so it needs no files of its own.  Groups with
-   more than ``most`` classes are not taken into one task: their windows are counted one
-   by one by a 128-bit hash.
-4. Repeated runs go back to their documents by (hash, segment) and then by document.
+   sequence and a collection is bounded, so it needs no files of its own.
+4. A group with more than ``most`` classes is too much for one task.  Its segments are cut
+   into parts with fewer windows, by the distance from the window's start to the anchor;
+   all windows of a part share the bytes in its middle (``narrower``), so parts group by
+   the hash of those, much longer than an anchor, and steps 2 and 3 begin again with them.
+   A part of one window has only equal ones in its group, so that this always ends.
+5. Repeated runs go back to their documents by (hash, segment) and then by document.
 
 Rows that are equal in id and text are interchangeable, each counts as a document.
 """
@@ -211,12 +214,12 @@ def _anchor_rows(size: int, gram: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per class: its text, cut out of the document that represents it."""
+    """A row per class: its text, cut out of the text that represents it."""
     names = ["h", "fp", "n", "place", "seg"]
     for batch in batches:
         docs, wanted = batch.column("text"), batch.column("wanted")
         for k in range(batch.num_rows):
-            raw = docs[k].as_py().encode()
+            raw = docs[k].as_py()
             rows = wanted[k].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in rows], t) for c, t in (("h", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("place", pa.int32()))] + [pa.array([raw[r["start"] : r["start"] + r["len"]] for r in rows], pa.binary())], names=names
@@ -260,17 +263,35 @@ def _collections(size: int, most_rows: int = 8192):
     return run
 
 
-def _window_rows(size: int):
-    """A row per window of a class: its 128-bit hash, and where it is."""
+def narrower(seg: np.ndarray, place: int, anchor: np.uint64, width: int, size: int = SIZE) -> tuple[np.ndarray, ...]:
+    """(start, length, place of the anchor, group hash, part hash) of the parts of a segment, each of at most ``width`` windows.
+
+    A part has the windows that begin b * width to (b + 1) * width - 1 bytes before the
+    anchor.  They all hold the bytes from b * width before the anchor to size - (b + 1) * width
+    behind it: equal windows of two segments are in parts of the same group.
+    """
+    least, most = place - (len(seg) - size), place
+    b = np.arange(least // width, most // width + 1)
+    far, near = np.minimum((b + 1) * width - 1, most), np.maximum(b * width, least)
+    start, end = place - far, place - near + size
+    middle = span_hash(prefix_sums(seg, 0), 0, place - b * width, place + size - (b + 1) * width + 1)
+    return start, end - start, far, mix64(middle + mix64(anchor + b.astype(np.uint64))), span_hash(prefix_sums(seg, 1), 1, start, end)
+
+
+def _part_rows(size: int, width: int):
+    names = ["k1", "k2", "start", "len", "place", "h", "fp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                seg = np.frombuffer(batch.column("seg")[k].as_py(), np.uint8)
-                at = np.arange(len(seg) - size + 1)
-                one, two = (span_hash(prefix_sums(seg, i), i, at, at + size).view(np.int64) for i in (0, 1))
-                same = [pa.array(np.full(len(at), batch.column(c)[k].as_py())) for c in ("h", "fp", "n")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], names=["h", "fp", "n", "at", "w1", "w2"])
+            h, fp, n, place = (batch.column(c).to_numpy() for c in ("h", "fp", "n", "place"))
+            found = [narrower(np.frombuffer(seg.as_py(), np.uint8), int(place[k]), h[k : k + 1].view(np.uint64)[0], width, size) for k, seg in enumerate(batch.column("seg"))]
+            if not found:
+                continue
+            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            start, length, place, group, part = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[row]), pa.array(fp[row]), *(pa.array(x.astype(np.int32)) for x in (start, length, place)), pa.array(group.view(np.int64)), pa.array(part.view(np.int64)), pa.array(n[row])], names=names
+            )
 
     return run
 
@@ -282,33 +303,44 @@ def _with_keys(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> Data
     return docs.select(F.xxhash64(named, body).alias("k1"), F.xxhash64(body, named, F.lit(1)).alias("k2"), F.struct(*(F.col(c) for c in keep)).alias("doc"), body.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", size: int = SIZE, gram: int = GRAM, most: int = 20_000) -> DataFrame:
-    """doc (the columns to keep), text and ``spans`` of every row: byte runs that repeated windows cover (they may overlap), or null."""
-    spark = docs.sparkSession
-    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _with_keys(docs, text, doc_id, keep)
-    flat = keyed.where(F.octet_length("text") >= size).select("k1", "k2", "text")
-    anchors = saved(flat.mapInArrow(_anchor_rows(size, gram), "k1 long, k2 long, start int, len int, place int, h long, fp long"), "anchors")
-    groups = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+def _spans_of(texts: DataFrame, pieces: DataFrame, size: int, width: int, most: int) -> DataFrame:
+    """k1, k2 and ``spans`` of the texts (k1, k2, text as bytes) with repeated windows.
+
+    pieces (k1, k2, start, len, place, h, fp, n) are parts of the texts with at most ``width``
+    windows each, n the rows that hold the text; h is equal where windows can be.
+    """
+    deal = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = pieces.groupBy("h").agg(F.sum("n").alias("all"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     # written first, so that nothing but an exchange stands below the join and a hot anchor is split over tasks
-    groups = saved(groups.where("n >= 2").select("h", (F.col("lo") == F.col("hi")).alias("alike")), "anchor-groups")
-    hits = saved(anchors.join(groups, "h"), "hits")
+    groups = saved(groups.where("all >= 2").select("h", (F.col("lo") == F.col("hi")).alias("alike")), "anchor-groups")
+    hits = saved(pieces.join(groups, "h"), "hits")
 
     mixed = hits.where("NOT alike")
     one = F.min(F.struct("k1", "k2", "start", "len", "place")).alias("one")
-    classes = saved(mixed.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("n"), one).select("h", "fp", "n", "one.*"), "classes")
+    classes = saved(mixed.groupBy("h", "fp").agg(F.sum("n").alias("n"), one).select("h", "fp", "n", "one.*"), "classes")
     sizes = saved(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "class-counts")
-    wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "fp", "n", "start", "len", "place")).alias("wanted"))  # at most a document's own segments
-    cut = keyed.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "h long, fp long, n long, place int, seg binary")
+    wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "fp", "n", "start", "len", "place")).alias("wanted"))  # at most a text's own pieces
+    cut = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "h long, fp long, n long, place int, seg binary")
     sized = saved(cut, "segments").join(sizes, "h")
-    solved = sized.where(F.col("m") <= most).repartition(deal, "h").sortWithinPartitions("h", "fp").select("h", "fp", "n", "place", "seg").mapInArrow(_collections(size), f"h long, fp long, spans {_SPANS}")
-    windows = sized.where(F.col("m") > most).select("h", "fp", "n", "seg").mapInArrow(_window_rows(size), "h long, fp long, n long, at int, w1 long, w2 long")
-    windows = saved(windows, "windows")
-    twice = saved(windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all >= 2").select("w1", "w2"), "windows-twice")
-    counted = windows.join(twice, ["w1", "w2"]).groupBy("h", "fp").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + size).alias("to"))).alias("spans"))
-    found = mixed.join(solved.unionByName(counted), ["h", "fp"]).select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"]).alias("to")))).alias("span"))
+    fits = F.col("m") <= most if width > 1 else F.lit(True)
+    solved = sized.where(fits).repartition(deal, "h").sortWithinPartitions("h", "fp").select("h", "fp", "n", "place", "seg").mapInArrow(_collections(size), f"h long, fp long, spans {_SPANS}")
+    if width > 1 and not sizes.where(~fits).isEmpty():
+        hot, width = sized.where(~fits), -(-width // 8)
+        parts = saved(hot.select("h", "fp", "n", "place", "seg").mapInArrow(_part_rows(size, width), "k1 long, k2 long, start int, len int, place int, h long, fp long, n long"), "parts")
+        inner = _spans_of(hot.select(F.col("h").alias("k1"), F.col("fp").alias("k2"), F.col("seg").alias("text")), parts, size, width, most)
+        solved = solved.unionByName(inner.select(F.col("k1").alias("h"), F.col("k2").alias("fp"), "spans"))
+    found = mixed.join(solved, ["h", "fp"]).select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"]).alias("to")))).alias("span"))
     whole = hits.where("alike").select("k1", "k2", F.struct(F.col("start").alias("from"), (F.col("start") + F.col("len")).alias("to")).alias("span"))
-    spans = found.unionByName(whole).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    return found.unionByName(whole).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+
+
+def repeated_spans(docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", size: int = SIZE, gram: int = GRAM, most: int = 20_000) -> DataFrame:
+    """doc (the columns to keep), text and ``spans`` of every row: byte runs that repeated windows cover (they may overlap), or null."""
+    keyed = _with_keys(docs, text, doc_id, keep)
+    flat = keyed.where(F.octet_length("text") >= size).select("k1", "k2", "text")
+    anchors = saved(flat.mapInArrow(_anchor_rows(size, gram), "k1 long, k2 long, start int, len int, place int, h long, fp long"), "anchors")
+    bytes_of = keyed.select("k1", "k2", F.col("text").cast("binary").alias("text"))
+    spans = _spans_of(bytes_of, anchors.withColumn("n", F.lit(1).cast("long")), size, size - gram + 1, most)
     return keyed.join(spans, ["k1", "k2"], "left").select("doc", "text", "spans")
 
 
@@ -323,18 +355,25 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def _long_runs(raw: bytes, runs: list[tuple[int, int]], least_words: int, enough: int) -> list[tuple[int, int]]:
+    """Runs with at least so many words, or so many bytes (in scripts without spaces)."""
+    return [(a, b) for a, b in runs if b - a >= enough or len(raw[a:b].split()) >= least_words]
+
+
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for run in runs for x in run), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, keep: list[str] | None = None, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, keep: list[str] | None = None, least_words: int = 0, **options) -> DataFrame:
     """The columns in ``keep`` (all by default), then left, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     left is the text without the repeats, characters that were cut in two left out;
     kept_sha256 is of the bytes that stay, halves of characters included.  A null text counts
     as empty.  Texts shorter than ``size`` lose nothing.  All occurrences go, the first one
-    too.  Kept columns of the five names are replaced.
+    too.  With ``least_words``, runs of fewer words (parts between ASCII white space, cut ones
+    at the ends included) stay unless they have SIZE bytes.  Kept columns of the five names
+    are replaced.
     """
     added = T._parse_datatype_string("left string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in {f.name for f in added}]
@@ -345,7 +384,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             texts, rows = [], []
             for value, spans in zip(batch.column("text"), batch.column("spans")):
                 raw = value.as_py().encode()
-                runs = _merged(spans.as_py())
+                runs = _long_runs(raw, _merged(spans.as_py()), least_words, SIZE)
                 left = _kept(raw, runs) if runs else raw
                 texts.append(left.decode(errors="ignore"))
                 rows.append((len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))

@@ -48,6 +48,26 @@ def test_against_brute_force(spark, most):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 40)
 
 
+def test_parts_of_a_segment_hold_each_window_once():
+    rnd = np.random.default_rng(2)
+    seg = rnd.integers(97, 101, 70).astype(np.uint8)
+    for place in (0, 13, 30):  # an anchor of 10 bytes in windows of 40
+        cut = seg[: place + 40]
+        for width in (8, 4, 1):
+            start, length, at, group, part = S.narrower(cut, place, np.uint64(5), width, size=40)
+            assert sorted(p for s, n in zip(start, length) for p in range(s, s + n - 39)) == list(range(len(cut) - 39))
+            assert (start + at == place).all() and (length - 39 <= width).all()
+
+
+def test_runs_with_few_words_stay(spark):
+    words = [f"w{i}" for i in range(500)]
+    many, few, solid = " ".join(words[:60]), " ".join(w * 8 for w in words[100:112]), "字" * 140
+    rows = [(0, f"aa {many} bb"), (1, f"cc {many} dd"), (2, f"ee {few} ff"), (3, f"gg {few} hh"), (4, f"ii {solid}"), (5, f"jj {solid}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["left"] for r in S.remove_repeats(docs, size=200, gram=64, least_words=51).collect()}
+    assert left == {0: "aabb", 1: "ccdd", 2: rows[2][1], 3: rows[3][1], 4: "ii", 5: "jj"}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(docs).count() == 0
