@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from itertools import groupby
 
 import corpus_pipeline as C
 from tallyloom.llm import minhash_dedup, suffix_dedup
@@ -22,7 +24,7 @@ def test_stages_follow_each_other(spark):
             assert after.keys() == {r["doc_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(before.items()), "doc_id long, text string"), width=5, percent=80).where("kept").collect()}
         elif name == "suffix_dedup":
             assert after.keys() == before.keys()
-            left = suffix_dedup.remove_repeats(spark.createDataFrame(list(before.items()), "doc_id long, text string"), keep=["doc_id"])
+            left = suffix_dedup.remove_repeats(spark.createDataFrame(list(before.items()), "doc_id long, text string"), keep=["doc_id"], size=200, gram=64, least_words=51)
             assert after == {r["doc_id"]: r["left"] for r in left.collect()}
         else:
             assert len(after) >= 0.8 * len(before)
@@ -73,6 +75,35 @@ def test_near_dedup_stage_against_brute_force(spark):
     assert {r["doc_id"] for r in C.drop_near_copies(spark, docs, SF).collect()} == {d for d, r in root.items() if d == r}
 
 
+def test_repeats_stage_against_brute_force(spark):
+    """Passages of 45 to 70 words in documents of their own words, some with an edited word: what goes is counted window by window."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
+    passages = [[word() for _ in range(n)] for n in (45, 51, 52, 60, 70) for _ in range(3)]
+    rows = []
+    for k in range(60):
+        passage = list(passages[k % len(passages)])
+        if k % 7 == 0:
+            passage[rnd.randrange(len(passage))] = word()
+        rows.append((k, " ".join([word() for _ in range(rnd.randint(5, 60))] + passage + [word() for _ in range(rnd.randint(5, 60))])))
+    windows = Counter(t[p : p + 200] for _, t in rows for p in range(len(t) - 199))
+    expected = {}
+    for k, t in rows:
+        gone = [False] * len(t)
+        for p in range(len(t) - 199):
+            if windows[t[p : p + 200]] > 1:
+                gone[p : p + 200] = [True] * 200
+        left, at = [], 0
+        for dead, run in groupby(range(len(t)), key=lambda p: gone[p]):
+            part = "".join(t[p] for p in run)
+            left.append("" if dead and (len(part.split()) > 50 or len(part) >= 400) else part)
+        expected[k] = "".join(left)
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    got = C.cut_repeats(spark, docs, SF).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == expected and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert 20 < sum(expected[k] != t for k, t in rows) < 60
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in C.STAGES:
