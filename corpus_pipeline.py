@@ -30,8 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the 400-byte strings that occur more than once; n_chars counts what is left."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents without the passages of over 50 words (or of 400 bytes) that occur more than once; n_chars counts what is left.
+
+    A passage is a run of bytes in which each is covered by a 200-byte string that starts
+    anywhere else too: 51 words of three letters and a space have more.
+    """
+    return suffix_dedup.without_repeats(docs, size=200, gram=64, least_words=51).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
