@@ -78,7 +78,19 @@ def _pairs(spark: SparkSession, sf_dir: str, variant: str = "E") -> tuple[DataFr
 
 
 # ---- 2.1 sources and sinks
-@query("i1_read_raw_rows")
+_HEADER_ROWS = "(VALUES " + ", ".join(f"('{f}', {i}, '{h}')" for f, hs in X.HEADERS.items() for i, h in enumerate(hs)) + ") AS h(file, pos, caption)"
+
+
+#: All cells of the sheets, for the other engine.
+_RAW_CELLS = f"""WITH base AS ({X.base_sql()}), named AS (SELECT *, substr(batch_id, 1, 1) AS file, CASE WHEN row_number % 41 <> 0 THEN payee_name END AS payee,
+  CASE WHEN row_number % 43 = 0 THEN 'n/a' WHEN row_number % 7 = 0 THEN 'HKD ' || format('{{:,.2f}}', amount) ELSE CAST(amount AS STRING) END AS shown FROM base),
+listed AS (SELECT file, row_number + 10 AS row_number, CASE WHEN file = '5' THEN [payee, shown] ELSE [request_no, payee, bank_code, bank_account, particulars, shown] END AS held, (row_number % 50) = 0 AS blank FROM named),
+raw_rows AS (SELECT file, row_number, CASE WHEN blank THEN list_transform(range(6), lambda c: CAST(NULL AS STRING)) ELSE held END AS cells FROM listed
+  UNION ALL SELECT file, n, CASE n WHEN 1 THEN ['Payment summary', NULL] WHEN 2 THEN [CAST(NULL AS STRING), NULL] ELSE captions END FROM (SELECT file, list(caption ORDER BY pos) AS captions FROM {_HEADER_ROWS} GROUP BY file), (VALUES (1), (2), (3)) AS t(n)),
+cells AS (SELECT file, row_number, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS pos, unnest(cells) AS caption FROM raw_rows) """
+
+
+@query("i1_read_raw_rows", _RAW_CELLS + "SELECT row_number, array_to_string(list_transform([1, 2, 3, 4, 5, 6], lambda i: trim(coalesce(cells[i], ''))), '|') AS line FROM raw_rows")
 def _(spark, sf_dir):
     """Sheets written as CSV and read back."""
     path = new_folder(spark, "sheets")
@@ -125,21 +137,21 @@ def _(spark, sf_dir):
 
 # ---- 2.2 request sheets
 _SHEET = f"WITH base AS ({X.base_sql()}), sheet AS ({X.SHEET_REQUESTS}), good AS (SELECT * FROM sheet WHERE NOT blank AND NOT no_payee AND NOT no_amount)"
-_HEADER_ROWS = "(VALUES " + ", ".join(f"('{f}', {i}, '{h}')" for f, hs in X.HEADERS.items() for i, h in enumerate(hs)) + ") AS h(file, pos, caption)"
 _FIELDS = ["request_no", "payee_name", "bank_code", "bank_account", "particulars", "payment_amount"]
 _FIELD_OF = "(VALUES " + ", ".join(f"('{f}', {i}, '{x}')" for f, hs in X.HEADERS.items() for i, x in enumerate(_FIELDS if len(hs) == 6 else ["payee_name", "payment_amount"])) + ") AS g(file, pos, field)"
 
 
-@query("r1_normalise_header", f"SELECT file, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(caption), '[（(].*?[)）]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), '\\s+', ' ', 'g')) AS header FROM {_HEADER_ROWS}")
+@query("r1_normalise_header", _RAW_CELLS + "SELECT file, row_number, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(caption, '')), '[（(].*?[)）]', ' ', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g'), '\\s+', ' ', 'g')) AS header FROM cells")
 def _(spark, sf_dir):
-    cells = X.raw_rows(spark, sf_dir).where("row_number = 3").select("file", F.posexplode("cells").alias("pos", "caption"))
-    return cells.select("file", "pos", R.normalise_header(F.col("caption")).alias("header"))
+    cells = X.raw_rows(spark, sf_dir).select("file", "row_number", F.posexplode("cells").alias("pos", "caption"))
+    return cells.select("file", "row_number", "pos", R.normalise_header(F.col("caption")).alias("header"))
 
 
-@query("r2_match_header_field", f"SELECT file, pos, field FROM {_FIELD_OF}")
+@query("r2_match_header_field", _RAW_CELLS + f"SELECT c.file, row_number, c.pos, field FROM cells c LEFT JOIN {_FIELD_OF} ON row_number = 3 AND c.file = g.file AND c.pos = g.pos")
 def _(spark, sf_dir):
-    cells = X.raw_rows(spark, sf_dir).where("row_number = 3").select("file", F.posexplode("cells").alias("pos", "caption"))
-    return cells.select("file", "pos", R.match_header_field(R.normalise_header(F.col("caption"))).alias("field"))
+    """Of all cells; those of other rows hold no wording of a header."""
+    cells = X.raw_rows(spark, sf_dir).select("file", "row_number", F.posexplode("cells").alias("pos", "caption"))
+    return cells.select("file", "row_number", "pos", R.match_header_field(R.normalise_header(F.col("caption"))).alias("field"))
 
 
 @query("r3_find_header_row", f"SELECT file, CAST(3 AS BIGINT) AS header_row, field, pos FROM {_FIELD_OF}")
@@ -199,13 +211,14 @@ def _(spark, sf_dir):
 
 @query(
     "t2_choose_text",
-    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'TEXT_LAYER' WHEN o_orderkey % 4 = 1 THEN 'OCR_LOCAL' WHEN o_orderkey % 4 = 2 THEN 'OCR_VISION' ELSE 'NONE' END AS source_kind,
-CASE WHEN o_orderkey % 4 IN (0, 1) THEN 0 ELSE 1 END AS n_warnings, CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END AS filled FROM orders""",
+    """SELECT o_orderkey AS id, ['TEXT_LAYER', 'OCR_LOCAL', 'OCR_VISION', 'NONE', 'OCR_LOCAL', 'NONE'][k + 1] AS source_kind, CASE WHEN k IN (0, 1) THEN 0 ELSE 1 END AS n_warnings, CASE WHEN k IN (3, 5) THEN 0 ELSE 1 END AS filled
+FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)""",
 )
 def _(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("k", F.col("o_orderkey") % 4)
-    long = F.lit("The quick brown fox jumps over the lazy dog while seventy other animals look on")
-    chosen = N.choose_text(F.when(F.col("k") == 0, long).otherwise("scan"), F.when(F.col("k") == 1, "ocr").otherwise(" "), F.when(F.col("k") == 2, "seen"))
+    """A text layer, OCR, vision, nothing, a text layer passed over for OCR, and vision that is refused."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("k", F.col("o_orderkey") % 6)
+    k, long = F.col("k"), F.lit("The quick brown fox jumps over the lazy dog while seventy other animals look on")
+    chosen = N.choose_text(F.when(k.isin(0, 4), long).otherwise("scan"), F.when(k.isin(1, 4), "ocr").otherwise(" "), F.when(k.isin(2, 5), "seen"), force_ocr=k == 4, allow_vision=k != 5)
     return o.select(F.col("o_orderkey").alias("id"), chosen.alias("c")).select("id", "c.source_kind", F.size("c.warnings").alias("n_warnings"), (F.length("c.text") > 0).cast("int").alias("filled"))
 
 
@@ -330,12 +343,14 @@ def _(spark, sf_dir):
     return E.labelled_values(E.document_cells(X.invoice_texts(spark, sf_dir)))
 
 
-@query("e4_value_fits", "SELECT o_orderkey AS id, true AS date_fits, o_orderkey % 1000 < 1000 AS no_fits, false AS code_fits FROM orders")
+@query("e4_value_fits", "SELECT o_orderkey AS id, k = 0 AS date_fits, k IN (0, 1) AS no_fits, k IN (2, 3) AS account_fits, k = 3 AS code_fits FROM (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders)")
 def _(spark, sf_dir):
+    """A date, an invoice number, an account and a bank code, each held against all shapes; dates pass for invoice numbers and codes for accounts."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    date = F.date_format("o_orderdate", "yyyy/MM/dd")
-    number = F.concat(F.lit("INV"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
-    return o.select(F.col("o_orderkey").alias("id"), E.value_fits("invoice_date", date).alias("date_fits"), E.value_fits("invoice_no", number).alias("no_fits"), E.value_fits("bank_code", date).alias("code_fits"))
+    k, padded = F.col("o_orderkey") % 4, F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
+    value = F.when(k == 0, F.date_format("o_orderdate", "yyyy/MM/dd")).when(k == 1, F.concat(F.lit("INV"), padded)).when(k == 2, F.concat(F.lit("012-345 "), padded)).otherwise(F.substring(padded, 6, 3))
+    fits = {"date_fits": "invoice_date", "no_fits": "invoice_no", "account_fits": "bank_account", "code_fits": "bank_code"}
+    return o.select(F.col("o_orderkey").alias("id"), *(E.value_fits(field, value).alias(name) for name, field in fits.items()))
 
 
 @query("e5_caption_row_values", _LINES + f", f AS (SELECT *, unnest({_CUES_BY_LAYOUT}) AS field FROM lined WHERE doc_id % 3 = 0) SELECT doc_id, field, {_FIELD_VALUES} AS value FROM f")
