@@ -9,6 +9,9 @@ anywhere else in the corpus.  No two documents are compared and no text is sorte
    in segments whose anchors have the same hash.  Every window belongs to one segment.
 2. Anchor hashes are counted.  Those that occur once are done: nothing in them is repeated.
    Those that come with one segment text only are done too: all of it is repeated.
+   Segments are called equal by 128 bits of BLAKE2b over their bytes.  Where a text repeats
+   itself with a short period, neighbouring segments are equal; such a run (compared byte by
+   byte) is one row with a count, and all of it is repeated.
 3. For the rest, segment texts that are equal become one class with a count, and tasks
    take whole groups of classes with one anchor hash.  A collection of such groups is
    read column by column from the right, lined up at the anchors: each round inserts one
@@ -46,7 +49,7 @@ from ..storage import saved
 SIZE, GRAM = 400, 96
 #: Bytes of text that an anchor kernel handles at once; positions in it take _PLACE bits.
 _CHUNK, _PLACE = 1 << 20, np.uint64((1 << 21) - 1)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BASES = (np.uint64(0x9E3779B97F4A7C15),)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -87,12 +90,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, start, length, place of the anchor, anchor hash, segment hash) of all segments; start counts from the row's first byte."""
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """(row, start, length, place of the anchor, anchor hash, segment digest, number, reach) of all segments; start counts from the row's first byte.
+
+    ``number`` equal segments that follow each other are one; the last of them starts ``reach`` bytes behind the first.
+    """
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, object, np.int64, np.int64))
     n = len(data)
     if n < size:
         return empty
-    sums, other = prefix_sums(data, 0), prefix_sums(data, 1)
+    sums = prefix_sums(data, 0)
     at = np.arange(n - gram + 1)
     hashes = span_hash(sums, 0, at, at + gram)
     least = _sliding_min((hashes & ~_PLACE) | at.astype(np.uint64), size - gram + 1)
@@ -107,7 +113,41 @@ def segments(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int
     last = np.concatenate([first[1:], [total]]) - 1
     begin, end, row = starts[first], starts[last] + size, rows[first]
     anchor = (chosen[first] & _PLACE).astype(np.int64)
-    return row, begin - offsets[row], end - begin, anchor - begin, hashes[anchor], span_hash(other, 1, begin, end)
+    kept, number, reach = _periods(data, begin, end, np.stack([row, end - begin, anchor - begin, hashes[anchor].view(np.int64)]))
+    row, begin, end, anchor = row[kept], begin[kept], end[kept], anchor[kept]
+    return row, begin - offsets[row], end - begin, anchor - begin, hashes[anchor], digests(data, begin, end), number, reach
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each span's bytes."""
+    raw = memoryview(np.ascontiguousarray(data))
+    out = np.empty(len(start), object)
+    for k, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+        out[k] = hashlib.blake2b(raw[a:b], digest_size=16).digest()
+    return out
+
+
+def _periods(data: np.ndarray, begin: np.ndarray, end: np.ndarray, looks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which segments to keep, how many equal ones each stands for, how far behind it the last of them starts).
+
+    Neighbours that look alike and follow each other at one distance are equal if the
+    bytes from the first to the last repeat themselves at that distance, which is looked up.
+    """
+    n = len(begin)
+    number, reach, kept = np.ones(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    like = np.concatenate([(looks[:, 1:] == looks[:, :-1]).all(axis=0), [False]])
+    step = np.append(np.diff(begin), 0)
+    k = 0
+    for k in np.flatnonzero(like & ~np.concatenate([[False], like[:-1] & (step[1:] == step[:-1])])):
+        if not kept[k]:
+            continue
+        more = np.flatnonzero(~(like[k:] & (step[k:] == step[k])))
+        last, d = k + int(more[0]), int(step[k])
+        if last > k and (data[begin[k] : end[last] - d] == data[begin[k] + d : end[last]]).all():
+            number[k], reach[k] = last - k + 1, begin[last] - begin[k]
+            kept[k + 1 : last + 1] = False
+    where = np.flatnonzero(kept)
+    return where, number[where], reach[where]
 
 
 def long_rows(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int = GRAM, chunk: int = _CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
@@ -198,16 +238,17 @@ def _spans_array(row: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) ->
 
 
 def _anchor_rows(size: int, gram: int):
-    names = ["k1", "k2", "start", "len", "place", "h", "fp"]
+    names = ["k1", "k2", "start", "len", "place", "h", "fp", "n", "reach"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", _CHUNK):
                 data, offsets = column_bytes(part.column("text"))
-                for row, start, length, place, h, fp in long_rows(data, offsets, size, gram):
+                for row, start, length, place, h, fp, number, reach in long_rows(data, offsets, size, gram):
                     rows = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("k1").take(rows), part.column("k2").take(rows), *(pa.array(x.astype(np.int32)) for x in (start, length, place)), pa.array(h.view(np.int64)), pa.array(fp.view(np.int64))], names=names
+                        [part.column("k1").take(rows), part.column("k2").take(rows), *(pa.array(x.astype(np.int32)) for x in (start, length, place)), pa.array(h.view(np.int64)), pa.array(fp, pa.binary()), pa.array(number), pa.array(reach)],
+                        names=names,
                     )
 
     return run
@@ -222,7 +263,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = docs[k].as_py()
             rows = wanted[k].as_py()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], t) for c, t in (("h", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("place", pa.int32()))] + [pa.array([raw[r["start"] : r["start"] + r["len"]] for r in rows], pa.binary())], names=names
+                [pa.array([r[c] for r in rows], t) for c, t in (("h", pa.int64()), ("fp", pa.binary()), ("n", pa.int64()), ("place", pa.int32()))] + [pa.array([raw[r["start"] : r["start"] + r["len"]] for r in rows], pa.binary())], names=names
             )
 
 
@@ -264,7 +305,7 @@ def _collections(size: int, most_rows: int = 8192):
 
 
 def narrower(seg: np.ndarray, place: int, anchor: np.uint64, width: int, size: int = SIZE) -> tuple[np.ndarray, ...]:
-    """(start, length, place of the anchor, group hash, part hash) of the parts of a segment, each of at most ``width`` windows.
+    """(start, length, place of the anchor, group hash, digest) of the parts of a segment, each of at most ``width`` windows.
 
     A part has the windows that begin b * width to (b + 1) * width - 1 bytes before the
     anchor.  They all hold the bytes from b * width before the anchor to size - (b + 1) * width
@@ -275,7 +316,7 @@ def narrower(seg: np.ndarray, place: int, anchor: np.uint64, width: int, size: i
     far, near = np.minimum((b + 1) * width - 1, most), np.maximum(b * width, least)
     start, end = place - far, place - near + size
     middle = span_hash(prefix_sums(seg, 0), 0, place - b * width, place + size - (b + 1) * width + 1)
-    return start, end - start, far, mix64(middle + mix64(anchor + b.astype(np.uint64))), span_hash(prefix_sums(seg, 1), 1, start, end)
+    return start, end - start, far, mix64(middle + mix64(anchor + b.astype(np.uint64))), digests(seg, start, end)
 
 
 def _part_rows(size: int, width: int):
@@ -283,14 +324,14 @@ def _part_rows(size: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, fp, n, place = (batch.column(c).to_numpy() for c in ("h", "fp", "n", "place"))
+            h, n, place = (batch.column(c).to_numpy() for c in ("h", "n", "place"))
             found = [narrower(np.frombuffer(seg.as_py(), np.uint8), int(place[k]), h[k : k + 1].view(np.uint64)[0], width, size) for k, seg in enumerate(batch.column("seg"))]
             if not found:
                 continue
             row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             start, length, place, group, part = (np.concatenate(c) for c in zip(*found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[row]), pa.array(fp[row]), *(pa.array(x.astype(np.int32)) for x in (start, length, place)), pa.array(group.view(np.int64)), pa.array(part.view(np.int64)), pa.array(n[row])], names=names
+                [pa.array(h[row]), batch.column("fp").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (start, length, place)), pa.array(group.view(np.int64)), pa.array(part, pa.binary()), pa.array(n[row])], names=names
             )
 
     return run
@@ -306,8 +347,9 @@ def _with_keys(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> Data
 def _spans_of(texts: DataFrame, pieces: DataFrame, size: int, width: int, most: int) -> DataFrame:
     """k1, k2 and ``spans`` of the texts (k1, k2, text as bytes) with repeated windows.
 
-    pieces (k1, k2, start, len, place, h, fp, n) are parts of the texts with at most ``width``
-    windows each, n the rows that hold the text; h is equal where windows can be.
+    pieces (k1, k2, start, len, place, h, fp, n, reach) are parts of the texts with at most
+    ``width`` windows each, n the rows that hold the text; h is equal where windows can be.
+    Equal parts up to ``reach`` bytes behind a piece belong to it.
     """
     deal = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = pieces.groupBy("h").agg(F.sum("n").alias("all"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
@@ -320,17 +362,17 @@ def _spans_of(texts: DataFrame, pieces: DataFrame, size: int, width: int, most:
     classes = saved(mixed.groupBy("h", "fp").agg(F.sum("n").alias("n"), one).select("h", "fp", "n", "one.*"), "classes")
     sizes = saved(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "class-counts")
     wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "fp", "n", "start", "len", "place")).alias("wanted"))  # at most a text's own pieces
-    cut = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "h long, fp long, n long, place int, seg binary")
+    cut = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "h long, fp binary, n long, place int, seg binary")
     sized = saved(cut, "segments").join(sizes, "h")
     fits = F.col("m") <= most if width > 1 else F.lit(True)
-    solved = sized.where(fits).repartition(deal, "h").sortWithinPartitions("h", "fp").select("h", "fp", "n", "place", "seg").mapInArrow(_collections(size), f"h long, fp long, spans {_SPANS}")
+    solved = sized.where(fits).repartition(deal, "h").sortWithinPartitions("h", "fp").select("h", "fp", "n", "place", "seg").mapInArrow(_collections(size), f"h long, fp binary, spans {_SPANS}")
     if width > 1 and not sizes.where(~fits).isEmpty():
         hot, width = sized.where(~fits), -(-width // 8)
-        parts = saved(hot.select("h", "fp", "n", "place", "seg").mapInArrow(_part_rows(size, width), "k1 long, k2 long, start int, len int, place int, h long, fp long, n long"), "parts")
+        parts = saved(hot.select("h", "fp", "n", "place", "seg").mapInArrow(_part_rows(size, width), "k1 long, k2 binary, start int, len int, place int, h long, fp binary, n long").withColumn("reach", F.lit(0).cast("long")), "parts")
         inner = _spans_of(hot.select(F.col("h").alias("k1"), F.col("fp").alias("k2"), F.col("seg").alias("text")), parts, size, width, most)
         solved = solved.unionByName(inner.select(F.col("k1").alias("h"), F.col("k2").alias("fp"), "spans"))
-    found = mixed.join(solved, ["h", "fp"]).select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"]).alias("to")))).alias("span"))
-    whole = hits.where("alike").select("k1", "k2", F.struct(F.col("start").alias("from"), (F.col("start") + F.col("len")).alias("to")).alias("span"))
+    found = mixed.where("reach = 0").join(solved, ["h", "fp"]).select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"]).alias("to")))).alias("span"))
+    whole = hits.where("alike OR reach > 0").select("k1", "k2", F.struct(F.col("start").alias("from"), (F.col("start") + F.col("len") + F.col("reach")).cast("int").alias("to")).alias("span"))
     return found.unionByName(whole).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
@@ -338,9 +380,9 @@ def repeated_spans(docs: DataFrame, keep: list[str], text: str = "text", doc_id:
     """doc (the columns to keep), text and ``spans`` of every row: byte runs that repeated windows cover (they may overlap), or null."""
     keyed = _with_keys(docs, text, doc_id, keep)
     flat = keyed.where(F.octet_length("text") >= size).select("k1", "k2", "text")
-    anchors = saved(flat.mapInArrow(_anchor_rows(size, gram), "k1 long, k2 long, start int, len int, place int, h long, fp long"), "anchors")
+    anchors = saved(flat.mapInArrow(_anchor_rows(size, gram), "k1 long, k2 long, start int, len int, place int, h long, fp binary, n long, reach long"), "anchors")
     bytes_of = keyed.select("k1", "k2", F.col("text").cast("binary").alias("text"))
-    spans = _spans_of(bytes_of, anchors.withColumn("n", F.lit(1).cast("long")), size, size - gram + 1, most)
+    spans = _spans_of(bytes_of, anchors, size, size - gram + 1, most)
     return keyed.join(spans, ["k1", "k2"], "left").select("doc", "text", "spans")
 
 

@@ -77,6 +77,37 @@ def test_long_rows_are_read_in_parts():
     rnd = np.random.default_rng(1)
     data = rnd.integers(97, 101, 5000).astype(np.uint8)
     covered = []
-    for row, start, length, place, h, fp in S.long_rows(data, np.array([0, 5000]), size=40, gram=10, chunk=512):
-        covered += [p for s, n in zip(start, length) for p in range(s, s + n - 39)]
+    for row, start, length, place, h, fp, number, reach in S.long_rows(data, np.array([0, 5000]), size=40, gram=10, chunk=512):
+        covered += [p for s, n, more in zip(start, length, reach) for p in range(s, s + more + n - 39)]
     assert sorted(covered) == list(range(5000 - 39))
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_texts_without_a_common_window_stay_whole_however_alike_their_hashes(spark):
+    """Polynomial hashes modulo 2**64 can't tell these parts from each other."""
+    rnd = random.Random(6)
+    one, two = thue_morse(256, "ab"), thue_morse(256, "ba")
+    middle = "".join(rnd.choice("cdefgh ") for _ in range(128))
+    rows = [(0, one + middle + two), (1, two + middle + one)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).drop("left").collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 400) and all(r["n_removed"] == 0 for r in got)
+
+
+def test_periodic_texts_against_brute_force_at_full_size(spark):
+    rnd = random.Random(7)
+    prose = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    rows = [(0, "z" * 3000), (1, prose(500) + "na " * 300 + prose(200)), (2, "na " * 140 + prose(450)), (3, "z" * 400), (4, "y" * 400), (5, "abcabcabcd" * 90), (6, prose(100) + "y" * 401), (7, thue_morse(3000, "ab")), (8, "z" * 399 + "é" * 500)]
+    long = prose(700)
+    rows += [(20, prose(50) + long), (21, long + prose(90)), (22, (long[:450] + "-") * 8)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).drop("left").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 400)
+
+
+def test_a_long_text_of_one_letter_is_a_few_rows():
+    data = np.full(10_000_000, 122, np.uint8)
+    rows = [(int(n), int(s), int(s + more + size)) for _, start, length, _, _, _, number, reach in S.long_rows(data, np.array([0, len(data)])) for n, s, more, size in zip(number, start, reach, length)]
+    assert len(rows) < 30 and sum(n for n, _, _ in rows) == len(data) - 399
+    assert min(s for _, s, _ in rows) == 0 and max(e for _, _, e in rows) == len(data)
