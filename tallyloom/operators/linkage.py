@@ -4,13 +4,14 @@ Nothing here lists request x invoice pairs.  Similarity and account evidence are
 between distinct names, for most of them by equality: pairs that score 1 are made first,
 and similar names are searched for the rest.  Components over classes of equal rows split
 each batch into independent parts.  Parts in which all pairs score 1, which hold the busiest
-payees, are paired rank by rank with a window; the others go through the greedy order in a
-helper.
+payees, are paired rank by rank; small others go through the greedy order in a helper, and
+large ones level by level.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -23,6 +24,8 @@ from ..functions.money import amounts_equal, quantize
 from ..functions.text import normalise_digits, normalise_name
 from ..storage import saved
 from .components import components
+from .levels import by_levels
+from .ranks import ranked
 
 #: Least similarity of names that is evidence; what an account is worth without it.
 NAME_EVIDENCE, ACCOUNT_FLOOR = 0.72, 0.55
@@ -267,21 +270,22 @@ def greedy(requests: list[tuple[int, int, int]], invoices: list[tuple[int, int,
     Rows are (index, class, cents); base has (similarity, account evidence) of classes.  Scores
     depend on the classes and on whether the amounts agree, so each level of score is one
     pass over the requests, and each class of invoices a list from which the first that is
-    left is taken.  Returns (request, invoice, score, similarity, account, amount agrees).
+    left is taken.  Where amounts need not agree none do any more: the higher level of the
+    same classes has paired all that could.  Returns (request, invoice, score, similarity, account, amount agrees).
     """
     by_class, by_cents = defaultdict(list), defaultdict(list)
     for at, cls, cents in sorted(invoices):
         by_class[cls].append((at, cents))
         by_cents[cls, cents].append(at)
-    levels: dict[float, dict[int, list[tuple[int, bool, bool]]]] = defaultdict(lambda: defaultdict(list))
+    levels: dict[float, dict[int, list[tuple[int, bool]]]] = defaultdict(lambda: defaultdict(list))
     for (r, i), (sim, account) in base.items():
         plain = max(sim, ACCOUNT_FLOOR) + 0.1 if account else sim
         without, with_ = min(plain, 1.0), min(plain + 0.05, 1.0)
         if without == with_:
-            levels[without][r].append((i, True, True))
+            levels[without][r].append((i, True))
         else:
-            levels[with_][r].append((i, True, False))
-            levels[without][r].append((i, False, True))
+            levels[with_][r].append((i, False))
+            levels[without][r].append((i, True))
     used: set[int] = set()
     heads: dict = defaultdict(int)
 
@@ -296,16 +300,14 @@ def greedy(requests: list[tuple[int, int, int]], invoices: list[tuple[int, int,
         for row in waiting:
             index, cls, cents = row
             best = None
-            for i, agreeing, others in levels[level].get(cls, ()):
+            for i, others in levels[level].get(cls, ()):
                 options = []
-                if agreeing and others:
+                if others:
                     options.append(first(i, by_class[i], lambda x: x[0]))
-                elif agreeing:
+                else:
                     for c in range(cents - tolerance, cents + tolerance + 1):
                         at = first((i, c), by_cents.get((i, c), []))
                         options.append(None if at is None else (at, c))
-                elif first(i, by_class[i], lambda x: x[0]):
-                    options.append(next((x for x in by_class[i][heads[i] :] if x[0] not in used and abs(x[1] - cents) > tolerance), None))
                 for x in options:
                     if x is not None and (best is None or x[0] < best[0]):
                         best = (*x, i)
@@ -323,14 +325,19 @@ def _class_of_row(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cls", F.xxhash64("batch_id", "name_key", "account_key", "code_key"))
 
 
+#: Rows of a part that one task takes; larger parts are ranked in ranges, or paired level by level.
+PART_ROWS = 100_000
+
+
 def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFrame, tolerance: str = "0.01", least: float = 0.0) -> DataFrame:
     """batch_id, row_number, invoice_seq, confidence, reason: the greedy assignment, every row used once at most.
 
     scores has class pairs (see ``class_scores``); pairs of rows that score under ``least``
     are not made.  Components over classes are independent.  Where every request of a
-    component scores 1 with every invoice of it, which is so for a payee however many rows it
-    has, and for its misspelt names on one account, the k-th request gets the k-th invoice by
-    a window; the greedy order of other components runs in one task each.
+    component scores 1 with every invoice of it, the k-th request gets the k-th invoice,
+    whatever their number.  Other components of up to ``PART_ROWS`` rows go through the greedy
+    order in one task each; larger ones level by level (see ``levels``), in tasks of a
+    bounded size.
     """
     names = lambda p: [F.col(f"{p}_{c}") for c in ("name", "account", "code")]
     sure = F.least(F.when(F.col("account_evidence"), F.greatest("sim", F.lit(ACCOUNT_FLOOR)) + 0.1).otherwise(F.col("sim")), F.lit(1.0)) >= 1.0
@@ -339,23 +346,39 @@ def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFram
     node = lambda side, c: F.xxhash64(F.lit(side), c)
     parts = saved(components(pairs.select(node("r", "rc").alias("a"), node("i", "ic").alias("b"))), "parts")
     placed = pairs.withColumn("node", node("r", "rc")).join(parts, "node").drop("node")
-    shape = placed.groupBy("root").agg(F.count_if("sure").alias("n"), F.count_distinct("rc").alias("nr"), F.count_distinct("ic").alias("ni"))
-    shape = saved(shape.select("root", (F.col("n") == F.col("nr") * F.col("ni")).alias("whole")), "part-shapes")
-    rooted = parts.join(shape, "root")
-    own = lambda rows, side: _class_of_row(rows).withColumn("node", node(side, "cls")).join(rooted, "node").drop("node")
-    cents = lambda c: (quantize(F.col(c)) * 100).cast("long")
-    r = own(requests, "r").select("batch_id", "root", "whole", F.col("row_number").alias("at"), F.col("cls").alias("rc"), cents("amount").alias("r_cents"))
-    i = own(invoices, "i").select("batch_id", "root", "whole", F.col("invoice_seq").alias("at"), F.col("cls").alias("ic"), cents("total_amount").alias("i_cents"))
+    shape = placed.groupBy("root").agg(F.count_if("sure").alias("n"), F.count_distinct("rc").alias("nr"), F.count_distinct("ic").alias("ni"), F.count(F.lit(1)).alias("n_pairs"))
+    cents = lambda c: (quantize(F.col(c)) * 100).cast("long").alias("cents")
+    own = lambda rows, side, at, to, amount: _class_of_row(rows).withColumn("node", node(side, "cls")).join(parts, "node").select("batch_id", "root", F.col(at).alias("at"), F.col("cls").alias(to), cents(amount))
+    r, i = own(requests, "r", "row_number", "rc", "amount"), own(invoices, "i", "invoice_seq", "ic", "total_amount")
+    rows_in = r.select("root").unionByName(i.select("root")).groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
+    whole, large = F.col("n") == F.col("nr") * F.col("ni"), F.col("rows") + F.col("n_pairs") > PART_ROWS
+    shape = shape.join(rows_in, "root").select("root", F.when(whole & large, "ranges").when(whole, "ranks").when(large, "levels").otherwise("helper").alias("way"))
+    shape = saved(shape, "part-shapes")
+    ways = {x[0] for x in shape.select("way").distinct().collect()}
+    r, i = r.join(shape, "root"), i.join(shape, "root")
     tol = int(round(float(tolerance) * 100))
-
-    nth = F.row_number().over(W.partitionBy("batch_id", "root").orderBy("at"))
-    left, right = (rows.where("whole").withColumn("k", nth).withColumnRenamed("at", to).drop("whole") for rows, to in ((r, "row_number"), (i, "invoice_seq")))
-    ranked = left.join(right, ["batch_id", "root", "k"]).join(pairs.drop("sure"), ["batch_id", "rc", "ic"])
-    ranked = ranked.select("batch_id", "row_number", "invoice_seq", F.lit(1.0).alias("confidence"), "sim", F.col("account_evidence").alias("account"), (F.abs(F.col("r_cents") - F.col("i_cents")) <= tol).alias("amount"))
-
-    row = lambda kind, rows, one, two, at, cents, sim, account: rows.where("NOT whole").select("batch_id", "root", F.lit(kind).alias("kind"), F.col(one).alias("one"), two.alias("two"), at.alias("at"), cents.alias("cents"), sim.alias("sim"), account.alias("account"))
+    found = []
+
+    def by_rank(way: str, rank: Callable[[DataFrame], DataFrame]) -> None:
+        left = rank(r.where(F.col("way") == way).drop("way")).withColumnsRenamed({"at": "row_number", "cents": "r_cents"})
+        right = rank(i.where(F.col("way") == way).drop("way")).withColumnsRenamed({"at": "invoice_seq", "cents": "i_cents"})
+        both = left.join(right, ["batch_id", "root", "k"]).withColumn("confidence", F.lit(1.0))
+        found.append(both.join(pairs.drop("batch_id", "sure"), ["rc", "ic"]))
+
+    if "ranks" in ways:
+        by_rank("ranks", lambda d: d.withColumn("k", F.row_number().over(W.partitionBy("batch_id", "root").orderBy("at"))))
+    if "ranges" in ways:
+        by_rank("ranges", lambda d: ranked(d, ["batch_id", "root"], ["at"]))
+    if "levels" in ways:
+        big = placed.join(shape.where("way = 'levels'"), "root")
+        paired = by_levels(*(d.where("way = 'levels'").drop("way", "batch_id") for d in (r, i)), big.select("rc", "ic", "sim", "account_evidence"), tol, ACCOUNT_FLOOR, least)
+        found.append(paired.join(pairs.drop("sure"), ["rc", "ic"]))
+    columns = ["batch_id", "row_number", "invoice_seq", "confidence", "sim", F.col("account_evidence").alias("account"), (F.abs(F.col("r_cents") - F.col("i_cents")) <= tol).alias("amount")]
+    found = [d.select(*columns) for d in found]
+
+    row = lambda kind, rows, one, two, at, cents, sim, account: rows.where("way = 'helper'").select("batch_id", "root", F.lit(kind).alias("kind"), F.col(one).alias("one"), two.alias("two"), at.alias("at"), cents.alias("cents"), sim.alias("sim"), account.alias("account"))
     zero, none, no = F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("boolean")
-    rows = row("r", r, "rc", zero, F.col("at"), F.col("r_cents"), none, no).unionByName(row("i", i, "ic", zero, F.col("at"), F.col("i_cents"), none, no))
+    rows = row("r", r, "rc", zero, F.col("at"), F.col("cents"), none, no).unionByName(row("i", i, "ic", zero, F.col("at"), F.col("cents"), none, no))
     rows = rows.unionByName(row("s", placed.join(shape, "root"), "rc", F.col("ic"), zero, zero, F.col("sim"), F.col("account_evidence")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -367,9 +390,13 @@ def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFram
         columns = list(zip(*found)) if found else [[]] * 6
         return pd.DataFrame({"batch_id": pdf["batch_id"].iloc[0], "row_number": columns[0], "invoice_seq": columns[1], "confidence": columns[2], "sim": columns[3], "account": columns[4], "amount": columns[5]})
 
-    solved = rows.groupBy("batch_id", "root").applyInPandas(solve, "batch_id string, row_number long, invoice_seq long, confidence double, sim double, account boolean, amount boolean")
+    if "helper" in ways or not found:
+        found.append(rows.groupBy("batch_id", "root").applyInPandas(solve, "batch_id string, row_number long, invoice_seq long, confidence double, sim double, account boolean, amount boolean"))
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.unionByName(more)
     _, reason = score_columns(F.col("sim"), F.col("account"), F.col("amount"))
-    return ranked.unionByName(solved).select("batch_id", "row_number", "invoice_seq", "confidence", reason.alias("reason"))
+    return all_.select("batch_id", "row_number", "invoice_seq", "confidence", reason.alias("reason"))
 
 
 def rescue_by_amount(requests: DataFrame, invoices: DataFrame, taken: DataFrame, tolerance: str = "0.01") -> DataFrame:

@@ -1,11 +1,13 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
 from tallyloom.functions.text import SHORT_FORMS
 from tallyloom.operators import linkage as P
+from tallyloom.operators import queues
 from tallyloom.operators.components import components
+from tallyloom.operators.ranks import ranked
 from tallyloom.plans.batches import reconcile, verify_batches
 from tallyloom.streaming.documents import watch_totals
 
@@ -93,6 +95,53 @@ def test_pairings_against_all_pairs(spark, seed):
     assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
 
 
+def test_large_parts_level_by_level(spark, monkeypatch):
+    """All parts taken for large: levels, walks of a few requests a turn, ranks in ranges."""
+    monkeypatch.setattr(P, "PART_ROWS", 0)
+    monkeypatch.setattr(queues, "TURN", 15)
+    monkeypatch.setattr(P, "greedy", None)  # the helper is not needed
+    rnd = random.Random(9)
+    names = ["Solar Wind Trading", "Solar Wimd Trading", "Solar Wind Tradimg", ""]  # one account with all of them, misspelt or empty, and rows without it
+    requests = [("b", k, "P", rnd.choice(names[:3]), "004", rnd.choice(["77", "77", ""]), "", rnd.choice([100.0, 100.01, 200.0, 300.0])) for k in range(40)]
+    invoices = [("b", k, "i", "OCR_LOCAL", rnd.choice([100.0, 100.02, 200.0, 300.0, 400.0]), rnd.choice(names), rnd.choice(["004", ""]), rnd.choice(["77", "77", ""])) for k in range(36)]
+    r, i = (P.keyed(t) for t in frames(spark, requests, invoices))
+    scores = P.class_scores(r, i, P.similar_name_candidates(r, i))
+    got = {(x["batch_id"], x["row_number"]): (x["invoice_seq"], x["confidence"]) for x in P.assign_one_to_one(r, i, scores).collect()}
+    want = {k: v for k, v in slow(requests, invoices).items() if v[1] > 0.5}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len({round(v[1], 6) for v in want.values()}) > 2
+    assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("turn", [1, 3, 100])
+def test_walks_in_turns_against_one_walk(spark, turn):
+    rnd = random.Random(turn)
+    requests = [(p, rnd.randint(0, 3), k) for p in (1, 2) for k in rnd.sample(range(500), 60)]
+    invoices = [(p, rnd.randint(0, 3), k) for p in (1, 2) for k in rnd.sample(range(500), 50)]
+    allowed = [(p, g, q) for p in (1, 2) for g in range(4) for q in range(4) if rnd.random() < 0.5]
+    table = lambda rows, columns: spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns.split()))
+    got = queues.served(table(requests, "part grp at"), table(invoices, "part queue at"), table(allowed, "part grp queue"), turn).collect()
+    want = []
+    for p in (1, 2):
+        free = defaultdict(list)
+        for _, q, k in sorted(x for x in invoices if x[0] == p):
+            free[q].append(k)
+        ways = {g: [q for a, b, q in allowed if (a, b) == (p, g)] for g in range(4)}
+        want += [(p, a, b) for a, b, _ in queues.walk([(k, g) for x, g, k in requests if x == p], free, ways)]
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_ranks_in_ranges(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("aaaaaaab") if rnd.random() < 0.9 else None, k) for k in rnd.sample(range(9999), 900)]
+    got = ranked(spark.createDataFrame(rows, "key string, at long").repartition(6), ["key"], ["at"]).collect()
+    seen = Counter()
+    want = []
+    for key, at in sorted(rows, key=lambda x: x[1]):
+        seen[key] += 1
+        want.append((key, at, seen[key]))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_rescues_in_turn_against_a_plain_walk(spark):
     rnd = random.Random(11)
     requests = [("b", k, "P", "??", "", "", "", rnd.choice([100.0, 100.01, 100.02, 100.03, 200.0, 300.0, 300.01, 400.0 + k])) for k in range(60)]
