@@ -5,9 +5,11 @@ A text is compressed, block by block, once with each dictionary; the language wh
 dictionary gives the fewest bytes wins.  Whole texts are used: blocks keep the
 dictionary in reach of every part of a long text, they don't shorten it.
 
-Learning takes a bounded sample: up to ``sample_docs`` distinct texts per language, picked
-by a hash of the text, and of a long text a slice at a hashed place.  What reaches the
-driver is at most twice ``dict_bytes`` in characters per language.
+Learning takes a bounded sample: distinct texts of a language in the order of a hash, of a
+long text a slice at a hashed place, until its dictionary is full.  So all languages that have
+text enough fill dictionaries of one size, whatever the lengths of their texts, and what
+reaches the driver is ``dict_bytes`` and a slice per language, and the lengths of the
+candidates.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -32,7 +37,7 @@ class LanguageModel:
 
     dictionaries: dict[str, bytes]
     block: int = 2048
-    level: int = 3
+    level: int = 6
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -41,33 +46,43 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(
-    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 48, dict_bytes: int = 112_640, block: int = 2048, level: int = 3
+    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", slice_chars: int = 468, longest: int = 4692, dict_bytes: int = 112_640, cells: int = 4096, block: int = 2048, level: int = 6
 ) -> LanguageModel:
     """Fill the dictionaries from rows that are not held out and have both a language and a text with a letter.
 
-    Distinct texts of a language fall into ``sample_docs`` cells by a hash, and the least
-    hash of each is taken, so copies don't count and the sample stays bounded at every
-    corpus size.  Languages without a usable text are left out.
+    Distinct texts of a language fall into ``cells`` by a hash, and the least hash of each
+    cell may be learnt from, so copies don't count and candidates stay bounded at every corpus
+    size.  They are taken in the order of their hashes, ``slice_chars`` characters of each,
+    until they make ``dict_bytes``; of a language with so few texts that these would not do,
+    longer slices are taken, up to ``longest``.  Languages without a usable text are left out.
     """
     usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    least = usable.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("cell")).agg(F.min("h").alias("h")).select("lang", "h")
-    size = 2 * (dict_bytes // sample_docs)
-    start = F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
-    piece = F.substring("text", start.cast("int"), F.lit(size))
-    sampled = usable.join(F.broadcast(least), ["lang", "h"]).select("lang", "h", piece.alias("t")).groupBy("lang", "h").agg(F.min("t").alias("t"))
-    parts: dict[str, list[tuple[int, bytes]]] = {}
-    for row in sampled.collect():  # at most sample_docs slices a language
-        parts.setdefault(row["lang"], []).append((row["h"], row["t"].lower().encode()))
-    return LanguageModel({k: _fill(sorted(v), dict_bytes) for k, v in sorted(parts.items())}, block, level)
-
-
-def _fill(texts: list[tuple[int, bytes]], size: int) -> bytes:
-    """The texts in order of their hashes, joined by line breaks; where they don't fit, the longest are cut to one length."""
-    left, cut = size - (len(texts) - 1), {}
-    for k, (h, t) in enumerate(sorted(texts, key=lambda x: (len(x[1]), x[0]))):
-        cut[h] = t[: max(left, 0) // (len(texts) - k)]
-        left -= len(cut[h])
-    return b"\n".join(cut[h] for h, _ in texts)
+    start = F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+    piece = F.lower(F.substring("text", start.cast("int"), F.lit(longest)))
+    least = usable.groupBy("lang", F.pmod("h", F.lit(cells)).alias("cell")).agg(F.min_by(F.struct("h", piece.alias("t")), F.struct("h", piece)).alias("one"))
+    least = saved(least.select("lang", "one.*"), "language-slices")
+    sizes: dict[str, list[int]] = {}
+    for row in least.groupBy("lang", F.octet_length("t").alias("n")).count().collect():  # a row a length, and no more than one a cell
+        sizes.setdefault(row["lang"], []).extend([row["n"]] * row["count"])
+    spark = docs.sparkSession
+    cuts = spark.createDataFrame([(k, max(slice_chars, _level(v, dict_bytes))) for k, v in sizes.items()], "lang string, cut int")
+    cut = least.join(F.broadcast(cuts), "lang").withColumn("t", F.substring("t", F.lit(1), F.col("cut")))
+    before = F.sum(F.octet_length("t") + 1).over(W.partitionBy("lang").orderBy("h").rowsBetween(W.unboundedPreceding, -1))  # at most a row a cell
+    parts: dict[str, list[bytes]] = {}
+    for row in cut.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= dict_bytes).orderBy("lang", "h").select("lang", "t").collect():
+        parts.setdefault(row["lang"], []).append(row["t"].encode())
+    return LanguageModel({k: b"\n".join(v)[:dict_bytes] for k, v in sorted(parts.items())}, block, level)
+
+
+def _level(sizes: list[int], total: int) -> int:
+    """The length to which texts of these sizes have to be cut to make ``total`` together."""
+    left, cut = total, 0
+    for k, n in enumerate(sorted(sizes)):
+        cut = -(-max(left, 0) // (len(sizes) - k))
+        if n >= cut:
+            return cut
+        left -= n
+    return max(sizes, default=0)
 
 
 class _Scorer:

@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import zstandard
+
 from tallyloom.llm import language_id as L
 
 SYLLABLES = {"aa": "ka ta ra mo ni lu", "bb": "sch ung keit der die ein", "cc": "ción ado mente gar ñes la"}
@@ -58,3 +61,27 @@ def test_nothing_to_learn_from(spark):
     assert model.dictionaries == {} and L.predict(none, model).count() == 0
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert L.predict(one, model).first()["lang_pred"] == "und"
+
+
+def test_dictionaries_are_full_whatever_the_lengths_of_texts(spark):
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, "aa", 3), "aa") for i in range(8000)] + [(i, prose(rnd, "bb", 3000), "bb") for i in range(8000, 8300)] + [(i, prose(rnd, "cc", 30), "cc") for i in range(9000, 9020)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dict_bytes=30_000, slice_chars=500)
+    sizes = {k: len(v) for k, v in model.dictionaries.items()}
+    assert sizes["aa"] == sizes["bb"] == 30_000 and 1000 < sizes["cc"] < 10_000
+
+
+def test_predictions_are_those_of_a_plain_loop(spark):
+    """Every text, cut into blocks, compressed with each dictionary by the library itself."""
+    docs = spark.createDataFrame(corpus(60) + [(900, "kachung " * 700, None), (901, "é", None)], "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    got = {r["doc_id"]: r for r in L.predict(docs, model).collect()}
+    for r in docs.collect():
+        raw, sizes = r["text"].lower().encode(), {}
+        for k, words in model.dictionaries.items():
+            data = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=model.level, dict_data=data, write_content_size=False, write_dict_id=False)
+            sizes[k] = sum(len(coder.compress(raw[at : at + 2048])) for at in range(0, len(raw), 2048))
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert abs(got[r["doc_id"]]["score"] - 1 / sum(math.exp((sizes[best] - n) / 8) for n in sizes.values())) < 1e-12
