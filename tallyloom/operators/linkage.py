@@ -13,16 +13,19 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.money import amounts_equal, quantize
 from ..functions.text import normalise_digits, normalise_name
 from ..storage import saved
+from .amounts import only_choices
 from .components import components
 from .levels import by_levels
 from .ranks import ranked
@@ -58,33 +61,38 @@ def ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
-def _bags(names: list[str], grams: int) -> np.ndarray:
-    """How often each of 256 classes of letters (or letter pairs) stands in a name, a row a name."""
-    out = np.zeros((len(names), 256), np.uint8)
-    for row, name in zip(out, names):
-        for k in range(len(name) - grams + 1):
-            at = _class_of(name[k : k + grams])
-            row[at] += row[at] < 255
-    return out
-
+def common_letters(left: list[str], right: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of names of up to 64 letters, all pairs at once.
 
-def _class_of(gram: str) -> int:
-    return sum(ord(c) * (31**k) for k, c in enumerate(gram)) % 256
+    A bit of a pair's word stands for a letter of the left name; each letter of the right
+    one carries through the bits where it occurs (the bits that are 0 at the end count).
+    """
+    n = len(left)
+    a, b = (np.array(side, dtype=str) if n else np.zeros(0, "U1") for side in (left, right))
+    x, y = (v.view(np.uint32).reshape(n, -1) if n else np.zeros((0, 1), np.uint32) for v in (a, b))
+    ones, seen = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64), np.full(n, ~np.uint64(0))
+    for column in y.T:
+        # a place beyond a name's end holds 0, which is no letter
+        where = np.where((x == column[:, None]) & (x != 0), ones, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        step = seen & where
+        seen = (seen + step) | (seen - step)
+    inside = (x != 0) @ ones
+    return np.bitwise_count(~seen & inside).astype(int)
 
 
 def worth_comparing(left: list[str], right: list[str], threshold: float) -> np.ndarray:
-    """Which pairs may reach the threshold: enough letters and letter pairs in common, or one inside the other."""
-    known = sorted({*left, *right})
-    at = {n: k for k, n in enumerate(known)}
-    a, b = (np.array([at[n] for n in side], int) for side in (left, right))
-    sizes = np.array([len(n) for n in known])
-    total = sizes[a] + sizes[b]
-    least = np.ceil(threshold / 2 * total - 1e-9)
-    letters, pairs = _bags(known, 1), _bags(known, 2)
-    # a count that has reached 255 says nothing
-    good = np.minimum(letters[a], letters[b]).sum(axis=1) >= np.minimum(least, 250)
-    good &= np.minimum(pairs[a], pairs[b]).sum(axis=1) >= np.minimum(3 * least - total - 1, 250)
-    return good | np.array([x in y or y in x for x, y in zip(left, right)], bool)
+    """Which pairs may reach the threshold: enough letters in common, in order, or one inside the other.
+
+    Matched blocks stand in the same order in both names, so they hold no more letters than
+    the longest common subsequence.  Names of over 64 letters are all worth it.
+    """
+    good = np.array([max(len(x), len(y)) > 64 or x in y or y in x for x, y in zip(left, right)], bool)
+    for at in range(0, len(left), 4096):
+        rest = at + np.flatnonzero(~good[at : at + 4096])
+        some = [left[k] for k in rest], [right[k] for k in rest]
+        total = np.array([len(x) + len(y) for x, y in zip(*some)], float)
+        good[rest] = 2 * common_letters(*some) >= threshold * total - 1e-9
+    return good
 
 
 def name_similarity(left: Column, right: Column, threshold: float = 0.0) -> Column:
@@ -180,12 +188,26 @@ def _share_rare_pairs(names: DataFrame, pairs: DataFrame, threshold: float) -> D
     return met.join(named("r"), "r_nid").join(named("i"), "i_nid").select(F.col("r_batch").alias("batch_id"), "r_name", "i_name")
 
 
-def _share_a_letter(names: DataFrame, threshold: float) -> DataFrame:
-    """Short names, of which no letter pair is asked, with a letter in common."""
-    short = names.where("len <= 12").withColumn("gram", F.explode(F.array_distinct(_grams(F.col("name_key"), 1))))
-    total = F.col("r_len") + F.col("i_len")
-    enough = (2 * F.least("r_len", "i_len") >= threshold * total) & (_pairs_asked(total, threshold) < 1)
-    met = _side(short, "r", "name_key", "len").join(_side(short, "i", "name_key", "len"), ["batch_id", "gram"]).where(enough)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _subsequences(names: pd.Series, letters: pd.Series) -> pd.Series:
+    """All different strings of so many letters that are left of a name when others go."""
+    return pd.Series([sorted({"".join(c) for c in combinations(name, m)}) for name, m in zip(names, letters)], dtype=object)
+
+
+def _share_letters_in_order(names: DataFrame, threshold: float) -> DataFrame:
+    """Short names, of which no letter pair is asked, with as many letters in common, in order, as must be matched.
+
+    How many that are depends on both lengths, so names are indexed by what is left of them
+    when all but that many letters go, once for each length of a partner.
+    """
+    lengths = names.select("batch_id", F.when(F.col("side") == "r", "i").otherwise("r").alias("side"), F.col("len").alias("other")).distinct()
+    total = F.col("len") + F.col("other")
+    least = _least_matched(total, threshold).cast("int")
+    asked = names.join(lengths, ["batch_id", "side"]).where((2 * F.least("len", "other") >= threshold * total) & (_pairs_asked(total, threshold) < 1))
+    kept = asked.withColumn("gram", F.explode(_subsequences(F.col("name_key"), least)))
+    left = _side(kept, "r", "name_key", "len", "other").withColumnsRenamed({"r_len": "a", "r_other": "b"})
+    right = _side(kept, "i", "name_key", "len", "other").withColumnsRenamed({"i_len": "b", "i_other": "a"})
+    met = left.join(right, ["batch_id", "gram", "a", "b"])
     return met.select("batch_id", F.col("r_name_key").alias("r_name"), F.col("i_name_key").alias("i_name")).distinct()
 
 
@@ -209,14 +231,17 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     left and right have batch_id and name_key.  No pair is lost: for names of S letters
     together, M matched ones and M >= threshold * S / 2, the matched blocks hold at least
     3 * M - S - 1 letter pairs, so names that share fewer can't be alike; where that number
-    is not positive (short names) sharing a letter is asked for.  A name inside another has
-    its rarest pair there, whatever the lengths.
+    is not positive (short names) they are met by the M letters that both hold in one order.
+    A name inside another has its rarest pair there, whatever the lengths.  The threshold is
+    over 2/3, as pairs say nothing of long names under it.
     """
+    if threshold <= 2 / 3:
+        raise ValueError("names are searched for by thresholds over 2/3")
     distinct = lambda rows, side: rows.where("name_key <> ''").select("batch_id", "name_key").distinct().withColumn("side", F.lit(side))
     names = distinct(left, "r").unionByName(distinct(right, "i")).withColumns({"len": F.length("name_key"), "nid": F.xxhash64("batch_id", "name_key"), "bag": _parity(_numbered(_grams(F.col("name_key"), 1)))})
     names = saved(names, "names")
     pairs = saved(names.withColumn("gram", F.explode(_numbered(_grams(F.col("name_key"), 2)))), "name-grams")
-    found = _share_rare_pairs(names, pairs, threshold).unionByName(_share_a_letter(names, threshold)).unionByName(_inside(names, pairs))
+    found = _share_rare_pairs(names, pairs, threshold).unionByName(_share_letters_in_order(names, threshold)).unionByName(_inside(names, pairs))
     found = found.where("r_name <> i_name").distinct()
     return found.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name"), threshold)).where(F.col("sim") >= threshold)
 
@@ -402,35 +427,12 @@ def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFram
 def rescue_by_amount(requests: DataFrame, invoices: DataFrame, taken: DataFrame, tolerance: str = "0.01") -> DataFrame:
     """batch_id, row_number, invoice_seq of requests whose name can't be read, by the only free invoice of their amount.
 
-    Requests take their turn in order, so an invoice that one takes is gone for the next;
-    rows that compete for invoices form a component, which one task walks through.
+    Requests take their turn in order, so an invoice that one takes is gone for the next (see ``amounts``).
     """
-    tol = int(round(float(tolerance) * 100))
     cents = lambda c: (quantize(F.col(c)) * 100).cast("long")
     r = requests.where(F.length("name_key") < 4).join(taken, ["batch_id", "row_number"], "left_anti").select("batch_id", "row_number", cents("amount").alias("rc"))
     i = invoices.join(taken, ["batch_id", "invoice_seq"], "left_anti").select("batch_id", "invoice_seq", cents("total_amount").alias("ic"))
-    bucket = lambda c: F.floor(F.col(c) / (tol + 1)).cast("long")
-    # invoices of one amount hide each other for good: no request can take one of them while the other is free
-    values = i.groupBy("batch_id", "ic").agg(F.count(F.lit(1)).alias("n"), F.min("invoice_seq").alias("invoice_seq"))
-    near = r.withColumn("bucket", F.explode(F.array(*(bucket("rc") + k for k in (-1, 0, 1))))).join(values.withColumn("bucket", bucket("ic")), ["batch_id", "bucket"]).where(F.abs(F.col("rc") - F.col("ic")) <= tol)
-    near = saved(near.select("batch_id", "row_number", "invoice_seq", "n"), "amount-pairs")
-    hidden = near.where("n > 1").select("batch_id", "row_number").distinct()
-    pairs = saved(near.where("n = 1").select("batch_id", "row_number", "invoice_seq").join(hidden, ["batch_id", "row_number"], "left_anti"), "amount-choices")
-    node = lambda kind, c: F.xxhash64("batch_id", F.lit(kind), c)
-    parts = components(pairs.select(node("r", "row_number").alias("a"), node("i", "invoice_seq").alias("b")))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for row, some in pdf.sort_values(["row_number", "invoice_seq"]).groupby("row_number", sort=True):
-            free = [x for x in some["invoice_seq"] if x not in used]
-            if len(free) == 1:
-                used.add(free[0])
-                out.append((row, free[0]))
-        columns = list(zip(*out)) if out else [[], []]
-        return pd.DataFrame({"batch_id": pdf["batch_id"].iloc[0], "row_number": columns[0], "invoice_seq": columns[1]})
-
-    placed = pairs.withColumn("node", node("r", "row_number")).join(parts, "node")
-    return placed.groupBy("batch_id", "root").applyInPandas(walk, "batch_id string, row_number long, invoice_seq long")
+    return only_choices(r, i, int(round(float(tolerance) * 100)))
 
 
 def attach_unreadable(requests: DataFrame, unusable: DataFrame, similar: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.functions.text import SHORT_FORMS
+from tallyloom.operators import amounts
 from tallyloom.operators import linkage as P
 from tallyloom.operators import queues
 from tallyloom.operators.components import components
@@ -158,6 +160,43 @@ def test_rescues_in_turn_against_a_plain_walk(spark):
     assert got == want and len(want) >= 4
 
 
+def turns(requests, invoices, tolerance):
+    """(request, invoice) of a plain walk; rows are (number, cents)."""
+    free, out = defaultdict(set), []
+    for n, c in invoices:
+        free[c].add(n)
+    for n, c in sorted(requests):
+        near = [(v, x) for v in range(c - tolerance, c + tolerance + 1) for x in free.get(v, ())]
+        if len(near) == 1:
+            free[near[0][0]].discard(near[0][1])
+            out.append((n, near[0][1]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("tolerance", "step", "order"), [(1, 1, "random"), (1, 2, "rising"), (1, 2, "falling"), (3, 2, "random")])
+def test_chained_amounts_in_pieces_against_a_plain_walk(spark, monkeypatch, tolerance, step, order):
+    """One island of amounts, cut into pieces: chains of choices run across their borders, or all along."""
+    monkeypatch.setattr(amounts, "PIECE_ROWS", 60)
+    rnd = random.Random(tolerance + step)
+    cents = [k * step for k in range(400)] + [rnd.randrange(400 * step) for _ in range(200)]
+    numbers = {"random": rnd.sample(range(10_000), len(cents)), "rising": range(len(cents)), "falling": range(len(cents), 0, -1)}[order]
+    requests = list(zip(numbers, cents))
+    invoices = [(n, k * step + 1) for n, k in enumerate(range(0, 400))] if order != "random" else [(n, c) for n, c in enumerate(rnd.sample(range(400 * step), 200 * step // 2))] + [(1000 + k, 7) for k in range(2)]
+    table = lambda rows, names: spark.createDataFrame([("b", *x) for x in rows], f"batch_id string, {names}")
+    got = amounts.only_choices(table(requests, "row_number long, rc long"), table(invoices, "invoice_seq long, ic long"), tolerance).collect()
+    assert sorted((r["row_number"], r["invoice_seq"]) for r in got) == turns(requests, invoices, tolerance)
+    assert order == "random" or len(got) > 20
+
+
+def test_a_hundred_thousand_chained_amounts(spark, monkeypatch):
+    monkeypatch.setattr(amounts, "PIECE_ROWS", 20_000)
+    rows = spark.range(100_000).select(F.lit("b").alias("batch_id"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("row_number"), F.col("id").alias("rc"))
+    invoices = spark.range(100_000).where(F.xxhash64("id") % 3 == 0).select(F.lit("b").alias("batch_id"), F.col("id").alias("invoice_seq"), F.col("id").alias("ic"))
+    got = amounts.only_choices(rows, invoices, 1).toPandas()
+    want = turns([(r["row_number"], r["rc"]) for r in rows.collect()], [(r["invoice_seq"], r["ic"]) for r in invoices.collect()], 1)
+    assert sorted(zip(got["row_number"], got["invoice_seq"])) == want and len(want) > 10_000
+
+
 def test_hot_payee_with_a_misspelt_invoice_is_paired_by_rank(spark):
     requests = [("b", k, "P", "Solar Wind Limited", "004", "77", "", float(k % 7)) for k in range(400)]
     invoices = [("b", k, "i", "OCR_LOCAL", float(k % 5), "Solar Wind Limited" if k % 100 else "Solar Wimd Limited", "004", "77") for k in range(380)]
@@ -180,6 +219,35 @@ def test_similar_names_lose_no_pair(spark):
     assert got == {(a, b) for a in words for b in words if a != b and P.ratio(a, b) >= P.NAME_EVIDENCE}
 
 
+def test_short_names_meet_in_proportion(spark):
+    """Names of four letters: what the index brings together, against all pairs."""
+    rnd = random.Random(12)
+    names = sorted({"".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.choice([3, 4, 4, 4, 5, 6, 7]))) for _ in range(1500)})
+    rows = spark.createDataFrame([("b", w) for w in names], "batch_id string, name_key string").withColumn("len", F.length("name_key"))
+    sides = rows.withColumn("side", F.lit("r")).unionByName(rows.withColumn("side", F.lit("i")))
+    met = {(r["r_name"], r["i_name"]) for r in P._share_letters_in_order(sides, P.NAME_EVIDENCE).collect()}
+    short = {(a, b) for a in names for b in names if a != b and len(a) + len(b) in (5, 8, 11) and a not in b and b not in a and P.ratio(a, b) >= P.NAME_EVIDENCE}
+    assert short <= met and len(met) < 12 * len(names)
+
+
+def test_letters_in_common_against_a_table():
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for k, d in enumerate(y):
+                last, row[k + 1] = row[k + 1], (last + 1 if c == d else max(row[k], row[k + 1]))
+        return row[-1]
+
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdé𝄞") for _ in range(rnd.choice([1, 2, 5, 20, 63, 64])))
+    left, right = [word() for _ in range(400)], [word() for _ in range(400)]
+    assert P.common_letters(left, right).tolist() == [plain(x, y) for x, y in zip(left, right)]
+    assert P.common_letters([], []).tolist() == []
+    good = P.worth_comparing(left, right, 0.72)
+    assert all(g or P.ratio(x, y) < 0.72 for g, x, y in zip(good, left, right)) and not good.all()
+
+
 def test_golden_batch(spark):
     requests = [("g", 1, "P000001", "ABC Medical Centre Limited", "004", "123456789", "", 15000.0), ("g", 2, "P000002", "XYZ Office Supplies Limited", "004", "456789123", "", 5800.0), ("g", 3, "P000003", "Healthy Imaging Centre Limited", "024", "987654321", "", 125000.0)]
     invoices = [("g", 1, "a.pdf", "TEXT_LAYER", 15000.0, "ABCMedical CentreLimited", "004", "123456789"), ("g", 2, "b.pdf", "OCR_LOCAL", 5800.0, "XYZ Office Supplies Limited", "004", "456789123"), ("g", 3, "c.pdf", "OCR_LOCAL", 120000.0, "Healthy Imaging Centre Limited", "024", "987654321")]
@@ -205,8 +273,6 @@ def test_batches_end_to_end(spark):
     rows = [["Payee Name", "Bank Code", "Bank Account Number", "Payment Amount"], ["Alpha Limited", "004", "1", "10"], ["Beta Limited", "004", "2", "20"], [None, "", "", "3"]]
     raw = spark.createDataFrame([("g", k + 1, r) for k, r in enumerate(rows)] + [("empty", 1, ["Payee Name", "Amount"])], "file string, row_number long, cells array<string>")
     _, invoices = frames(spark, [], [("g", 1, "a.pdf", "OCR_LOCAL", 10.0, "Alpha Ltd", "004", "1"), ("g", 2, "b.pdf", "OCR_LOCAL", None, "Beta Ltd", "004", "2")])
-    from pyspark.sql import functions as F
-
     report = verify_batches(raw, invoices.withColumn("warnings", F.array().cast("array<string>")))
     assert [tuple(r)[:4] for r in report.totals.collect()] == [("g", 2, 1, 1)]
     assert Counter(r["status"] for r in report.results.collect()) == Counter(MATCHED=1, UNREADABLE=1)
