@@ -83,6 +83,18 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(spark.createDataFrame(top, "file string, row_number long, cells array<string>"))
 
 
+def customer_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, row_number, cells: a sheet for each customer, without a header, without a payee in any row, with two columns, or whole, by key."""
+    base = spark.sql(base_sql().replace("SELECT", "SELECT o.o_custkey AS owner,", 1), **tables(spark, sf_dir))
+    kind, file = F.col("owner") % 4, F.concat(F.lit("C"), "owner")
+    amount = F.col("amount").cast("string")
+    full = F.array("request_no", F.when(kind != 1, F.col("payee_name")), "bank_code", "bank_account", "particulars", amount)
+    data = base.select(file.alias("file"), (F.col("row_number") + 10).alias("row_number"), F.when(kind == 2, F.array("payee_name", amount)).otherwise(full).alias("cells"))
+    whole, thin = (F.array(*map(F.lit, HEADERS[k])) for k in ("2", "5"))
+    top = base.where(kind != 0).select("owner").distinct().select(file.alias("file"), F.lit(4).cast("long").alias("row_number"), F.when(kind == 2, thin).otherwise(whole).alias("cells"))
+    return data.unionByName(top)
+
+
 #: Requests that the sheets hold, for the other engine: thin is the batch with two columns.
 SHEET_REQUESTS = """
 SELECT substr(batch_id, 1, 1) AS file, row_number + 10 AS row_number, substr(batch_id, 1, 1) = '5' AS thin, row_number % 41 = 0 AS no_payee, row_number % 43 = 0 AS no_amount, row_number % 50 = 0 AS blank,
@@ -91,10 +103,16 @@ FROM base
 """
 
 
-def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text: invoices in three layouts; in every seventh the zeros of the amount are read as letters."""
-    base = spark.sql(base_sql(), **tables(spark, sf_dir))
-    money = F.format_number("amount", 2)
+def invoice_texts(spark: SparkSession, sf_dir: str, uneven: bool = False) -> DataFrame:
+    """doc_id, text: invoices in three layouts; in every seventh the zeros of the amount are read as letters.
+
+    uneven: as the invoices of the ledger go, some are missing, some ask for more, and some have no readable amount.
+    """
+    base, k = spark.sql(base_sql(), **tables(spark, sf_dir)), F.col("k")
+    if uneven:
+        amount = F.when(k == 1, F.col("amount") + 5000).when(k == 2, F.col("amount") + F.lit("0.01").cast("decimal(18,2)")).when(k != 3, F.col("amount"))
+        base = base.where(k != 0).withColumn("amount", amount.cast("decimal(18,2)"))
+    money = F.coalesce(F.format_number("amount", 2), F.lit("illegible"))
     money = F.when(F.col("row_number") % 7 == 0, F.replace(money, F.lit("0"), F.lit("o"))).otherwise(money)
     number = F.concat(F.lit("INV"), F.lpad(F.col("row_number").cast("string"), 8, "0"))
     row = lambda *cells: F.concat_ws("  ", *(F.lit(c) if isinstance(c, str) else c for c in cells))

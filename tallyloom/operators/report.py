@@ -31,14 +31,16 @@ def bank_lines(found: DataFrame) -> DataFrame:
     return included(found).select("batch_id", "row_number", "request_no", "payee_name", bank_id(F.col("bank_code"), F.col("bank_account")).alias("bank_id"), payable().alias("amount"))
 
 
-def bank_total_row(found: DataFrame) -> DataFrame:
-    """Payment lines and, for each batch, a TOTAL row (row_number null); 0.00 where nothing is paid."""
-    lines = bank_lines(found)
-    sums = lines.groupBy("batch_id").agg(F.sum("amount").alias("amount"))
-    total = found.select("batch_id").distinct().join(sums, "batch_id", "left")
+def total_rows(found: DataFrame) -> DataFrame:
+    """A TOTAL row (row_number null) for each batch; 0.00 where nothing is paid."""
+    sums = found.groupBy("batch_id").agg(F.sum(F.when(F.col("status") == "MATCHED", payable())).alias("amount"))
     empty = F.lit(None).cast("string")
-    total = total.select("batch_id", F.lit(None).cast("long").alias("row_number"), empty.alias("request_no"), empty.alias("payee_name"), F.lit("TOTAL").alias("bank_id"), F.coalesce("amount", F.lit(0)).cast("decimal(28,2)").alias("amount"))
-    return lines.withColumn("amount", F.col("amount").cast("decimal(28,2)")).unionByName(total)
+    return sums.select("batch_id", F.lit(None).cast("long").alias("row_number"), empty.alias("request_no"), empty.alias("payee_name"), F.lit("TOTAL").alias("bank_id"), F.coalesce("amount", F.lit(0)).cast("decimal(28,2)").alias("amount"))
+
+
+def bank_total_row(found: DataFrame) -> DataFrame:
+    """Payment lines and, for each batch, its TOTAL row."""
+    return bank_lines(found).withColumn("amount", F.col("amount").cast("decimal(28,2)")).unionByName(total_rows(found))
 
 
 def batch_totals(found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import report
 from ..operators.linkage import pairings, unmatched_invoices
 from ..operators.verdict import results
 from ..sources import sheets
+from ..sources.sinks import AUDIT_COLUMNS, BANK_COLUMNS, write_batches
 from ..storage import saved
 
 
@@ -35,10 +36,18 @@ def verify_batches(raw_rows: DataFrame, invoices: DataFrame, tolerance: str = "0
 
     The file is the batch.  A batch without a usable request has no results.
     """
-    requests = saved(sheets.requests(raw_rows), "requests")
+    read = sheets.read_sheets(raw_rows)
+    requests = read.requests
     pairs = saved(pairings(requests, invoices, tolerance), "pairings")
     found = saved(results(requests, invoices, pairs, tolerance), "results")
     idle = unmatched_invoices(invoices, pairs)
-    sheet = sheets.check_summary(raw_rows).withColumnRenamed("file", "batch_id")
-    rows = sheets.skipped(raw_rows).withColumnRenamed("file", "batch_id")
-    return BatchReport(found, idle, report.bank_lines(found), report.batch_totals(found), report.audit_rows(found), report.batch_warnings(sheet, rows, invoices, idle))
+    # a sheet without a usable request ends with its own warnings
+    active = requests.select("batch_id").distinct()
+    warnings = report.batch_warnings(read.warnings, read.skipped, *(d.join(active, "batch_id", "left_semi") for d in (invoices, idle)))
+    return BatchReport(found, idle, report.bank_lines(found), report.batch_totals(found), report.audit_rows(found), warnings)
+
+
+def write_reports(found: BatchReport, path: str, reference: str = "PAYMENT") -> tuple[DataFrame, DataFrame]:
+    """The payment files with their TOTAL rows, and the audit files; returns their manifests."""
+    paid = write_batches(found.bank_lines, BANK_COLUMNS, path, reference, report.total_rows(found.results))
+    return paid, write_batches(found.audit, AUDIT_COLUMNS, f"{path}/{reference}_audit")

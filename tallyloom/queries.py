@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import fixtures as X
@@ -112,18 +113,38 @@ note || ' Match basis: ' || reason || '.' AS {remarks} FROM results"""
 _titled = {c: f'"{t}"' for c, t in S.AUDIT_COLUMNS.items()}
 
 
-@query("i3_write_bank_lines", _RESULTS + "SELECT batch_id, request_no, payee_name, bank_code || '-' || bank_account AS bank_id, CAST(invoice_amount AS STRING) AS amount FROM results WHERE status = 'MATCHED'")
+@query(
+    "i3_write_bank_lines",
+    _RESULTS + """SELECT batch_id, '1-lines' AS section, request_no, payee_name, bank_code || '-' || bank_account AS bank_id, CAST(invoice_amount AS STRING) AS amount FROM results WHERE status = 'MATCHED'
+UNION ALL SELECT batch_id, '2-total', NULL, NULL, 'TOTAL', CAST(CAST(coalesce(sum(CASE WHEN status = 'MATCHED' THEN invoice_amount END), 0) AS DECIMAL(28,2)) AS STRING) FROM results GROUP BY batch_id""",
+)
+def _(spark, sf_dir):
+    """Payment files with their TOTAL rows, written and read back."""
+    path, found = new_folder(spark, "bank"), saved(_found(spark, sf_dir), "results")
+    S.write_batches(A.bank_lines(found), S.BANK_COLUMNS, path, "PAYMENT", A.total_rows(found))
+    return S.read_batches(spark, f"{path}/PAYMENT_bank_payment_file", "request_no string, payee_name string, bank_id string, amount string").drop("part")
+
+
+@query(
+    "i3_manifest",
+    _RESULTS + "SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, min(row_number) AS first_row, max(row_number) AS last_row, CAST(1 AS BOOLEAN) AS in_order FROM results WHERE status = 'MATCHED' GROUP BY batch_id",
+)
 def _(spark, sf_dir):
-    """Payment files written and read back."""
-    path = new_folder(spark, "bank")
-    S.write_batches(A.bank_lines(_found(spark, sf_dir)), S.BANK_COLUMNS, path, "PAYMENT")
-    back = spark.read.schema("request_no string, payee_name string, bank_id string, amount string, batch_id string").option("header", True).option("enforceSchema", True).csv(f"{path}/PAYMENT_bank_payment_file")
-    return back.select("batch_id", "request_no", "payee_name", "bank_id", "amount")
+    """The parts of each payment file; whether each begins behind the one before it."""
+    path, found = new_folder(spark, "bank"), _found(spark, sf_dir)
+    parts = S.write_batches(A.bank_lines(found), S.BANK_COLUMNS, path, "PAYMENT")
+    before = F.lag("last_row").over(W.partitionBy("batch_id").orderBy("part"))  # a row a part
+    parts = parts.withColumn("fine", F.coalesce(F.col("first_row") > before, F.lit(True)))
+    return parts.groupBy("batch_id").agg(F.sum("n_rows").alias("n_rows"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.min("fine").alias("in_order"))
 
 
-@query("i4_write_audit", _RESULTS + _AUDIT_SQL.format(**{**_titled, "request_no": 'request_no AS "Payment Request No"', "payee_name": 'payee_name AS "Payee Name"'}))
+@query("i4_write_audit", _RESULTS + "SELECT * EXCLUDE (row_number) FROM (" + _AUDIT_SQL.format(**{**_titled, "request_no": 'request_no AS "Payment Request No"', "payee_name": 'payee_name AS "Payee Name"'}) + ")")
 def _(spark, sf_dir):
-    return S.titled(A.audit_rows(_found(spark, sf_dir)), S.AUDIT_COLUMNS)
+    """Audit files, written and read back."""
+    path, rows = new_folder(spark, "audit"), A.audit_rows(_found(spark, sf_dir))
+    S.write_batches(rows, S.AUDIT_COLUMNS, path)
+    schema = ", ".join(f"`{title}` {rows.schema[c].dataType.simpleString()}" for c, title in S.AUDIT_COLUMNS.items())
+    return S.read_batches(spark, path, schema).drop("section", "part").na.fill("")  # CSV has no other empty text
 
 
 @query(
@@ -190,9 +211,14 @@ def _(spark, sf_dir):
     return R.triage(R.project_requests(X.raw_rows(spark, sf_dir))).select("file", "row_number", "route", "reason")
 
 
-@query("r8_check_summary", "SELECT '5' AS file, 'Summary is missing expected column(s): bank_account, bank_code. Matching will be less reliable.' AS warning")
+@query(
+    "r8_check_summary",
+    f"""SELECT DISTINCT 'C' || CAST(o_custkey AS STRING) AS file, CASE o_custkey % 4 WHEN 0 THEN '{R.NO_HEADER}' WHEN 1 THEN '{R.NO_ROWS}'
+  ELSE 'Summary is missing expected column(s): bank_account, bank_code. Matching will be less reliable.' END AS warning FROM orders WHERE o_custkey % 4 < 3 AND o_custkey IN (SELECT c_custkey FROM customer)""",
+)
 def _(spark, sf_dir):
-    return R.check_summary(X.raw_rows(spark, sf_dir))
+    """A sheet for each customer: without a header, without a usable row, without columns, or whole."""
+    return R.check_summary(X.customer_sheets(spark, sf_dir))
 
 
 @query("r9_header_map", f"SELECT h.file, field, trim(caption) AS caption FROM {_HEADER_ROWS} JOIN {_FIELD_OF} ON h.file = g.file AND h.pos = g.pos")
@@ -544,6 +570,49 @@ def _(spark, sf_dir):
     return A.batch_warnings(none.select("batch_id", "warning"), none.select("batch_id", "reason"), i, P.unmatched_invoices(i, saved(pairs, "pairings")))
 
 
+#: Sheets with uneven invoices, for the other engine: rows that are read, invoices that are there, and which go together.
+_UNEVEN = (
+    _SHEET
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY file, payee_name ORDER BY row_number) AS nth FROM good),
+i AS (SELECT substr(batch_id, 1, 1) AS file, row_number AS invoice_seq, payee_name, CAST(CASE k WHEN 3 THEN NULL WHEN 1 THEN amount + 5000 WHEN 2 THEN amount + 0.01 ELSE amount END AS DECIMAL(18,2)) AS total_amount FROM base WHERE k <> 0),
+u AS (SELECT *, row_number() OVER (PARTITION BY file, payee_name ORDER BY invoice_seq) AS nth FROM i WHERE total_amount IS NOT NULL),
+late AS (SELECT file, payee_name, min(invoice_seq) AS invoice_seq FROM i WHERE total_amount IS NULL GROUP BY 1, 2),
+found AS (SELECT r.file AS batch_id, r.row_number, coalesce(u.invoice_seq, late.invoice_seq) AS invoice_seq, u.total_amount AS invoice_amount, CAST(r.amount - u.total_amount AS DECIMAL(18,2)) AS difference,
+    CASE WHEN u.invoice_seq IS NOT NULL THEN CASE WHEN abs(r.amount - u.total_amount) <= 0.01 THEN 'MATCHED' ELSE 'AMOUNT_MISMATCH' END WHEN late.invoice_seq IS NOT NULL THEN 'UNREADABLE' ELSE 'NO_INVOICE' END AS status
+  FROM r LEFT JOIN u ON r.file = u.file AND r.payee_name = u.payee_name AND r.nth = u.nth LEFT JOIN late ON r.file = late.file AND r.payee_name = late.payee_name AND u.invoice_seq IS NULL)
+"""
+)
+
+
+def _uneven(spark, sf_dir):
+    """Sheets and texts of invoices of which some are missing, some ask for more and some are illegible."""
+    raw = X.raw_rows(spark, sf_dir)
+    batches = spark.sql(X.base_sql(), **X.tables(spark, sf_dir)).select(F.substring("batch_id", 1, 1).alias("batch_id"), F.col("row_number").alias("doc_id"))
+    parsed = E.parse_invoices(X.invoice_texts(spark, sf_dir, uneven=True)).join(batches, "doc_id")
+    invoices = parsed.select("batch_id", F.col("doc_id").alias("invoice_seq"), F.concat(F.lit("INV"), F.col("doc_id"), F.lit(".pdf")).alias("source"), F.lit("TEXT_LAYER").alias("source_kind"), "total_amount", "payee_name", "bank_code", "bank_account", "warnings")
+    return verify_batches(raw, saved(invoices, "invoices"))
+
+
+@query("a9_verify_batches_held", _UNEVEN + "SELECT batch_id, row_number, status, invoice_seq, invoice_amount, difference FROM found")
+def _(spark, sf_dir):
+    """Sheets and texts with every outcome, end to end."""
+    return _uneven(spark, sf_dir).results.select("batch_id", "row_number", "status", "invoice_seq", "invoice_amount", "difference")
+
+
+@query(
+    "a8_warnings_of_a_run",
+    _UNEVEN
+    + """, idle AS (SELECT file, invoice_seq, total_amount IS NULL AS late FROM i WHERE total_amount IS NULL OR NOT EXISTS (SELECT 1 FROM found WHERE found.batch_id = i.file AND found.invoice_seq = i.invoice_seq))
+SELECT '5' AS batch_id, 'Summary is missing expected column(s): bank_account, bank_code. Matching will be less reliable.' AS warning
+UNION ALL SELECT file, 'Row ' || CAST(row_number AS STRING) || CASE WHEN no_payee THEN ': no payee name -- skipped.' ELSE ': no readable payment amount for ''' || payee_name || ''' -- skipped.' END FROM sheet WHERE NOT blank AND (no_payee OR no_amount) AND NOT (thin AND no_payee AND no_amount)
+UNION ALL SELECT file, 'INV' || CAST(invoice_seq AS STRING) || '.pdf: No amount figure could be located on the document.' FROM i WHERE total_amount IS NULL
+UNION ALL SELECT file, 'Invoice(s) provided but not matched to any payment request: ' || string_agg('INV' || CAST(invoice_seq AS STRING) || '.pdf', ', ' ORDER BY late, invoice_seq) FROM idle GROUP BY file""",
+)
+def _(spark, sf_dir):
+    """Warnings of sheets, rows, invoices and what stays over, all of one run."""
+    return _uneven(spark, sf_dir).warnings
+
+
 @query(
     "a9_verify_batches",
     _SHEET + """, parsed AS (SELECT file, row_number, payee_name, amount, thin FROM good)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import to_decimal
+from ..storage import saved
 
 # Header wordings of each field.
 HEADER_CUES = {
@@ -21,6 +24,7 @@ ESSENTIAL = ("payee_name", "payment_amount")
 #: Rows at the top of a sheet in which its header is looked for.
 HEADER_ROWS = 20
 
+# Warnings of sheets.
 NO_HEADER = "Could not find a header row containing at least a Payee Name and a Payment Amount column. Please check the summary layout."
 NO_ROWS = "No usable payment request rows were found in the summary."
 
@@ -53,29 +57,32 @@ def match_header_field(header: Column) -> Column:
     return chain
 
 
-def header_cells(raw_rows: DataFrame) -> DataFrame:
-    """file, row_number, pos, caption, field: the left-most cell of each field, in the rows where a header may be."""
-    cells = raw_rows.where(F.col("row_number") <= HEADER_ROWS).select("file", "row_number", F.posexplode("cells").alias("pos", "caption"))
-    named = cells.withColumn("field", match_header_field(normalise_header(F.col("caption")))).where("field IS NOT NULL")
-    return named.groupBy("file", "row_number", "field").agg(F.min(F.struct("pos", "caption")).alias("first")).select("file", "row_number", "field", "first.pos", "first.caption")
-
-
 def find_header_row(raw_rows: DataFrame) -> DataFrame:
-    """file, header_row, columns (map of field to position): the first row that names payee and amount."""
-    rows = header_cells(raw_rows).groupBy("file", "row_number").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "pos")))).alias("columns"))
-    good = rows.where(F.map_contains_key("columns", ESSENTIAL[0]) & F.map_contains_key("columns", ESSENTIAL[1]))
-    return good.groupBy("file").agg(F.min_by("columns", "row_number").alias("columns"), F.min("row_number").alias("header_row")).select("file", "header_row", "columns")
+    """file, header_row, columns (map of field to position) and captions (of field to wording): the first of the top rows that names payee and amount.
+
+    A field belongs to its left-most cell.  Every file has a row; one without a header has
+    nulls.  Fields are found within each row, so one aggregation by file is all that it takes.
+    """
+    field = F.transform("cells", lambda c: match_header_field(normalise_header(c)))
+    rows = raw_rows.withColumn("fields", F.when(F.col("row_number") <= HEADER_ROWS, field))
+    places = F.array(*(F.struct(F.lit(f).alias("field"), (F.array_position("fields", f) - 1).cast("int").alias("pos")) for f in HEADER_CUES))
+    rows = rows.withColumn("found", F.filter(places, lambda p: p["pos"] >= 0))
+    names = F.transform("found", lambda p: p["field"])
+    good = F.array_contains(names, ESSENTIAL[0]) & F.array_contains(names, ESSENTIAL[1])
+    columns = F.map_from_entries("found")
+    captions = F.map_from_arrays(names, F.transform("found", lambda p: F.trim(F.get("cells", p["pos"]))))
+    first = F.min_by(F.when(good, F.struct(F.col("row_number").alias("header_row"), columns.alias("columns"), captions.alias("captions"))), F.when(good, F.col("row_number")))
+    return rows.groupBy("file").agg(first.alias("h")).select("file", "h.*")
 
 
 def header_map(raw_rows: DataFrame) -> DataFrame:
     """file, field, caption of the header row."""
-    found = find_header_row(raw_rows).select("file", F.col("header_row").alias("row_number"))
-    return header_cells(raw_rows).join(found, ["file", "row_number"]).select("file", "field", F.trim("caption").alias("caption"))
+    return find_header_row(raw_rows).select("file", F.explode("captions").alias("field", "caption"))
 
 
-def project_requests(raw_rows: DataFrame) -> DataFrame:
+def project_requests(raw_rows: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """Rows below the header, a text column for each field; missing cells are empty, a missing amount null."""
-    rows = raw_rows.join(find_header_row(raw_rows), "file").where(F.col("row_number") > F.col("header_row"))
+    rows = raw_rows.join(header or find_header_row(raw_rows), "file").where(F.col("row_number") > F.col("header_row"))
     cell = lambda field: F.try_element_at("cells", (F.try_element_at("columns", F.lit(field)) + 1).cast("int"))
     text = [cell_text(cell(f)).alias(f) for f in HEADER_CUES if f != "payment_amount"]
     return rows.select("file", "row_number", *text, to_decimal(cell("payment_amount")).alias("amount"))
@@ -91,23 +98,46 @@ def triage(projected: DataFrame) -> DataFrame:
     return projected.withColumn("route", F.when(blank, "blank").when(no_payee | no_amount, "skipped").otherwise("usable")).withColumn("reason", reason)
 
 
-def requests(raw_rows: DataFrame) -> DataFrame:
+def usable(triaged: DataFrame) -> DataFrame:
     """Usable rows as payment requests; the file is the batch, and a missing number is ROW and the row's."""
     number = F.when(F.col("request_no") == "", F.concat(F.lit("ROW"), F.col("row_number"))).otherwise(F.col("request_no"))
-    usable = triage(project_requests(raw_rows)).where("route = 'usable'")
-    return usable.select(F.col("file").alias("batch_id"), "row_number", number.alias("request_no"), "payee_name", "bank_code", "bank_account", "particulars", "amount")
+    return triaged.where("route = 'usable'").select(F.col("file").alias("batch_id"), "row_number", number.alias("request_no"), "payee_name", "bank_code", "bank_account", "particulars", "amount")
+
+
+def requests(raw_rows: DataFrame) -> DataFrame:
+    return usable(triage(project_requests(raw_rows)))
 
 
 def skipped(raw_rows: DataFrame) -> DataFrame:
     return triage(project_requests(raw_rows)).where("route = 'skipped'").select("file", "row_number", "reason")
 
 
-def check_summary(raw_rows: DataFrame) -> DataFrame:
+def warnings_of(header: DataFrame, triaged: DataFrame) -> DataFrame:
     """file, warning: no header, missing columns, or no usable rows."""
-    files = raw_rows.select("file").distinct()
-    found = find_header_row(raw_rows)
-    headless = files.join(found, "file", "left_anti").select("file", F.lit(NO_HEADER).alias("warning"))
+    headless = header.where("header_row IS NULL").select("file", F.lit(NO_HEADER).alias("warning"))
     lacking = F.array_sort(F.array_except(F.array(*map(F.lit, REQUIRED)), F.map_keys("columns")))
-    missing = found.where(F.size(lacking) > 0).select("file", F.concat(F.lit("Summary is missing expected column(s): "), F.array_join(lacking, ", "), F.lit(". Matching will be less reliable.")).alias("warning"))
-    empty = found.join(requests(raw_rows).select(F.col("batch_id").alias("file")).distinct(), "file", "left_anti").select("file", F.lit(NO_ROWS).alias("warning"))
+    missing = header.where(F.size(lacking) > 0).select("file", F.concat(F.lit("Summary is missing expected column(s): "), F.array_join(lacking, ", "), F.lit(". Matching will be less reliable.")).alias("warning"))
+    some = triaged.where("route = 'usable'").select("file").distinct()
+    empty = header.where("header_row IS NOT NULL").join(some, "file", "left_anti").select("file", F.lit(NO_ROWS).alias("warning"))
     return headless.unionByName(missing).unionByName(empty)
+
+
+def check_summary(raw_rows: DataFrame) -> DataFrame:
+    header = saved(find_header_row(raw_rows), "headers")
+    return warnings_of(header, triage(project_requests(raw_rows, header)))
+
+
+@dataclass
+class Sheets:
+    """What the sheets hold: requests, skipped (batch_id, reason) and warnings (batch_id, warning)."""
+
+    requests: DataFrame
+    skipped: DataFrame
+    warnings: DataFrame
+
+
+def read_sheets(raw_rows: DataFrame) -> Sheets:
+    """Headers and rows are each read once and saved."""
+    header = saved(find_header_row(raw_rows), "headers")
+    rows = saved(triage(project_requests(raw_rows, header)), "sheet-rows")
+    return Sheets(usable(rows), rows.where("route = 'skipped'").select(F.col("file").alias("batch_id"), "reason"), warnings_of(header, rows).withColumnRenamed("file", "batch_id"))
