@@ -41,6 +41,9 @@ MAIN = {"article", "main"}
 WHOLE = MAIN | {"html", "body"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 AD_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget"}
+#: Words that say nothing of their own beside a listed one, as in site-footer or comment-list.
+PLAIN_WORDS = {"area", "bar", "block", "body", "box", "buttons", "container", "content", "inner", "list", "main", "page", "post", "posts", "section", "site", "top", "wrapper"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that a new one of the same kind closes.
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
@@ -103,13 +106,14 @@ class _Tags:
 class _Element:
     """An open element; what is asked of all elements around it is kept with it."""
 
-    __slots__ = ("name", "marks", "parent", "path", "main", "article", "holds", "_beside")
+    __slots__ = ("name", "marks", "parent", "path", "main", "article", "heading", "holds", "_beside")
 
     def __init__(self, name: str, marks: str, parent: _Element | None):
         self.name, self.marks, self.parent = name, marks, parent
         self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else ''}/{name}.{marks}")
         self.main = name in MAIN or bool(parent and parent.main)
         self.article = name == "article" or bool(parent and parent.article)
+        self.heading = name in HEADINGS or bool(parent and parent.heading)
         self.holds = False
         self._beside: bool | None = None
 
@@ -192,10 +196,18 @@ def tokens(page: str) -> Iterator[Token]:
 
 @lru_cache(100_000)
 def _listed(marks: str, inside: bool) -> bool:
-    """Is a whole class, id or role made of listed words?  In an article, header is a word of its own headline."""
+    """Is a whole class, id or role made of listed words, or of those and plain ones?
+
+    In an article, header is a word of its own headline, and an id of search or notice the
+    name of a part of it.  Beside plain words header says nothing, but for the site's.
+    """
     for mark in marks.split():
-        parts = [x for x in _BETWEEN.split(re.sub("^(class|id|role)=", "", mark)) if x]
-        if parts and AD_WORDS.issuperset(parts) and not (inside and parts == ["header"]):
+        kind, _, value = mark.rpartition("=")
+        parts = {x for x in _BETWEEN.split(value) if x}
+        words = parts & AD_WORDS
+        if not words or parts - words - PLAIN_WORDS or words == {"header"} and (inside or parts - words not in (set(), {"site"})):
+            continue
+        if not (inside and kind == "id" and words <= {"search", "notice"}):
             return True
     return False
 
@@ -217,19 +229,19 @@ def coded(page: str) -> list[tuple[int, str, str, _Element | None, str]]:
     return out
 
 
-def blocks(found: list[tuple[int, str, str, _Element | None, str]], fixed: set[int] = frozenset(), breaks: set[int] = frozenset()) -> list[list[tuple[str, bool]]]:
-    """(text, is it in an article) of each block, by slot; a slot ends at each place in breaks.
+def blocks(found: list[tuple[int, str, str, _Element | None, str]], fixed: set[int] = frozenset(), breaks: set[int] = frozenset()) -> list[list[tuple[str, bool, bool]]]:
+    """(text, is it in an article, is it a heading) of each block, by slot; a slot ends at each place in breaks.
 
     Text at the places in fixed and text that belongs to no article are left out.
     """
-    slots: list[list[tuple[str, bool]]] = [[]]
+    slots: list[list[tuple[str, bool, bool]]] = [[]]
     block: list[str] = []
-    inside = False
+    inside = heading = False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(block)).split())
         if text:
-            slots[-1].append((text, inside))
+            slots[-1].append((text, inside, heading))
         block.clear()
 
     for k, (_, kind, name, element, text) in enumerate(found):
@@ -240,6 +252,7 @@ def blocks(found: list[tuple[int, str, str, _Element | None, str]], fixed: set[i
             if now != inside:
                 flush()
                 inside = now
+            heading = bool(element and element.heading)
             block.append(text)
         elif name in INLINE:
             if name == "br":
@@ -276,7 +289,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if code:
                     counts[code, False] += 1
                     first.setdefault((code, False), k)
-            counts.update((block_code(text), True) for slot in blocks(found) for text, inside in slot if inside)
+            counts.update((block_code(text), True) for slot in blocks(found) for text, inside, heading in slot if inside and not heading)
             for token, n in counts.items():
                 row = rows.setdefault((host, *token), [0, 0, 0])
                 row[0] += 1
@@ -286,19 +299,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.5, members: int = 2, inner_share: float = 0.9) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.5, members: int = 2, inner_pages: int = 5, inner_share: float = 0.9) -> DataFrame:
     """host, template: its tokens with class and order, and repeated: its blocks inside articles.
 
     pages has host and html; equal pages of a host count once.  A class counts where its
     tokens stand on at least ``least_pages`` pages and ``share`` of the host's, and it has
-    ``members`` tokens or more; a block inside articles, on ``inner_share`` of the pages.
+    ``members`` tokens or more; a block inside articles that is no heading, on ``inner_pages``
+    pages and ``inner_share`` of all.
     """
     rows = pages.select("host", "html").distinct().mapInArrow(_vectors, "host string, token long, inner boolean, pages long, vector long, place long")
     rows = rows.groupBy("host", "token", "inner").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"))
     rows = saved(rows.where((F.col("pages") >= least_pages) | (F.col("token") == 0)), "tokens")
     sizes = rows.where("token = 0").select("host", F.col("pages").alias("all"))
     often = rows.where((F.col("token") != 0) & (F.col("pages") >= least_pages)).join(sizes, "host")
-    often = often.where(F.col("pages") >= F.when(F.col("inner"), inner_share).otherwise(share) * F.col("all"))
+    often = often.where(F.col("pages") >= F.when(F.col("inner"), F.greatest(F.lit(inner_pages), inner_share * F.col("all"))).otherwise(share * F.col("all")))
     classes = often.groupBy("host", "inner", "vector", "pages").agg(F.count(F.lit(1)).alias("members"), F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("tokens"))
     classes = classes.where(F.col("inner") | (F.col("members") >= members))
     token = lambda t: F.struct(t["token"].alias("token"), F.col("vector").alias("cls"), t["place"].alias("place"))
@@ -334,14 +348,22 @@ def once(codes: list[int], fixed: set[int]) -> set[int]:
 
 
 def main_text(page: str, template: dict[int, tuple[int, float]] | None = None, repeated: set[int] = frozenset()) -> str:
-    """Blocks of the article, joined by line breaks."""
+    """Blocks of the article, joined by line breaks.
+
+    Without an article all blocks that are no template are main text.  How long texts are plays
+    no part.
+    """
     found = coded(page)
     codes = [f[0] for f in found]
     fixed = valid_tokens(codes, template) if template else set()
-    slots = [[(t, i) for t, i in slot if not (i and repeated and block_code(t) in repeated)] for slot in blocks(found, fixed, once(codes, fixed))]
-    within = sum(len(t) for slot in slots for t, i in slot if i)
-    beside = max(sum(len(t) for t, i in slot if not i) for slot in slots)
-    return "\n".join(t for slot in slots for t, i in slot if i or beside >= within)
+    slots = [[(t, i) for t, i, head in slot if head or not (i and repeated and block_code(t) in repeated)] for slot in blocks(found, fixed, once(codes, fixed))]
+    inner = [t for slot in slots for t, i in slot if i]
+    if not inner:
+        return "\n".join(t for slot in slots for t, _ in slot)
+    # a template says where a page's own text stands: beside an article of one block, a slot of several blocks is main text too
+    more = bool(fixed) and len(inner) == 1
+    own = [more and sum(not i for _, i in slot) > 1 for slot in slots]
+    return "\n".join(t for slot, all_ in zip(slots, own) for t, i in slot if i or all_)
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[str] | None = None, most_broadcast: int = 500_000) -> DataFrame:

@@ -53,6 +53,28 @@ def test_text_beside_a_teaser_stays(spark):
     assert H.main_text("<div>Home</div><article>This is the story.</article><div>Imprint</div>") == "This is the story."
 
 
+def test_length_decides_nothing_beside_an_article():
+    legal = "All rights reserved by the owner of this site. " * 12
+    page = f'<div id="top-links">Home World</div><article>Short news of today.</article><div class="legal">{legal}</div>'
+    assert H.main_text(page) == "Short news of today."
+
+
+def test_bylines_and_headings_of_few_pages_stay(spark):
+    page = lambda i: f"<html><body><nav>Home</nav><article><h1>Head {i}</h1><p>By Jane Roe</p><h2>What happened</h2><p>Story {i} is told.</p></article></body></html>"
+    for n in (3, 8):
+        got = H.extract(spark.createDataFrame([(i, "http://j.example/", page(i)) for i in range(n)], "page_id long, url string, html string")).collect()
+        byline = "By Jane Roe\n" if n == 3 else ""  # on eight pages of eight it is the host's, like a notice
+        assert {r["page_id"]: r["text"] for r in got} == {i: f"Head {i}\n{byline}What happened\nStory {i} is told." for i in range(n)}
+
+
+def test_common_names_of_what_is_no_article():
+    text = "<h1>Head</h1><p>Story.</p>"
+    for name in ("comments-area", "comment-list", "comments-section", "post-comments", "comment-body", "site-footer", "main-nav", "cookie-bar", "subscribe-box", "ad-container", "related-posts", "share-buttons", "widget-area"):
+        assert H.main_text(f'<article>{text}<div class="{name}"><p>Other</p></div></article>') == "Head\nStory.", name
+    for mark in ('id="search"', 'class="post-header"', 'class="page-content"', 'class="article-list"', 'class="main-content"'):
+        assert H.main_text(f"<article>{text}<section {mark}><h2>Search for the wreck</h2></section></article>") == "Head\nStory.\nSearch for the wreck", mark
+
+
 def test_names_that_only_contain_a_listed_word_drop_nothing():
     text = "<h1>Head</h1><p>Story.</p>"
     for page in (
