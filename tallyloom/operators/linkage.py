@@ -136,7 +136,8 @@ def account_candidates(requests: DataFrame, invoices: DataFrame) -> DataFrame:
 
 def _numbered(items: Column) -> Column:
     """Items with a running number among equals before them: a multiset as a set."""
-    return F.transform(items, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x))))
+    again = F.transform(items, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x))))
+    return F.when(F.size(F.array_distinct(items)) == F.size(items), F.transform(items, lambda x: F.concat(x, F.lit("#1")))).otherwise(again)
 
 
 def _grams(name: Column, n: int) -> Column:
@@ -238,7 +239,7 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     if threshold <= 2 / 3:
         raise ValueError("names are searched for by thresholds over 2/3")
     distinct = lambda rows, side: rows.where("name_key <> ''").select("batch_id", "name_key").distinct().withColumn("side", F.lit(side))
-    names = distinct(left, "r").unionByName(distinct(right, "i")).withColumns({"len": F.length("name_key"), "nid": F.xxhash64("batch_id", "name_key"), "bag": _parity(_numbered(_grams(F.col("name_key"), 1)))})
+    names = distinct(left, "r").unionByName(distinct(right, "i")).withColumns({"len": F.length("name_key"), "nid": F.xxhash64("batch_id", "name_key"), "bag": _parity(_grams(F.col("name_key"), 1))})
     names = saved(names, "names")
     pairs = saved(names.withColumn("gram", F.explode(_numbered(_grams(F.col("name_key"), 2)))), "name-grams")
     found = _share_rare_pairs(names, pairs, threshold).unionByName(_share_letters_in_order(names, threshold)).unionByName(_inside(names, pairs))
@@ -377,10 +378,11 @@ def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFram
     r, i = own(requests, "r", "row_number", "rc", "amount"), own(invoices, "i", "invoice_seq", "ic", "total_amount")
     rows_in = r.select("root").unionByName(i.select("root")).groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
     whole, large = F.col("n") == F.col("nr") * F.col("ni"), F.col("rows") + F.col("n_pairs") > PART_ROWS
-    shape = shape.join(rows_in, "root").select("root", F.when(whole & large, "ranges").when(whole, "ranks").when(large, "levels").otherwise("helper").alias("way"))
+    shape = shape.join(rows_in, "root").select("root", "rows", F.when(whole & large, "ranges").when(whole, "ranks").when(large, "levels").otherwise("helper").alias("way"))
     shape = saved(shape, "part-shapes")
     ways = {x[0] for x in shape.select("way").distinct().collect()}
-    r, i = r.join(shape, "root"), i.join(shape, "root")
+    shaped = shape.select("root", "way")
+    r, i = r.join(shaped, "root"), i.join(shaped, "root")
     tol = int(round(float(tolerance) * 100))
     found = []
 
@@ -395,28 +397,40 @@ def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFram
     if "ranges" in ways:
         by_rank("ranges", lambda d: ranked(d, ["batch_id", "root"], ["at"]))
     if "levels" in ways:
-        big = placed.join(shape.where("way = 'levels'"), "root")
+        big = placed.join(shaped.where("way = 'levels'"), "root")
         paired = by_levels(*(d.where("way = 'levels'").drop("way", "batch_id") for d in (r, i)), big.select("rc", "ic", "sim", "account_evidence"), tol, ACCOUNT_FLOOR, least)
         found.append(paired.join(pairs.drop("sure"), ["rc", "ic"]))
     columns = ["batch_id", "row_number", "invoice_seq", "confidence", "sim", F.col("account_evidence").alias("account"), (F.abs(F.col("r_cents") - F.col("i_cents")) <= tol).alias("amount")]
     found = [d.select(*columns) for d in found]
 
     row = lambda kind, rows, one, two, at, cents, sim, account: rows.where("way = 'helper'").select("batch_id", "root", F.lit(kind).alias("kind"), F.col(one).alias("one"), two.alias("two"), at.alias("at"), cents.alias("cents"), sim.alias("sim"), account.alias("account"))
-    zero, none, no = F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    zero, none, no = F.lit(0).cast("long"), F.lit(0.0), F.lit(False)
     rows = row("r", r, "rc", zero, F.col("at"), F.col("cents"), none, no).unionByName(row("i", i, "ic", zero, F.col("at"), F.col("cents"), none, no))
-    rows = rows.unionByName(row("s", placed.join(shape, "root"), "rc", F.col("ic"), zero, zero, F.col("sim"), F.col("account_evidence")))
+    rows = rows.unionByName(row("s", placed.join(shaped, "root"), "rc", F.col("ic"), zero, zero, F.col("sim"), F.col("account_evidence")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pick = lambda k: pdf[pdf["kind"] == k]
-        items = lambda d: [(int(a), int(o), int(c)) for a, o, c in zip(d["at"], d["one"], d["cents"])]
-        s = pick("s")
-        base = {(int(a), int(b)): (float(x), bool(e)) for a, b, x, e in zip(s["one"], s["two"], s["sim"], s["account"])}
-        found = greedy(items(pick("r")), items(pick("i")), base, tol, least)
-        columns = list(zip(*found)) if found else [[]] * 6
-        return pd.DataFrame({"batch_id": pdf["batch_id"].iloc[0], "row_number": columns[0], "invoice_seq": columns[1], "confidence": columns[2], "sim": columns[3], "account": columns[4], "amount": columns[5]})
+        """The parts of a bucket, one after the other."""
+        out: list[tuple] = []
+        pdf = pdf.sort_values("root", kind="stable")
+        roots = pdf["root"].to_numpy()
+        columns = [pdf[c].tolist() for c in ("batch_id", "kind", "one", "two", "at", "cents", "sim", "account")]
+        ends = np.flatnonzero(np.append(roots[1:] != roots[:-1], True)) + 1
+        for begin, end in zip([0, *ends[:-1]], ends):
+            items: dict[str, list] = {"r": [], "i": []}
+            base = {}
+            for _, kind, one, two, at, cents, sim, account in zip(*(c[begin:end] for c in columns)):
+                if kind == "s":
+                    base[one, two] = sim, account
+                else:
+                    items[kind].append((at, one, cents))
+            out += [(columns[0][begin], *row) for row in greedy(items["r"], items["i"], base, tol, least)]
+        return pd.DataFrame(out, columns=["batch_id", "row_number", "invoice_seq", "confidence", "sim", "account", "amount"])
 
     if "helper" in ways or not found:
-        found.append(rows.groupBy("batch_id", "root").applyInPandas(solve, "batch_id string, row_number long, invoice_seq long, confidence double, sim double, account boolean, amount boolean"))
+        # many small parts to a bucket: some ten thousand rows a call
+        buckets = max(1, int(shape.where("way = 'helper'").agg(F.sum("rows")).first()[0] or 0) // 20_000)
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+        found.append(rows.groupBy("bucket").applyInPandas(solve, "batch_id string, row_number long, invoice_seq long, confidence double, sim double, account boolean, amount boolean"))
     all_ = found[0]
     for more in found[1:]:
         all_ = all_.unionByName(more)
@@ -450,7 +464,7 @@ def pairings(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01")
     come first whatever else there is, so they are made first, from equal names, equal
     accounts and names alike to 0.95; similar names are only searched for what is left.
     """
-    requests, invoices = keyed(requests), keyed(invoices)
+    requests, invoices = saved(keyed(requests), "requests"), saved(keyed(invoices), "invoices")
     usable, unusable = split_usable(invoices)
     certain = saved(best_class_scores(requests, usable), "best-scores")
     top = saved(assign_one_to_one(requests, usable, certain, tolerance, least=1.0), "assigned-best")
