@@ -20,12 +20,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; texts without a letter or with a tie of languages go."""
+    """Documents whose language is told apart; texts that are null or without a letter, or with a tie of languages, go.
+
+    Rows are judged one by one, so rows of a repeated or null id stay or go by their texts;
+    other columns pass through.
+    """
     return language_id.predict(docs, language_id.fit(docs)).where(~F.col("rejected")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, in five words and a similarity of 0.8: the one with the smallest id."""
+    """One document of each group of near-duplicates, in five words and a similarity of 0.8: the one with the smallest id.
+
+    Null and empty texts are like nothing and stay; rows of a repeated id stay or go
+    together; other columns pass through.
+    """
     return minhash_dedup.one_of_each(docs, width=5, percent=80)
 
 
@@ -33,13 +41,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages of over 50 words (or of 400 bytes) that occur more than once; n_chars counts what is left.
 
     A passage is a run of bytes in which each is covered by a 200-byte string that starts
-    anywhere else too: 51 words of three letters and a space have more.
+    anywhere else too: 51 words of three letters and a space have more.  Null and empty texts
+    have nothing to cut (a null one comes back empty); rows of a repeated or null id are cut
+    each; other columns pass through.
     """
     return suffix_dedup.without_repeats(docs, size=200, gram=64, least_words=51).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    """Pieces of the documents with their places in sequences of 2048 tokens.
+
+    A null text is empty and has its end id alone; rows of a repeated or null id are packed
+    each; other columns are left out.
+    """
     return packing.pack_documents(docs)
 
 
