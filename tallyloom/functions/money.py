@@ -47,7 +47,8 @@ def repair_ocr_numbers(text: Column) -> Column:
     """Letter O read for a zero, and a point read for a thousands comma, inside numbers only.
 
     An O counts as a zero before a digit, point or comma of its number, or at the end of a
-    number that has a point.  Numbers with more than 40 characters before the O stay.
+    number that has a point.  An O that stands over 40 characters behind the last digit (or
+    point, at an end) stays.
     """
     # cheap conditions come first: most texts hold no such O, and most Os have no number in front
     at = r"(?=[Oo])(?<=[0-9.,Oo])"
@@ -75,14 +76,17 @@ def classify_amount(number: Column, currency: Column) -> Column:
 
 def find_amounts(text: Column) -> Column:
     """array<struct<amount, token, has_currency>> in reading order, after OCR repair."""
-    fixed = repair_ocr_numbers(text)
-    tokens, currencies, numbers = (F.regexp_extract_all(fixed, F.lit(AMOUNT), F.lit(i)) for i in range(3))
-    rows = F.arrays_zip(tokens.alias("token"), currencies.alias("currency"), numbers.alias("number"))
-    kept = F.transform(
-        rows,
-        lambda r: F.struct(classify_amount(r["number"], r["currency"]).alias("amount"), F.trim(r["token"]).alias("token"), (r["currency"] != "").alias("has_currency")),
-    )
-    return F.filter(kept, lambda r: r["amount"].isNotNull())
+    # one pass over the text; a token's number begins at its first digit, and its currency stands at its head
+    tokens = F.regexp_extract_all(repair_ocr_numbers(text), F.lit(AMOUNT), F.lit(0))
+
+    def read(token: Column) -> Column:
+        currency = F.regexp_extract(token, f"(?i)^(?:{CURRENCY})", 0)
+        amount = classify_amount(F.regexp_extract(token, "[0-9].*", 0), currency)
+        return F.struct(amount.alias("amount"), F.trim(token).alias("token"), (currency != "").alias("has_currency"))
+
+    # a token that is bare digits is no amount, whatever their number
+    shown = F.filter(tokens, lambda t: F.rlike(t, F.lit(r"[^0-9\s\p{Z}\x1c-\x1f\x85]")))
+    return F.filter(F.transform(shown, read), lambda r: r["amount"].isNotNull())
 
 
 def amount_values(text: Column) -> Column:
