@@ -11,7 +11,7 @@ large ones level by level.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from itertools import combinations
 
@@ -247,28 +247,90 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float
     return found.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name"), threshold)).where(F.col("sim") >= threshold)
 
 
-def class_scores(requests: DataFrame, invoices: DataFrame, similar: DataFrame) -> DataFrame:
+#: Class pairs that an account may list; those of busier accounts are listed only where names are alike.
+LISTED_PAIRS = 10_000
+#: Names of a side that are compared at once with as many of the other.
+NAME_BLOCK = 256
+
+
+def _classes(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("batch_id", F.col("name_key").alias(f"{side}_name"), F.col("account_key").alias(f"{side}_account"), F.col("code_key").alias(f"{side}_code")).distinct()
+
+
+def busy_accounts(requests: DataFrame, invoices: DataFrame) -> DataFrame:
+    """batch_id, account_key of accounts with over ``LISTED_PAIRS`` pairs of classes."""
+    sizes = [_classes(d, s).where(F.col(f"{s}_account") != "").groupBy("batch_id", F.col(f"{s}_account").alias("account_key")).agg(F.count(F.lit(1)).alias(f"n{s}")) for d, s in ((requests, "r"), (invoices, "i"))]
+    return sizes[0].join(sizes[1], ["batch_id", "account_key"]).where(F.col("nr") * F.col("ni") > LISTED_PAIRS).select("batch_id", "account_key")
+
+
+def _compare_blocks(least: float):
+    """Rows with a block of names a side to rows of the names alike to over ``least``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for batch, account, left, right in zip(pdf["batch_id"], pdf["account"], pdf["left"], pdf["right"]):
+                x, y = [n for n in left for _ in right], [n for _ in left for n in right]
+                rows = [(batch, account, x[k], y[k], ratio(x[k], y[k])) for k in np.flatnonzero(worth_comparing(x, y, least))]
+                yield pd.DataFrame([r for r in rows if r[-1] > least], columns=["batch_id", "account", "r_name", "i_name", "sim"])
+
+    return run
+
+
+def alike_on_accounts(r: DataFrame, i: DataFrame, least: float) -> DataFrame:
+    """batch_id, account, r_name, i_name, sim of names of one account that are alike to over ``least``.
+
+    r and i are classes.  An account's names are cut into blocks, and each two blocks are
+    compared where they meet: tasks are of one size, and pairs that are not alike are
+    never rows.
+    """
+
+    def blocks(classes: DataFrame, side: str, to: str) -> DataFrame:
+        names = classes.where(F.col(f"{side}_name") != "").select("batch_id", F.col(f"{side}_account").alias("account"), F.col(f"{side}_name").alias("name")).distinct()
+        sizes = names.groupBy("batch_id", "account").agg(F.ceil(F.count(F.lit(1)) / NAME_BLOCK).alias("n"))
+        placed = names.join(sizes, ["batch_id", "account"]).withColumn("block", F.pmod(F.xxhash64("name"), F.col("n")))
+        return placed.groupBy("batch_id", "account", "block").agg(F.collect_list("name").alias(to)).withColumnRenamed("block", f"{side}_block")
+
+    met = blocks(r, "r", "left").join(blocks(i, "i", "right"), ["batch_id", "account"])
+    # each two blocks are some seconds of work at most: spread them over all tasks
+    spread = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id", "account", "r_block", "i_block")
+    kind = r.schema["batch_id"].dataType.simpleString()
+    return spread.mapInPandas(_compare_blocks(least), f"batch_id {kind}, account string, r_name string, i_name string, sim double")
+
+
+def class_scores(requests: DataFrame, invoices: DataFrame, similar: DataFrame, busy: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """Scores between classes (batch, name, account, code) of requests and invoices, without the amount.
 
     batch_id, r_name, r_account, r_code, i_name, i_account, i_code, sim, account_evidence: classes with
-    evidence by name or account only.
+    evidence by name or account only.  Of the accounts in ``busy``, pairs by account are
+    listed only where the names are alike to over ``least``.
     """
-    cls = lambda d, p: d.select("batch_id", F.col("name_key").alias(f"{p}_name"), F.col("account_key").alias(f"{p}_account"), F.col("code_key").alias(f"{p}_code")).distinct()
-    r, i = cls(requests, "r"), cls(invoices, "i")
+    r, i = _classes(requests, "r"), _classes(invoices, "i")
     exact = exact_name_candidates(requests, invoices).select("batch_id", F.col("name_key").alias("r_name"), F.col("name_key").alias("i_name"), F.lit(1.0).alias("sim"))
     by_name = r.join(exact.unionByName(similar.select("batch_id", "r_name", "i_name", "sim")), ["batch_id", "r_name"]).join(i, ["batch_id", "i_name"])
-    by_account = r.join(i.withColumnRenamed("batch_id", "b"), (F.col("batch_id") == F.col("b")) & (F.col("r_account") == F.col("i_account")) & (F.col("r_account") != "")).drop("b")
     agree = (F.col("r_account") == F.col("i_account")) & (F.col("r_account") != "") & ((F.col("i_code") == "") | (F.col("i_code") == F.col("r_code")))
     keys = ["batch_id", "r_name", "r_account", "r_code", "i_name", "i_account", "i_code"]
-    both = by_name.select(*keys, "sim").unionByName(by_account.where(agree).select(*keys, F.lit(None).cast("double").alias("sim")))
+    # an invoice has the request's code or none
+    asking = r.where("r_account <> ''").withColumns({"account": F.col("r_account"), "code": F.explode(F.array_distinct(F.array("r_code", F.lit(""))))})
+    offered = i.where("i_account <> ''").withColumns({"account": F.col("i_account"), "code": F.col("i_code")})
+    both = by_name.select(*keys, "sim")
+    if busy is None:
+        by_account = asking.join(offered, ["batch_id", "account", "code"])
+    else:
+        full = busy.withColumnRenamed("account_key", "account")
+        by_account = asking.join(full, ["batch_id", "account"], "left_anti").join(offered, ["batch_id", "account", "code"])
+        many, few = (d.join(full, ["batch_id", "account"], "left_semi") for d in (asking, offered))
+        alike = saved(alike_on_accounts(many, few, least), "alike-on-accounts")
+        listed = many.join(alike, ["batch_id", "account", "r_name"]).join(few, ["batch_id", "account", "code", "i_name"])
+        both = both.unionByName(listed.select(*keys, "sim"))
+    both = both.unionByName(by_account.select(*keys, F.lit(None).cast("double").alias("sim")))
     merged = both.groupBy(*keys).agg(F.max("sim").alias("sim"))
     return merged.withColumn("sim", F.coalesce("sim", name_similarity(F.col("r_name"), F.col("i_name")))).withColumn("account_evidence", agree)
 
 
-def best_class_scores(requests: DataFrame, invoices: DataFrame) -> DataFrame:
+def best_class_scores(requests: DataFrame, invoices: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     """The class pairs of ``class_scores`` that score 1, at least where amounts agree: without account evidence that takes names alike to 0.95."""
     similar = saved(similar_name_candidates(requests, invoices, BEST_NAME), "most-similar")
-    scores = class_scores(requests, invoices, similar)
+    scores = class_scores(requests, invoices, similar, busy, BEST_NAME - 0.1 - 2e-9)
     return scores.where(F.col("sim") >= F.when(F.col("account_evidence"), BEST_NAME - 0.1).otherwise(BEST_NAME) - 1e-9)
 
 
@@ -438,6 +500,38 @@ def assign_one_to_one(requests: DataFrame, invoices: DataFrame, scores: DataFram
     return all_.select("batch_id", "row_number", "invoice_seq", "confidence", reason.alias("reason"))
 
 
+def assign_by_account(requests: DataFrame, invoices: DataFrame, scores: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """``assign_one_to_one`` where ``scores`` lists pairs by account only of names alike to over ``ACCOUNT_FLOOR``.
+
+    Pairs of other names on one account all score the same, once where amounts agree and once
+    elsewhere, so they need no list: when all that scores more is paired, whatever rows of an
+    account are left meet at that score, in classes of account and code.  The order is that of
+    falling scores: listed pairs over the first such score, accounts by amount, listed pairs
+    over the second, accounts whatever the amount.
+    """
+    plain = ACCOUNT_FLOOR + 0.1
+    agreeing = plain + 0.05
+    known = scores.select("batch_id", "r_name", "i_name", "sim").limit(0)
+    left, free, found = requests, invoices, []
+    for listed, least, amount in ((True, agreeing + 1e-9, None), (False, agreeing - 1e-9, True), (True, plain + 1e-9, None), (False, 0.0, False)):
+        if listed:
+            new = assign_one_to_one(left, free, scores, tolerance, least)
+        else:
+            r, i = (d.withColumn("name_key", F.lit("")) for d in (left, free))
+            new = assign_one_to_one(r, i, saved(class_scores(r, i, known), "account-scores"), tolerance, least)
+            named = new.join(left.select("batch_id", "row_number", F.col("name_key").alias("r_name")), ["batch_id", "row_number"]).join(free.select("batch_id", "invoice_seq", F.col("name_key").alias("i_name")), ["batch_id", "invoice_seq"])
+            named = named.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name")))
+            new = named.select("batch_id", "row_number", "invoice_seq", "confidence", score_columns(F.col("sim"), F.lit(True), F.lit(amount))[1].alias("reason"))
+        new = saved(new, "assigned-step")
+        found.append(new)
+        left = saved(left.join(new.select("batch_id", "row_number"), ["batch_id", "row_number"], "left_anti"), "requests-left")
+        free = saved(free.join(new.select("batch_id", "invoice_seq"), ["batch_id", "invoice_seq"], "left_anti"), "invoices-free")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def rescue_by_amount(requests: DataFrame, invoices: DataFrame, taken: DataFrame, tolerance: str = "0.01") -> DataFrame:
     """batch_id, row_number, invoice_seq of requests whose name can't be read, by the only free invoice of their amount.
 
@@ -466,14 +560,17 @@ def pairings(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01")
     """
     requests, invoices = saved(keyed(requests), "requests"), saved(keyed(invoices), "invoices")
     usable, unusable = split_usable(invoices)
-    certain = saved(best_class_scores(requests, usable), "best-scores")
+    busy = saved(busy_accounts(requests, usable), "busy-accounts")
+    some = not busy.isEmpty()
+    certain = saved(best_class_scores(requests, usable, busy if some else None), "best-scores")
     top = saved(assign_one_to_one(requests, usable, certain, tolerance, least=1.0), "assigned-best")
     left = requests.join(top.select("batch_id", "row_number"), ["batch_id", "row_number"], "left_anti")
     free = usable.join(top.select("batch_id", "invoice_seq"), ["batch_id", "invoice_seq"], "left_anti")
     left, free = saved(left, "requests-left"), saved(free, "invoices-free")
     similar = saved(similar_name_candidates(left, free), "similar")
-    scores = saved(class_scores(left, free, similar), "scores")
-    first = top.unionByName(saved(assign_one_to_one(left, free, scores, tolerance), "assigned"))
+    scores = saved(class_scores(left, free, similar, busy if some else None, ACCOUNT_FLOOR), "scores")
+    assign = assign_by_account if some else assign_one_to_one
+    first = top.unionByName(saved(assign(left, free, scores, tolerance), "assigned"))
     second = saved(rescue_by_amount(requests, usable, first.select("batch_id", "row_number", "invoice_seq"), tolerance).select("*", F.lit(0.5).alias("confidence"), F.lit(BY_AMOUNT).alias("reason")), "rescued")
     chosen = first.unionByName(second)
     open_ = requests.join(chosen.select("batch_id", "row_number"), ["batch_id", "row_number"], "left_anti")

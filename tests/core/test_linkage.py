@@ -97,6 +97,37 @@ def test_pairings_against_all_pairs(spark, seed):
     assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
 
 
+def test_accounts_of_many_names_against_all_pairs(spark, monkeypatch):
+    """All accounts taken for busy: no pair of unlike names is listed, and rows and reasons are the same."""
+    requests, invoices = batches(3, 25)
+    r, i = frames(spark, requests, invoices)
+    listed = sorted(map(tuple, P.pairings(r, i).collect()), key=str)
+    monkeypatch.setattr(P, "LISTED_PAIRS", 0)
+    monkeypatch.setattr(P, "NAME_BLOCK", 2)
+    got = sorted(map(tuple, P.pairings(r, i).collect()), key=str)
+    assert got == listed
+    want = slow(requests, invoices)
+    assert {k[:2]: k[2] for k in got} == {k: v[0] for k, v in want.items()}
+    assert {0.65, 0.7} <= {round(v[1], 6) for v in want.values()}  # unlike names on one account, without and with the amount
+
+
+def test_a_busy_account_is_not_listed_squared(spark):
+    rnd = random.Random(21)
+    name = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(9, 16)))
+    left = [name() for _ in range(1200)]
+    right = [w[:-1] + "z" if k % 4 == 0 else name() for k, w in enumerate(left)]
+    rows = lambda names: spark.createDataFrame([("b", w, "77", "") for w in names], "batch_id string, name_key string, account_key string, code_key string")
+    r, i = rows(left), rows(right)
+    busy = P.busy_accounts(r, i)
+    assert [tuple(x) for x in busy.collect()] == [("b", "77")]
+    none = spark.createDataFrame([], "batch_id string, r_name string, i_name string, sim double")
+    got = {(x["r_name"], x["i_name"]): x["sim"] for x in P.class_scores(r, i, none, busy, 0.55).collect()}
+    assert {(w, right[k]) for k, w in enumerate(left) if k % 4 == 0} <= set(got) and len(got) < len(left) * len(right) / 50
+    assert all(v > 0.55 for v in got.values())
+    some = rnd.sample(left, 12)
+    assert {k for k in got if k[0] in some} == {(a, b) for a in some for b in set(right) if P.ratio(a, b) > 0.55}
+
+
 def test_large_parts_level_by_level(spark, monkeypatch):
     """All parts taken for large: levels, walks of a few requests a turn, ranks in ranges."""
     monkeypatch.setattr(P, "PART_ROWS", 0)
