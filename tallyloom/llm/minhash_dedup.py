@@ -1,7 +1,8 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 1. Tasks turn each text into its set of word shingles, as 64-bit hashes, and a signature
-   of ``BANDS * ROWS`` MinHash values.  Texts with equal sets become one class.
+   of ``BANDS * ROWS`` MinHash values.  Texts whose sets agree in two 64-bit sums over all
+   shingles become one class, which is numbered when the table of classes is written.
 2. Classes that agree in a band are candidates.  In each bucket all are first compared with
    one class only, the one that meets most others in all of its buckets; that joins groups
    of copies without listing their pairs.  Members of buckets that still hold several components are
@@ -32,6 +33,7 @@ from ..storage import saved
 
 BANDS, ROWS, BATCH = 24, 4, 16
 _LEAD = np.uint64(0xA0761D6478BD642F)
+_SECOND = np.uint64(0xE7037ED1A0B428DB)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> Iterator[np.ndarray]:
@@ -49,6 +51,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> Itera
             yield grams[max(b - a, 1) - 1][a : a + (b > a)]
 
 
+def set_sums(shingles: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set of shingles, mixed in different ways: 128 bits that stand for the set."""
+    once = mix64(shingles)
+    return int(once.sum(dtype=np.uint64)), int(mix64(once ^ _SECOND).sum(dtype=np.uint64))
+
+
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
     """How many shingles fall to each of 256 places, modulo 2, as four longs: sets that differ in d shingles differ in d bits at most."""
     odd = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256) & 1
@@ -98,7 +106,7 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold: float, miss: float
 
 
 def _sets(width: int, with_signature: bool):
-    """Rows of (passed columns, n, set_id, signature, bits) or (passed columns, shingles)."""
+    """Rows of (passed columns, n, h1, h2, signature, bits) or (passed columns, shingles)."""
     family = _family(BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +120,10 @@ def _sets(width: int, with_signature: bool):
                     yield pa.RecordBatch.from_arrays([*passed, pa.array([s.tobytes() for s in found], pa.binary())], names=[*names, "shingles"])
                     continue
                 sizes = np.array([len(s) for s in found], np.int64)
-                ids = np.array([mix64(np.array([mix64(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0] if len(s) else 0 for s in found], np.uint64)
+                ids = np.array([set_sums(s) for s in found], np.uint64).reshape(-1, 2).view(np.int64)
                 signs = [signature(s, family).tobytes() if len(s) else None for s in found]
                 bits = np.array([parity_bits(s) for s in found]).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([*passed, pa.array(sizes), pa.array(ids.view(np.int64)), pa.array(signs, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=[*names, "n", "set_id", "signature", "b0", "b1", "b2", "b3"])
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(sizes), *(pa.array(np.ascontiguousarray(ids[:, k])) for k in range(2)), pa.array(signs, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=[*names, "n", "h1", "h2", "signature", "b0", "b1", "b2", "b3"])
 
     return run
 
@@ -198,9 +206,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     kind = source.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", kind), T.StructField("th", T.LongType())]
-    sets = saved(source.mapInArrow(_sets(width, True), T.StructType([*fields, *T._parse_datatype_string("n long, set_id long, signature binary, b0 long, b1 long, b2 long, b3 long").fields])), "sets")
+    sets = saved(source.mapInArrow(_sets(width, True), T.StructType([*fields, *T._parse_datatype_string("n long, h1 long, h2 long, signature binary, b0 long, b1 long, b2 long, b3 long").fields])), "sets")
     solid = sets.where("n > 0")
-    classes = saved(solid.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("signature").alias("signature"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(4)), F.min("doc_id").alias("least")), "classes")
+    classes = solid.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("signature").alias("signature"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(4)), F.min("doc_id").alias("least"))
+    classes = saved(classes.withColumn("set_id", F.monotonically_increasing_id()), "classes")
 
     def full_sets(wanted: DataFrame, name: str) -> DataFrame:
         """wanted with the shingle set of each set_id, made again from one text of the class."""
@@ -240,11 +249,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     top = components(again.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     top = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
 
-    grouped = classes.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    grouped = saved(grouped.join(top, "root", "left").select("set_id", "least", F.coalesce("top", "root").alias("group")), "groups")
+    grouped = classes.select("set_id", "n", "h1", "h2", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    grouped = saved(grouped.join(top, "root", "left").select("n", "h1", "h2", "least", F.coalesce("top", "root").alias("group")), "groups")
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    ids = grouped.join(least, "group").select("set_id", "component_id")
-    out = solid.select("doc_id", "n", "set_id").join(ids, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    ids = grouped.join(least, "group").select("n", "h1", "h2", "component_id")
+    out = solid.select("doc_id", "n", "h1", "h2").join(ids, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

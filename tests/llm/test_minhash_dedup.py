@@ -67,6 +67,17 @@ def test_a_large_group_that_shares_a_passage(spark):
     assert sorted((tuple(r) for r in D.near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+def test_two_sums_stand_for_a_set():
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64)) for n in range(1, 300)]
+    one, two = zip(*(D.set_sums(s) for s in sets))
+    assert len(set(one)) == len(set(two)) == len(sets)
+    assert all(D.set_sums(s[::-1]) == (a, b) for s, a, b in zip(sets, one, two))
+    # sets made to agree in the first sum differ in the second
+    x, y, z = (int(v) for v in D.mix64(rnd.integers(0, 1 << 63, 3, dtype=np.uint64)))
+    assert len({int(D.mix64(np.array([v], np.uint64) ^ D._SECOND)[0]) for v in (x, y, z, (x + y - z) % (1 << 64))}) == 4
+
+
 def test_parity_bits_never_say_more_than_the_sets():
     rnd = np.random.default_rng(6)
     for _ in range(200):
