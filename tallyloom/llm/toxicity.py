@@ -89,15 +89,17 @@ def fit(
             for part in text_slices(batch, "text"):
                 data, offsets = column_bytes(part.column("text"))
                 slots = [f.astype(np.int32).tobytes() for f in features(data, offsets, bits)]
-                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("label"), pa.array(slots, pa.binary())], names=["shard", "label", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("h"), part.column("label"), pa.array(slots, pa.binary())], names=["shard", "h", "label", "slots"])
 
     def shard(table: pa.Table) -> pa.Table:
+        # one order of training, whatever order the blocks of a shuffle arrive in
+        table = table.sort_by([("h", "ascending"), ("label", "ascending")])
         rows = [np.frombuffer(v.as_buffer(), np.int32) for v in table.column("slots")]
         pa.default_memory_pool().release_unused()
         slots, weights = train_shard(rows, table.column("label").to_numpy(), bits, alpha, beta, l1, l2, epochs)
         return pa.table({"slot": slots, "weight": weights})
 
-    found = picked.select("shard", "label", "text").mapInArrow(featurize, "shard int, label int, slots binary").groupBy("shard").applyInArrow(shard, "slot long, weight double")
+    found = picked.select("shard", "h", "label", "text").mapInArrow(featurize, "shard int, h long, label int, slots binary").groupBy("shard").applyInArrow(shard, "slot long, weight double")
     merged = found.groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()  # at most 2**bits + 1 rows, few after L1
     if merged.empty:
         return np.array([1 << bits]), np.array([-35.0])
