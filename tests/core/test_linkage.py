@@ -99,7 +99,7 @@ def test_pairings_against_all_pairs(spark, seed):
 
 def test_accounts_of_many_names_against_all_pairs(spark, monkeypatch):
     """All accounts taken for busy: no pair of unlike names is listed, and rows and reasons are the same."""
-    requests, invoices = batches(3, 25)
+    requests, invoices = batches(3)
     r, i = frames(spark, requests, invoices)
     listed = sorted(map(tuple, P.pairings(r, i).collect()), key=str)
     monkeypatch.setattr(P, "LISTED_PAIRS", 0)
