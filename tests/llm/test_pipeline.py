@@ -2,6 +2,9 @@ import random
 from collections import Counter
 from itertools import groupby
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as C
 from tallyloom.llm import minhash_dedup, suffix_dedup
 from tallyloom.llm.language_id import held_out
@@ -108,3 +111,28 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in C.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+@pytest.mark.parametrize("stage", [f for _, f in C.STAGES])
+def test_batches_of_long_texts_are_bounded(spark, stage):
+    """600 texts of 100 kB are 60 MB, in one batch of under 10,000 rows before."""
+    session = spark.newSession()
+    texts = session.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    stage(session, session.read.parquet(f"{SF}/documents.parquet").where("false"), SF)
+    got = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 600 and max(r["bytes"] for r in got) < 6_000_000
+
+
+def test_a_session_keeps_its_own_batches(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64k")
+    docs = session.read.parquet(f"{SF}/documents.parquet")
+    small = sorted(tuple(r) for r in C.drop_toxic(session, docs, SF).collect())
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "64k"
+    again = spark.newSession()
+    assert small == sorted(tuple(r) for r in C.drop_toxic(again, again.read.parquet(f"{SF}/documents.parquet"), SF).collect())
