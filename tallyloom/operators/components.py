@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import released, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = now.agg(F.count(F.lit(1)), mark).first()
     for _ in range(rounds if before[0] else 0):
-        now = saved(_star(_star(now, True), False), "edges")
+        last, now = now, saved(_star(_star(now, True), False), "edges")
+        released(last)
         after = now.agg(F.count(F.lit(1)), mark).first()
         if after == before:
             break

@@ -1,11 +1,10 @@
 """Pairing payment requests with invoices: candidates, scores, one-to-one assignment.
 
-Nothing here lists request x invoice pairs.  Similarity and account evidence are found
-between distinct names, for most of them by equality: pairs that score 1 are made first,
-and similar names are searched for the rest.  Components over classes of equal rows split
-each batch into independent parts.  Parts in which all pairs score 1, which hold the busiest
-payees, are paired rank by rank; small others go through the greedy order in a helper, and
-large ones level by level.
+Nothing here lists request x invoice pairs.  Pairs that score 1 are made first: names that
+meet no other at that score are paired rank by rank.  For the rest, similarity and account
+evidence are found between distinct names, and components over classes of equal rows split
+each batch into independent parts.  Parts in which all pairs score 1 are paired rank by
+rank; small others go through the greedy order in a helper, and large ones level by level.
 """
 
 from __future__ import annotations
@@ -24,10 +23,11 @@ from pyspark.sql import types as T
 
 from ..functions.money import amounts_equal, quantize
 from ..functions.text import normalise_digits, normalise_name
-from ..storage import saved
+from ..storage import released, saved
 from .amounts import only_choices
 from .components import components
 from .levels import by_levels
+from .names import similar_in_blocks
 from .ranks import ranked
 
 #: Least similarity of names that is evidence; what an account is worth without it.
@@ -154,6 +154,11 @@ def _pairs_asked(total: Column, threshold: float) -> Column:
     return (3 * _least_matched(total, threshold) - total - 1).cast("int")
 
 
+def _may_differ(total: Column, longer: Column, threshold: float) -> Column:
+    """Can unequal names be alike?  Not where all letters of both must be matched."""
+    return _least_matched(total, threshold) < longer
+
+
 def _parity(items: Column) -> Column:
     """How many items fall to each of 64 places, modulo 2: bags that differ in d items differ in d bits at most."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
@@ -176,7 +181,7 @@ def _share_rare_pairs(names: DataFrame, pairs: DataFrame, threshold: float) -> D
     ranked = pairs.join(often, ["batch_id", "gram"]).withColumn("nth", F.row_number().over(W.partitionBy("batch_id", "side", "name_key").orderBy("df", "gram")))
     lengths = names.select("batch_id", F.when(F.col("side") == "r", "i").otherwise("r").alias("side"), F.col("len").alias("other")).distinct()
     total = F.col("len") + F.col("other")
-    asked = ranked.join(lengths, ["batch_id", "side"]).where(2 * F.least("len", "other") >= threshold * total)
+    asked = ranked.join(lengths, ["batch_id", "side"]).where((2 * F.least("len", "other") >= threshold * total) & _may_differ(total, F.greatest("len", "other"), threshold))
     asked = asked.withColumn("c", _pairs_asked(total, threshold)).where("c >= 1").withColumn("two", F.least("c", F.lit(2)))
     rare = asked.where(F.col("nth") <= F.col("len") - 1 - F.col("c") + F.col("two"))
     left = _side(rare, "r", "nid", "bag", "two", "len", "other").withColumnsRenamed({"r_len": "r", "r_other": "i"})
@@ -204,7 +209,7 @@ def _share_letters_in_order(names: DataFrame, threshold: float) -> DataFrame:
     lengths = names.select("batch_id", F.when(F.col("side") == "r", "i").otherwise("r").alias("side"), F.col("len").alias("other")).distinct()
     total = F.col("len") + F.col("other")
     least = _least_matched(total, threshold).cast("int")
-    asked = names.join(lengths, ["batch_id", "side"]).where((2 * F.least("len", "other") >= threshold * total) & (_pairs_asked(total, threshold) < 1))
+    asked = names.join(lengths, ["batch_id", "side"]).where((2 * F.least("len", "other") >= threshold * total) & _may_differ(total, F.greatest("len", "other"), threshold) & (_pairs_asked(total, threshold) < 1))
     kept = asked.withColumn("gram", F.explode(_subsequences(F.col("name_key"), least)))
     left = _side(kept, "r", "name_key", "len", "other").withColumnsRenamed({"r_len": "a", "r_other": "b"})
     right = _side(kept, "i", "name_key", "len", "other").withColumnsRenamed({"i_len": "b", "i_other": "a"})
@@ -212,39 +217,36 @@ def _share_letters_in_order(names: DataFrame, threshold: float) -> DataFrame:
     return met.select("batch_id", F.col("r_name_key").alias("r_name"), F.col("i_name_key").alias("i_name")).distinct()
 
 
-def _inside(names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Names inside other ones, whatever their lengths: by the rarest letter pair of the inner one, or its only letter."""
-    plain = pairs.withColumn("gram", F.substring_index("gram", "#", 1)).select("batch_id", "gram", "side", "name_key").distinct()
-    counts = plain.groupBy("batch_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = plain.join(counts, ["batch_id", "gram"]).groupBy("batch_id", "side", "name_key").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    single = names.where("len = 1").select("batch_id", "side", "name_key", F.col("name_key").alias("gram"))
-    letters = names.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("name_key"), 1)))).join(single.select("batch_id", "gram").distinct(), ["batch_id", "gram"])
-    inner = rarest.unionByName(single)
-    outer = plain.unionByName(letters.select("batch_id", "gram", "side", "name_key"))
-    holds = F.contains("r_name_key", F.col("i_name_key")) | F.contains("i_name_key", F.col("r_name_key"))
-    found = [_side(a, "r", "name_key").join(_side(b, "i", "name_key"), ["batch_id", "gram"]).where(holds) for a, b in ((inner, outer), (outer, inner))]
-    return found[0].unionByName(found[1]).select("batch_id", F.col("r_name_key").alias("r_name"), F.col("i_name_key").alias("i_name"))
-
-
 def similar_name_candidates(left: DataFrame, right: DataFrame, threshold: float = NAME_EVIDENCE) -> DataFrame:
     """batch_id, r_name, i_name, sim of unequal names alike to ``threshold`` or more.
 
-    left and right have batch_id and name_key.  No pair is lost: for names of S letters
+    left and right have batch_id and name_key.  No pair is lost.  Up to ``CONTAINED`` a name is
+    like too many others for an index to tell them apart, so all are compared, in blocks (see
+    ``names``).  Over it names are met by what they share: for names of S letters
     together, M matched ones and M >= threshold * S / 2, the matched blocks hold at least
     3 * M - S - 1 letter pairs, so names that share fewer can't be alike; where that number
     is not positive (short names) they are met by the M letters that both hold in one order.
-    A name inside another has its rarest pair there, whatever the lengths.  The threshold is
-    over 2/3, as pairs say nothing of long names under it.
+    Names of lengths at which all letters must be matched are not searched for at all.
     """
-    if threshold <= 2 / 3:
-        raise ValueError("names are searched for by thresholds over 2/3")
-    distinct = lambda rows, side: rows.where("name_key <> ''").select("batch_id", "name_key").distinct().withColumn("side", F.lit(side))
-    names = distinct(left, "r").unionByName(distinct(right, "i")).withColumns({"len": F.length("name_key"), "nid": F.xxhash64("batch_id", "name_key"), "bag": _parity(_grams(F.col("name_key"), 1))})
+    distinct = lambda rows: rows.where("name_key <> ''").select("batch_id", "name_key").distinct()
+    if threshold <= CONTAINED:
+        return similar_in_blocks(distinct(left), distinct(right), threshold, CONTAINED, ratio)
+    sized = lambda rows, to: rows.where("name_key <> ''").select("batch_id", F.length("name_key").alias(to)).distinct()
+    total = F.col("len") + F.col("other")
+    lengths = sized(left, "len").join(sized(right, "other"), "batch_id").where((2 * F.least("len", "other") >= threshold * total) & _may_differ(total, F.greatest("len", "other"), threshold))
+    lengths = saved(lengths, "name-lengths")
+    kind = left.schema["batch_id"].dataType.simpleString()
+    if lengths.isEmpty():
+        return left.sparkSession.createDataFrame([], f"batch_id {kind}, r_name string, i_name string, sim double")
+    own = lambda rows, side, c: distinct(rows).withColumn("len", F.length("name_key")).join(lengths.select("batch_id", F.col(c).alias("len")).distinct(), ["batch_id", "len"], "left_semi").withColumn("side", F.lit(side))
+    names = own(left, "r", "len").unionByName(own(right, "i", "other")).withColumns({"nid": F.xxhash64("batch_id", "name_key"), "bag": _parity(_grams(F.col("name_key"), 1))})
     names = saved(names, "names")
     pairs = saved(names.withColumn("gram", F.explode(_numbered(_grams(F.col("name_key"), 2)))), "name-grams")
-    found = _share_rare_pairs(names, pairs, threshold).unionByName(_share_letters_in_order(names, threshold)).unionByName(_inside(names, pairs))
+    found = _share_rare_pairs(names, pairs, threshold).unionByName(_share_letters_in_order(names, threshold))
     found = found.where("r_name <> i_name").distinct()
-    return found.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name"), threshold)).where(F.col("sim") >= threshold)
+    found = saved(found.withColumn("sim", name_similarity(F.col("r_name"), F.col("i_name"), threshold)).where(F.col("sim") >= threshold), "alike")
+    released(names, pairs, lengths)
+    return found
 
 
 #: Class pairs that an account may list; those of busier accounts are listed only where names are alike.
@@ -551,32 +553,147 @@ def attach_unreadable(requests: DataFrame, unusable: DataFrame, similar: DataFra
     return requests.join(names, ["batch_id", "name_key"]).select("batch_id", "row_number", "invoice_seq")
 
 
-def pairings(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
-    """A row for each request: batch_id, row_number, invoice_seq, confidence, reason.
+#: Buckets of names in which payees of over ``PART_ROWS`` rows are looked for.
+NAME_BUCKETS = 1 << 16
+
+
+def entangled_names(requests: DataFrame, invoices: DataFrame) -> DataFrame | None:
+    """batch_id, name_key of names whose rows may score 1 with rows of another name, or are too many for one task; none if there are none.
 
-    A row without an invoice has a null invoice_seq and confidence 0.  Pairs that score 1
-    come first whatever else there is, so they are made first, from equal names, equal
-    accounts and names alike to 0.95; similar names are only searched for what is left.
+    Rows of two names score 1 if the names are alike to 0.95, or if they are on one account.
     """
-    requests, invoices = saved(keyed(requests), "requests"), saved(keyed(invoices), "invoices")
-    usable, unusable = split_usable(invoices)
-    busy = saved(busy_accounts(requests, usable), "busy-accounts")
+    named = requests.select("batch_id", "name_key", "account_key").unionByName(invoices.select("batch_id", "name_key", "account_key")).where("name_key <> ''")
+    found = []
+    # accounts of one hash count as one: some names more are taken for entangled, none less
+    account = named.withColumn("account", F.xxhash64("batch_id", "account_key"))
+    own = account.where("account_key <> ''").select("account", F.xxhash64("name_key").alias("name"))
+    mixed = saved(own.groupBy("account").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").select("account"), "mixed-accounts")
+    if not mixed.isEmpty():
+        found.append(account.where("account_key <> ''").join(mixed, "account", "left_semi").select("batch_id", "name_key"))
+    close = similar_name_candidates(requests, invoices, BEST_NAME)
+    if not close.isEmpty():
+        found += [close.select("batch_id", F.col(c).alias("name_key")) for c in ("r_name", "i_name")]
+    bucket = F.pmod(F.xxhash64("batch_id", "name_key"), F.lit(NAME_BUCKETS))
+    full = [x["bucket"] for x in named.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS).select("bucket").collect()]
+    if full:
+        found.append(named.where(bucket.isin(full)).groupBy("batch_id", "name_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS).select("batch_id", "name_key"))
+    if not found:
+        return None
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = saved(out.distinct(), "entangled-names")
+    released(mixed, close)
+    return out
+
+
+def pair_by_name(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """The k-th request of a name with the k-th invoice of it, and what is left of both.
+
+    batch_id, row_number, invoice_seq (one of them null in rows that are left over), name_key (of requests left
+    over), account, amount (what agrees).  All rows have a name and an amount.
+    """
+    cents = lambda c: (quantize(F.col(c)) * 100).cast("long").alias("cents")
+    row = lambda d, asks, at, amount: d.select("batch_id", "name_key", F.lit(asks).alias("asks"), F.col(at).alias("at"), cents(amount), F.when(F.col("account_key") != "", F.xxhash64("account_key")).alias("account"), F.when(F.col("code_key") != "", F.xxhash64("code_key")).alias("code"))
+    rows = row(requests, True, "row_number", "amount").unionByName(row(invoices, False, "invoice_seq", "total_amount"))
+    # one exchange serves ranks and pairs
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id", "name_key")
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("batch_id", "name_key", "asks").orderBy("at")))
+    of = lambda asks, c: F.max(F.when(F.col("asks") == asks, F.col(c)))
+    both = rows.groupBy("batch_id", "name_key", "k").agg(*(of(a, c).alias(f"{p}_{c}") for p, a in (("r", True), ("i", False)) for c in ("at", "cents", "account", "code")))
+    agree = (F.col("r_account") == F.col("i_account")) & (F.col("i_code").isNull() | F.coalesce(F.col("i_code") == F.col("r_code"), F.lit(False)))
+    return both.select(
+        "batch_id", F.col("r_at").alias("row_number"), F.col("i_at").alias("invoice_seq"), F.when(F.col("i_at").isNull(), F.col("name_key")).alias("name_key"),
+        F.coalesce(agree, F.lit(False)).alias("account"), F.coalesce(F.abs(F.col("r_cents") - F.col("i_cents")) <= int(round(float(tolerance) * 100)), F.lit(False)).alias("amount"),
+    )
+
+
+def assigned(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The greedy one-to-one assignment of keyed rows: (pairs, requests that are left, invoices that are left).
+
+    pairs: batch_id, row_number, invoice_seq, confidence, reason; invoices have a total.
+    Pairs that score 1 come first whatever else there is, so they are made first.  Most names have nothing to do with
+    another one at that score, and are paired by rank as they are; the others (see
+    ``entangled_names``) are paired by class.  Similar names are only searched for what is left.
+    """
+    pair = ["batch_id", "row_number", "invoice_seq", "confidence", "reason"]
+    tangled = entangled_names(requests, invoices)
+    single = (lambda d: d) if tangled is None else (lambda d: d.join(tangled, ["batch_id", "name_key"], "left_anti"))
+    ranks = saved(pair_by_name(*(single(d.where("name_key <> ''")) for d in (requests, invoices)), tolerance), "paired-by-name")
+    sure = F.concat_ws(", ", F.lit("name similarity 1.00"), F.when(F.col("account"), "bank account matches"), F.when(F.col("amount"), "invoice total agrees with the requested amount"))
+    found = [ranks.where("row_number IS NOT NULL AND invoice_seq IS NOT NULL").select("batch_id", "row_number", "invoice_seq", F.lit(1.0).alias("confidence"), sure.alias("reason"))]
+    rest_r, rest_i = (ranks.where(f"{other} IS NULL").select("batch_id", at) for at, other in (("row_number", "invoice_seq"), ("invoice_seq", "row_number")))
+    nameless = [d.where("name_key = ''") for d in (requests, invoices)]
+    others = []
+    if tangled is not None:
+        r, i = (saved(d.join(tangled, ["batch_id", "name_key"], "left_semi"), "entangled-rows") for d in (requests, invoices))
+        busy = saved(busy_accounts(r, i), "busy-accounts")
+        best = saved(best_class_scores(r, i, None if busy.isEmpty() else busy), "best-scores")
+        top = saved(assign_one_to_one(r, i, best, tolerance, least=1.0), "assigned-best")
+        found.append(top)
+        others = [r.join(top, ["batch_id", "row_number"], "left_anti"), i.join(top, ["batch_id", "invoice_seq"], "left_anti")]
+        released(busy, best)
+    free = [nameless[1]] + others[1:]
+    over = not rest_i.isEmpty()
+    if over:
+        free.append(invoices.join(rest_i, ["batch_id", "invoice_seq"], "left_semi"))
+    free = saved(_all(free), "invoices-free")
+    if free.isEmpty():
+        # nothing is left to compare with: the requests that are left need their names only
+        left = [ranks.where("invoice_seq IS NULL").select("batch_id", "row_number", "name_key"), *(d.select("batch_id", "row_number", "name_key") for d in [nameless[0], *others[:1]])]
+        return _all(found), _all(left), free
+    left = saved(_all([requests.join(rest_r, ["batch_id", "row_number"], "left_semi"), nameless[0], *others[:1]]), "requests-left")
+    busy = saved(busy_accounts(left, free), "busy-accounts")
     some = not busy.isEmpty()
-    certain = saved(best_class_scores(requests, usable, busy if some else None), "best-scores")
-    top = saved(assign_one_to_one(requests, usable, certain, tolerance, least=1.0), "assigned-best")
-    left = requests.join(top.select("batch_id", "row_number"), ["batch_id", "row_number"], "left_anti")
-    free = usable.join(top.select("batch_id", "invoice_seq"), ["batch_id", "invoice_seq"], "left_anti")
-    left, free = saved(left, "requests-left"), saved(free, "invoices-free")
-    similar = saved(similar_name_candidates(left, free), "similar")
+    similar = similar_name_candidates(left, free)
     scores = saved(class_scores(left, free, similar, busy if some else None, ACCOUNT_FLOOR), "scores")
     assign = assign_by_account if some else assign_one_to_one
-    first = top.unionByName(saved(assign(left, free, scores, tolerance), "assigned"))
-    second = saved(rescue_by_amount(requests, usable, first.select("batch_id", "row_number", "invoice_seq"), tolerance).select("*", F.lit(0.5).alias("confidence"), F.lit(BY_AMOUNT).alias("reason")), "rescued")
-    chosen = first.unionByName(second)
-    open_ = requests.join(chosen.select("batch_id", "row_number"), ["batch_id", "row_number"], "left_anti")
-    third = attach_unreadable(open_, unusable, similar_name_candidates(open_, unusable)).select("*", F.lit(0.0).alias("confidence"), F.lit(UNREADABLE).alias("reason"))
-    everyone = requests.select("batch_id", "row_number").join(chosen.unionByName(third), ["batch_id", "row_number"], "left")
-    return everyone.select("batch_id", "row_number", "invoice_seq", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("reason", F.lit(UNMATCHED)).alias("reason"))
+    more = saved(assign(left, free, scores, tolerance), "assigned")
+    short = left.where(F.length("name_key") < 4)
+    if not short.isEmpty():
+        rescued = rescue_by_amount(short, free, more.select("batch_id", "row_number", "invoice_seq"), tolerance)
+        more = _all([more, rescued.select("*", F.lit(0.5).alias("confidence"), F.lit(BY_AMOUNT).alias("reason"))])
+        more = saved(more.select(pair), "assigned")
+    released(busy, similar, scores)
+    return _all([*found, more]), left.join(more, ["batch_id", "row_number"], "left_anti"), free.join(more, ["batch_id", "invoice_seq"], "left_anti")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def assigned_rows(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01") -> tuple[DataFrame, DataFrame]:
+    """(pairs with a readable invoice, requests without one): batch_id, row_number and invoice_seq, confidence, reason or name_key."""
+    rows = lambda d, at, amount: saved(keyed(d).select("batch_id", at, amount, "name_key", "account_key", "code_key"), "keyed")
+    requests, usable = rows(requests, "row_number", "amount"), rows(split_usable(invoices)[0], "invoice_seq", "total_amount")
+    chosen, left, _free = assigned(requests, usable, tolerance)
+    return chosen, left.select("batch_id", "row_number", "name_key")
+
+
+def attached(chosen: DataFrame, left: DataFrame, invoices: DataFrame | None = None) -> DataFrame:
+    """A row for each request: the chosen pairs, and the requests that are left, with an unreadable invoice of ``invoices`` or none."""
+    if invoices is None:
+        held = left.withColumn("invoice_seq", F.lit(None).cast("long"))
+    else:
+        left = saved(left, "requests-left")
+        late = saved(keyed(split_usable(invoices)[1]).select("batch_id", "invoice_seq", "name_key"), "unreadable")
+        third = attach_unreadable(left, late, similar_name_candidates(left, late))
+        held = left.select("batch_id", "row_number").join(third, ["batch_id", "row_number"], "left")
+    reason = F.when(F.col("invoice_seq").isNull(), UNMATCHED).otherwise(UNREADABLE)
+    return chosen.unionByName(held.select("batch_id", "row_number", "invoice_seq", F.lit(0.0).alias("confidence"), reason.alias("reason")))
+
+
+def pairings(requests: DataFrame, invoices: DataFrame, tolerance: str = "0.01", unreadable: bool = True) -> DataFrame:
+    """A row for each request: batch_id, row_number, invoice_seq, confidence, reason.
+
+    A row without an invoice has a null invoice_seq and confidence 0.  Without ``unreadable`` the
+    requests that no readable invoice supports are not looked up among the unreadable ones:
+    for what is paid and what stays over, which they don't change.
+    """
+    return attached(*assigned_rows(requests, invoices, tolerance), invoices if unreadable else None)
 
 
 def unmatched_invoices(invoices: DataFrame, pairs: DataFrame) -> DataFrame:
