@@ -391,7 +391,7 @@ def _(spark, sf_dir):
 
 @query("e5_caption_row_values", _LINES + f", f AS (SELECT *, unnest({_CUES_BY_LAYOUT}) AS field FROM lined WHERE doc_id % 3 = 0) SELECT doc_id, field, {_FIELD_VALUES} AS value FROM f")
 def _(spark, sf_dir):
-    return E.caption_row_values(E.document_lines(X.invoice_texts(spark, sf_dir)))
+    return E.caption_values(X.invoice_texts(spark, sf_dir))
 
 
 @query("e6_letterhead_payee", _LINES + " SELECT doc_id, payee_name FROM lined WHERE doc_id % 3 <> 1")
